@@ -18,11 +18,13 @@ def _nfc(s: pd.Series) -> pd.Series:
 def clean_id(c: Column) -> Column:
     """The id without surrounding white space, composed (NFC); null where nothing is left.
 
-    Spark has no composition function. Only ids with a character beyond U+02FF (no
-    character below it changes under composition) go to Python; all others pass a null
-    there, so the Arrow batches stay almost empty.
+    Spark has no composition function. Only ids with characters beyond ASCII go to Python;
+    all others pass a null there, so the Arrow batches stay almost empty. The trimming
+    expression runs only where the first or last character may be white space.
     """
-    trimmed = F.regexp_replace(c, r"(?U)^[\s\p{Z}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{200B}\x{FEFF}]+$", "")
-    rare = F.when(trimmed.rlike(r"[^\x00-\x{02FF}]"), trimmed)
+    edge = lambda x: (F.ascii(x) <= 32) | (F.ascii(x) >= 0x80)
+    space = r"(?U)^[\s\p{Z}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{200B}\x{FEFF}]+$"
+    trimmed = F.when(edge(c) | edge(F.substring(c, -1, 1)), F.regexp_replace(c, space, "")).otherwise(c)
+    rare = F.when(F.octet_length(c) != F.char_length(c), trimmed)
     out = F.coalesce(_nfc(rare), trimmed)
     return F.when(out != "", out)

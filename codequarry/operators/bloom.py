@@ -17,11 +17,17 @@ def filter_bits(keys: int, bits_per_key: int = 12, max_bits: int = MAX_BITS) ->
     return min(max_bits, max(1 << 10, 1 << math.ceil(math.log2(max(1, keys * bits_per_key)))))
 
 
-def _positions(key: Column, bits: int) -> Column:
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1)).bitwiseOR(F.lit(1))
-    # The two halves are cut to 31 bits so that sums never overflow under ANSI rules.
-    a, b = (x.bitwiseAND(F.lit((1 << 31) - 1)) for x in (a, b))
-    return F.array(*[(a + b * F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(HASHES)])
+def hashed(df: DataFrame, key: str) -> DataFrame:
+    """With the two hashes of the key, of 31 bits so that sums never overflow under ANSI rules."""
+    low = F.lit((1 << 31) - 1)
+    return df.withColumns({
+        "_a": F.xxhash64(key).bitwiseAND(low),
+        "_b": F.xxhash64(key, F.lit(1)).bitwiseOR(F.lit(1)).bitwiseAND(low),
+    })
+
+
+def _position(i: int, bits: int) -> Column:
+    return (F.col("_a") + F.col("_b") * F.lit(i)).bitwiseAND(F.lit(bits - 1))
 
 
 def build(keys: DataFrame, key: str, bits: int) -> DataFrame:
@@ -30,7 +36,7 @@ def build(keys: DataFrame, key: str, bits: int) -> DataFrame:
     Each map task ORs its own words before the shuffle, so at most bits / 64 rows leave a
     task; the array is bounded by MAX_BITS and not by the number of keys.
     """
-    p = keys.select(F.explode(_positions(F.col(key), bits)).alias("p"))
+    p = hashed(keys.select(key), key).select(F.explode(F.array(*[_position(i, bits) for i in range(HASHES)])).alias("p"))
     words = p.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("v")
     )
@@ -39,13 +45,11 @@ def build(keys: DataFrame, key: str, bits: int) -> DataFrame:
     return full.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "v"))), lambda x: x.v).alias("words"))
 
 
-def might_contain(words: Column, key: Column, bits: int) -> Column:
-    """False only where the key was certainly never added."""
+def might_contain(words: Column, bits: int) -> Column:
+    """For rows of `hashed`: false only where the key was certainly never added."""
     hit = F.lit(True)
-    a, b = F.xxhash64(key), F.xxhash64(key, F.lit(1)).bitwiseOR(F.lit(1))
-    a, b = (x.bitwiseAND(F.lit((1 << 31) - 1)) for x in (a, b))
     for i in range(HASHES):
-        p = (a + b * F.lit(i)).bitwiseAND(F.lit(bits - 1))
-        word = F.get(words, F.shiftright(p, 6).cast("int"))
-        hit = hit & (word.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))) != 0)
+        p = _position(i, bits)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), p.bitwiseAND(F.lit(63)).cast("int"))
+        hit = hit & (F.get(words, F.shiftright(p, 6).cast("int")).bitwiseAND(bit) != 0)
     return hit

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from codequarry.functions.ids import clean_id
 from codequarry.operators import bloom
 
-#: References to an id that holds more than this share of all are spread over SALTS tasks.
-HOT_SHARE, SALTS = 0.005, 32
+#: References to an id that holds more than this share of a sample are spread over SALTS tasks;
+#: the sample decides on the spreading alone, never on a result.
+HOT_SHARE, SALTS, HOT_SAMPLE = 0.005, 32, 0.02
 
 
 def references(relationships: DataFrame) -> DataFrame:
@@ -62,10 +63,9 @@ def orphans(relationships: DataFrame, entities: DataFrame, removals: DataFrame,
     life = lifetimes(entities, removals)
     ext = external.select(clean_id(F.col("id")).alias("ref")).filter("ref is not null").distinct()
     parents = entities.select(clean_id(F.col("id")).alias("ref")).filter("ref is not null").unionByName(ext)
-    n = parents.agg(F.approx_count_distinct("ref")).first()[0]
-    bits = bloom.filter_bits(n, max_bits=max_bits)
+    bits = bloom.filter_bits(entities.count() + external.count(), max_bits=max_bits)
     words = bloom.build(parents, "ref", bits).scalar()
-    seen = refs.withColumn("maybe", bloom.might_contain(words, F.col("ref"), bits))
+    seen = bloom.hashed(refs, "ref").withColumn("maybe", bloom.might_contain(words, bits)).drop("_a", "_b")
     sure = seen.filter(~F.col("maybe")).select("relationship_id", "side", "at")
     open_refs = seen.filter("maybe").drop("maybe")
 
@@ -76,8 +76,8 @@ def orphans(relationships: DataFrame, entities: DataFrame, removals: DataFrame,
 
     total = F.sum("n").over(Window.partitionBy())
     hot = (
-        open_refs.groupBy("ref").agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= 1000)
+        references(relationships.sample(HOT_SAMPLE, seed=1)).groupBy("ref").agg(F.count("*").alias("n"))
+        .filter(F.col("n") >= 100)
         .withColumn("total", total)
         .filter(F.col("n") > HOT_SHARE * F.col("total"))
         .select("ref", F.lit(True).alias("hot"))
