@@ -63,6 +63,9 @@ class Missing(dict):
 
 
 _INNER = re.compile(r"([(\[{])([^()\[\]{}\x00]*)([)\]}])")
+_BLANK = re.compile(r"\s+")
+_SIGNED = re.compile(r"(?:(?<=[,(\[{])|(?<![^\x00]))-1(?=,|$)")
+_EQUAL = re.compile(r"([^,;]),\1(?:,\1){2,}")
 _MATCH = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -156,13 +159,15 @@ class Parser:
         if c is None:
             if len(memory) > MEMORY:
                 memory.clear()
-            text = inner.replace("\n", "").replace(" ", "") if self.lang == "python" else inner
+            text = _BLANK.sub("", inner) if self.lang == "python" else inner
             c = memory[inner] = self.labels.char(kind, self.derives(text, self.inside[kind]))
         return c
 
     def derives(self, text: str, names: list[str]) -> frozenset[str]:
         if "\x02" in text:
             return frozenset()
+        # A list of equal elements parses like one of three, so long tables cost nothing.
+        text = _EQUAL.sub(r"\1,\1,\1", _SIGNED.sub("1", text))
         lists = [x for x in names if x in self._lists]
         pieces = [x for x in self._cut.split(text) if x] if lists else []
         if len(pieces) < 2:
