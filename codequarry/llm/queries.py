@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import natural, pairs, parse_check
+from codequarry.llm import handwritten, natural, pairs, parse_check, secrets
 from codequarry.session import read_table as T
 
 QUERIES = {
@@ -10,6 +10,10 @@ QUERIES = {
     "p2_language_shares": lambda s, d: natural.language_shares(T(s, d, "parse_results")),
     "p3_found": lambda s, d: pairs.documented_rows(T(s, d, "parse_results"), T(s, d, "parsed_entities")),
     "p3_code_pairs": lambda s, d: pairs.code_pairs(T(s, d, "parse_results"), T(s, d, "parsed_entities")),
+    "p5_found": lambda s, d: handwritten.not_handwritten(T(s, d, "parse_results")),
+    "p5_handwritten_entities": lambda s, d: handwritten.handwritten_entities(T(s, d, "parse_results"), T(s, d, "entities"), T(s, d, "repos")),
+    "p6_found": lambda s, d: secrets.secret_rows(T(s, d, "parse_results")),
+    "p6_redacted": lambda s, d: secrets.redacted_files(T(s, d, "parse_results")),
     "p7_found": lambda s, d: parse_check.invalid_files(T(s, d, "parse_results")),
     "p7_invalid_rates": lambda s, d: parse_check.invalid_rates(T(s, d, "parse_results")),
 }
