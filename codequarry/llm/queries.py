@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codequarry.llm import handwritten, natural, pairs, parse_check, secrets
+from codequarry.llm import handwritten, leakage, mixture, natural, pairs, parse_check, secrets, split
 from codequarry.session import read_table as T
 
 QUERIES = {
@@ -16,6 +16,12 @@ QUERIES = {
     "p6_redacted": lambda s, d: secrets.redacted_files(T(s, d, "parse_results")),
     "p7_found": lambda s, d: parse_check.invalid_files(T(s, d, "parse_results")),
     "p7_invalid_rates": lambda s, d: parse_check.invalid_rates(T(s, d, "parse_results")),
+    "p8_found": lambda s, d: leakage.leaks(T(s, d, "documents"), T(s, d, "benchmark")),
+    "p8_near_leaks": lambda s, d: leakage.near_leaks(T(s, d, "documents"), T(s, d, "benchmark")),
+    "p9_mixture": lambda s, d: mixture.mix(T(s, d, "documents"), T(s, d, "mix_targets")),
+    "p9_shares": lambda s, d: mixture.shares(mixture.mix(T(s, d, "documents"), T(s, d, "mix_targets")), T(s, d, "mix_targets")),
+    "p10_found": lambda s, d: split.oversized(T(s, d, "documents")),
+    "p10_pieces": lambda s, d: split.split_documents(T(s, d, "documents")),
 }
 
 SQL: dict[str, str] = {}
