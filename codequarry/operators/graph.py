@@ -178,7 +178,7 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | Non
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:
     """The edges along each path, by step."""
     hop = paths.filter("hops > 0").select("start", "node", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("hops")), lambda i: F.struct(F.get("path", i - 1).alias("source"), F.get("path", i).alias("target")))).alias("step", "e"))
-    return hop.select("start", "node", "step", "e.source", "e.target").join(edges, ["source", "target"])
+    return hop.select("start", "node", (F.col("step") + 1).alias("step"), "e.source", "e.target").join(edges, ["source", "target"])
 
 
 def cyclic_core(edges: DataFrame, types: Sequence[str] | None = CALLS, rounds: int = 30) -> DataFrame:

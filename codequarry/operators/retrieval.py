@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codequarry.functions.text import contains_any, tokenize
 from codequarry.operators import summary
@@ -93,6 +94,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, min_score: float |
     size = queries.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
     blocks = max(1, -(-size // QUERY_BLOCK_BYTES))
     id_type, q_type = dict(vectors.dtypes)["id"], dict(queries.dtypes)["query_id"]
+    q_arrow = to_arrow_type(queries.schema["query_id"].dataType)
     out = None
     for b in range(blocks):
         part = queries.filter("embedding is not null").select("query_id", "embedding")
@@ -132,7 +134,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, min_score: float |
                         if min_score is None or s[i, j] >= min_score:
                             qi.append(i)
                             vi.append(j)
-                cols = [pa.array([names[i] for i in qi]), ids.take(pa.array(vi, pa.int64())), pa.array([float(s[i, j]) for i, j in zip(qi, vi, strict=True)], pa.float64())]
+                cols = [pa.array([names[i] for i in qi], q_arrow), ids.take(pa.array(vi, pa.int64())), pa.array([float(s[i, j]) for i, j in zip(qi, vi, strict=True)], pa.float64())]
                 if by:
                     cols.append(batch.column("by").take(at).take(pa.array(vi, pa.int64())))
                 if qi:

@@ -59,7 +59,7 @@ def call_tree(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int
             near: dict[str, list[tuple[str, str]]] = {}
             for s, t, n in sorted(zip(part["source"], part["target"], part["name"], strict=True)):
                 near.setdefault(s, []).append((t, n))
-            seen = {start}
+            seen: set[str] = set()
             stack = [(t, n, 1) for t, n in reversed(near.get(start, []))]
             while stack:
                 node, name, d = stack.pop()

@@ -81,8 +81,8 @@ class _File:
         return "\n".join(x.strip() for x in reversed(out))
 
 
-def _row(kind: str, path: str, **x: object) -> dict:
-    return {"kind": kind, "file_path": path, **x}
+def _row(kind: str, file: str, /, **x: object) -> dict:
+    return {"kind": kind, "file_path": file, **x}
 
 
 def _entity(f: _File, name: str, type_: str, qn: str, a: int, b: int, sig: str, parent: str | None) -> dict:
