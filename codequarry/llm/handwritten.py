@@ -28,8 +28,8 @@ class Limits:
     minified_line: float = 110.0
     minified_space: float = 0.13
     #: Share of bytes in numeric literals or encoded runs with their separators.
-    data_share: float = 0.75
-    #: With fewer other lines than this, a smaller share is enough.
+    data_share: float = 0.92
+    #: With no more other lines than this, a smaller share is enough.
     data_lines: int = 7
     data_share_short: float = 0.5
     #: Share of lines whose shape recurs with one short period.
@@ -42,9 +42,9 @@ LIMITS = {
     "java": Limits(minified_line=160, minified_space=0.08),
     "javascript": Limits(),
     "typescript": Limits(),
-    "json": Limits(minified_line=1e9, data_share=0.85, data_lines=0, periodic=2),
-    "yaml": Limits(minified_line=1e9, data_share=0.85, data_lines=0, periodic=2),
-    "properties": Limits(minified_line=1e9, data_share=0.9, data_lines=0, periodic=2),
+    "json": Limits(minified_line=1e9, data_share=0.92, data_lines=0, periodic=2),
+    "yaml": Limits(minified_line=1e9, data_share=0.92, data_lines=0, periodic=2),
+    "properties": Limits(minified_line=1e9, data_share=0.92, data_lines=0, periodic=2),
 }
 DEFAULT = Limits(minified_line=160, minified_space=0.06)
 
@@ -70,6 +70,14 @@ _BANNER = re.compile(
     r"(?i)^\W*(?:/\*!\s*)?@?[\w.\-/]+\s+v?\d+\.\d+(?:\.\d+)*(?:[-+.]\w+)*\s*(?:\||[-–]|\*/|$|\(c\)|©|copyright).{0,200}$"
 )
 _BANNER_MORE = re.compile(r"(?i)\(c\)|©|copyright|licen[cs]e|https?://|authors|/\*!")
+#: Fixed patterns: what copies of other projects say about themselves.
+_COPIED = re.compile(
+    r"(?i)\b(?:imported|copied|vendored|taken|forked|mirrored|borrowed|bundled|extracted)\b(?: verbatim| unmodified| unchanged| as is| directly)? from (?:the )?[\w.@/\-]+.{0,60}(?:\d+\.\d+|\bproject\b|\brelease\b|\bupstream\b|\bversion\b|https?://)"
+    r"|\bupstream copy\b|\b(?:local|your|any|manual) (?:changes|edits|modifications) (?:will|would) be (?:dropped|lost|overwritten|discarded) (?:at|on|by|with) (?:the )?next (?:import|sync|update|upgrade|release)"
+    r"|\breport (?:bugs|issues|problems) upstream\b|\b(?:keep|kept|stay)\b.{0,20}\bin (?:step|sync) with (?:the )?(?:original|upstream)\b|\b(?:vendored|third[- ]party) (?:copy|code|library|source) (?:of|from)\b"
+    r"|(?:unveränderte )?kopie (?:von|aus|des)\b.{0,60}\d+\.\d+|(?:unverändert|wörtlich) (?:übernommen|kopiert) (?:aus|von)|copie (?:conforme |exacte )?(?:de|du)\b.{0,60}\d+\.\d+|copia(?:do)? (?:literal(?:mente)? )?(?:de|del|desde)\b.{0,60}\d+\.\d+"
+    r"|(?:скопирован|взят|импортирован)\w* (?:без изменений )?из\b.{0,80}\d+\.\d+|(?:复制|拷贝|导入|摘)自.{0,60}\d+\.\d+|(?:から(?:コピー|取り込)|のコピー).{0,60}"
+)
 _REMARK = re.compile(r"\s*(?:#|//|/\*|\*)")
 _SHAPE = re.compile(r"[^\W\d]\w*|\d[\w.]*")
 _NUMBERS = re.compile(r"(?:(?<![\w.])[-+]?(?:0x[0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*[,;|]?\s*){8,}")
@@ -169,7 +177,7 @@ def classify(paths: list[str | None], texts: pa.Array, lang: str) -> list[str]:
         rows = [x for c in head for x in c.split("\n")]
         if any(_GENERATED.search(x) for x in rows):
             kind = "generated"
-        elif any(_BANNER.match(x) and _BANNER_MORE.search(x) for x in rows if len(x) < 300):
+        elif any(_COPIED.search(x) for x in rows) or any(_BANNER.match(x) and _BANNER_MORE.search(x) for x in rows if len(x) < 300):
             kind = "vendored"
         elif st["control"][i] > 0.01:
             kind = "data"

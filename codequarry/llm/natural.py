@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from codequarry.llm import batches, langmodel, lexmask
 
 MIN_WORDS, MIN_CJK = 5, 8
+#: Length from which a line of a comment may run on in the next.
+WRAPPED = 45
 _ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]{1,6})\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([ntr])|(.))", re.S)
 _MARKS = re.compile(r"^(?:[rRbBuUfF]{1,2}(?=[\"']))?[\s/*#!;\-=\"'`|>:,]+|[\s*/\"'`$\\]+$")
 _TAG = re.compile(r"^(?:@\w+(?:\s+\{[^}]*\})?(?:\s+[\w.$]+\s*-)?|:\w+(?:\s+\w+)*:|TODO\b:?|FIXME\b:?|NOTE\b:?|XXX\b:?)\s*")
@@ -139,17 +141,20 @@ def units(s: lexmask.Spans, lang: str) -> list[Unit]:
         if k != lexmask.COMMENT:
             raw = decode(raw)
         prev: Unit | None = None
+        long_line = False
         for j, part in enumerate(raw.split("\n")):
             text = clean(part)
             if not text:
                 prev = None
                 continue
-            if prev is not None and prev.text[-1] not in ".!?。！？:" and text[0].islower() and not _CODE_LINE.search(text):
+            # Only a long line is taken to be wrapped; short ones stand for themselves.
+            if prev is not None and len(part) < 200 and long_line and prev.text[-1] not in ".!?。！？:" and text[0].islower() and not _CODE_LINE.search(text):
                 prev.text += " " + text
                 prev.size += len(text)
             else:
                 prev = Unit(f, line + (j if k == lexmask.COMMENT or "\\" not in raw else 0), a, b, text, len(text))
                 out.append(prev)
+            long_line = len(part.strip()) >= WRAPPED
     return [u for u in out if plausible(u.text)]
 
 
