@@ -97,7 +97,7 @@ TypeP = ID ('.' Name)* TypeArgs? | 'void' | 'null' | 'this' | 'true' | 'false' |
 TypeList = (TypeItem (',' TypeItem)*)? ','?
 TypeItem = '...'? (ID '?'? ':')? Type '?'?
 TypeBody = TypeMember*
-TypeMember = (';' | ',' | 'U') | TMod* PropName '?'? (TypeAnn | Sig)? TEnd | TMod* 'new'? Sig TEnd | TMod* S:IndexSig TypeAnn TEnd | ('+' | '-')? 'readonly'? S:Mapped ('+' | '-')? '?'? TypeAnn TEnd
+TypeMember = (';' | ',' | 'U') | TMod* PropName '?'? (TypeAnn | Sig)? (TEnd | S:IndexSig TypeAnn TEnd) | TMod* 'new'? Sig TEnd | TMod* S:IndexSig TypeAnn TEnd | ('+' | '-')? 'readonly'? S:Mapped ('+' | '-')? '?'? TypeAnn TEnd
 TMod = 'readonly' | 'get' | 'set'
 Mapped = ID 'in' Type ('as' Type)?
 TEnd = ';' | ',' | 'U' | EOF
@@ -322,7 +322,7 @@ Array = (Value (',' Value)*)?
 #: Blocks of YAML over kinds of lines: K a key without value, V a key with one, L a list
 #: mark, M a list mark with a key, X plain text, Q a quoted or flow value, D a document mark, H a block scalar's key.
 YAML_BLOCKS = """
-File = ('D' | Node)*
+File = Node? ('D' Node?)*
 Node = Map | List | Scalar
 Map = Entry+
 Entry = 'K' (B:Node | List)? | 'V' B:Text? | 'H' B:Any?

@@ -128,9 +128,9 @@ def documented(texts: pa.Array, lang: str) -> list[tuple[int, int, int, str]]:
                 if not row and not depth:
                     last = 0
                     break
-                depth = max(0, depth + row.count(b"(") - row.count(b")")) if depth or row.startswith(b"@") else 0
-                if not row.startswith(b"@") and not depth and not (row.endswith(b")") and row == b")"):
+                if not depth and not row.startswith(b"@"):
                     break
+                depth = max(0, depth + row.count(b"(") - row.count(b")"))
                 last += 1
                 at = n + 1
             else:

@@ -92,11 +92,13 @@ class Parser:
             self.tokens.update({"++": "I", "--": "I"})
         ops = sorted((w for w in self.tokens if not w[0].isalpha()), key=len, reverse=True)
         prefix = r"(?:[rRbBuUfFtT]{1,2})(?=\x01)|" if lang == "python" else ""
+        prefix += r"(?<=\x04)[a-z]+|" if lang in ("javascript", "typescript") else ""
         number = r"\.?\d[\w.]*(?:(?<=[eEpP])[+-]\d[\w.]*)?"
         self._token = re.compile(
             prefix + r"[A-Za-z_$\x80-\xff][\w$\x80-\xff]*|" + number + "".join("|" + re.escape(o) for o in ops), re.ASCII
         )
         self._prefix = lang == "python"
+        self._flags = lang in ("javascript", "typescript")
         keep = lambda names: "".join(self.tokens[w] for w in names.split() if w in self.tokens)
         self.key = keep
         basics = (
@@ -125,8 +127,8 @@ class Parser:
             begin = "n@" + "".join(c for w, c in self.tokens.items() if w[0].isalpha() and c not in stay)
             self._cut = re.compile(f"(?<=;)(?![{keep('else while')}])|(?<=[{_BRACE_GROUPS}])(?=[{begin}])")
             if lang != "java":
-                ends = "n1str\\]I" + keep("this super null true false break continue return debugger of async get set static from as let type readonly abstract")
-                no = stay.replace(keep("while"), "")
+                ends = "n1str\\]I" + keep(("void " if lang == "typescript" else "") + "this super null true false break continue return debugger of async get set static from as let type readonly abstract")
+                no = stay.replace(keep("while"), "").replace(keep("else"), "")
                 first = "n1s!~@I" + "".join(c for w, c in self.tokens.items() if w[0].isalpha() and c not in no)
                 self._asi = re.compile(f"(?<=[{ends}])[ \t\r]*\n\\s*(?=[{first}])")
                 self._asi_paren = re.compile(f"(?<=\\))[ \t\r]*\n\\s*(?=[{first}])")
@@ -145,6 +147,9 @@ class Parser:
         t = self.tokens
         if self._prefix:
             text = self._token.sub(lambda m: "" if m.end() < len(text) and text[m.end()] == "\x01" and len(m[0]) < 3 and m[0] not in t else t[m[0]], text)
+        elif self._flags:
+            # Letters right after a regular expression are its flags.
+            text = self._token.sub(lambda m: "" if m.start() and text[m.start() - 1] == "\x04" and m[0].isalpha() else t[m[0]], text)
         else:
             text = self._token.sub(lambda m: t[m[0]], text)
         return text.replace("\x01", "s").replace("\x03", "t").replace("\x04", "r")
