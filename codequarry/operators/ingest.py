@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from codequarry.functions.text import EXTENSIONS
 
+#: Marks of the call lists in summaries.
+CALLS_LABEL, CALLED_LABEL = "调用→ ", "被调用← "
 MAX_CHUNK, OVERLAP_LINES, MIN_LINES = 4096, 5, 10
 
 
@@ -102,6 +104,14 @@ def resolve(calls: DataFrame, table: DataFrame, imports: DataFrame) -> DataFrame
     return x.select(*calls.columns, name.otherwise(F.col("callee_text")).alias("resolved"), conf.otherwise(0.1).alias("confidence"))
 
 
+def resolve_handlers(endpoints: DataFrame, table: DataFrame, imports: DataFrame) -> DataFrame:
+    """Endpoints whose handler text is replaced by the symbol it resolves to, or kept where nothing is known of it."""
+    e = endpoints.withColumn("call_id", F.monotonically_increasing_id())
+    asked = e.filter("handler <> ''").select("call_id", F.col("handler").alias("callee_text"), F.col("file").alias("file_path"))
+    found = resolve(asked, table, imports).filter("confidence > 0.1").select("call_id", "resolved")
+    return e.join(found, "call_id", "left").withColumn("handler", F.coalesce("resolved", "handler")).select(*endpoints.columns)
+
+
 def line_range(text: Column, start: Column, end: Column) -> Column:
     """Lines start to end, 1-based and inclusive, clamped; '' where nothing is left."""
     lines = F.split(text, "\n")
@@ -160,7 +170,7 @@ def repomap_text(type_: Column, name: Column, path: Column, start: Column, end:
     """The summary of an entity that is embedded."""
     some = lambda c: F.nullif(c, F.lit(""))
     place = F.concat(F.lit("File: "), path, F.lit(":"), start.cast("string"), F.lit("-"), end.cast("string"))
-    return F.concat_ws("\n", F.concat(F.lit("["), type_, F.lit("] "), name), place, some(signature), doc_text(doc), F.concat(F.lit("调用→ "), some(callees)), F.concat(F.lit("被调用← "), some(callers)))
+    return F.concat_ws("\n", F.concat(F.lit("["), type_, F.lit("] "), name), place, some(signature), doc_text(doc), F.concat(F.lit(CALLS_LABEL), some(callees)), F.concat(F.lit(CALLED_LABEL), some(callers)))
 
 
 def chunk_text(context: Column, type_: Column, name: Column, index: Column, total: Column, path: Column, signature: Column, doc: Column, content: Column) -> Column:

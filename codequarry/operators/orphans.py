@@ -17,6 +17,8 @@ from codequarry.operators import bloom
 #: References to an id that holds more than this share of a sample are spread over SALTS tasks;
 #: the sample decides on the spreading alone, never on a result.
 HOT_SHARE, SALTS, HOT_SAMPLE = 0.005, 32, 0.02
+#: Ids removed more often than this are not looked up in arrays but by a sorted as-of pass.
+MAX_SPANS = 1000
 
 
 def references(relationships: DataFrame) -> DataFrame:
@@ -51,8 +53,31 @@ def lifetimes(entities: DataFrame, removals: DataFrame) -> DataFrame:
     return spans.groupBy("ref", "gone").agg(F.min("t").alias("born"))
 
 
+def _dead_as_of(refs: DataFrame, entities: DataFrame, removals: DataFrame, ids: DataFrame) -> DataFrame:
+    """(relationship_id, side, at): references to ids(ref) that do not hold, for ids with any number of removals.
+
+    An id is alive at a time if its last creation until then is later than its last removal;
+    one running pass in time order finds both, without collecting anything.
+    """
+    null = F.lit(None)
+    e = entities.select(clean_id(F.col("id")).alias("ref"), F.col("created_at").alias("t"), F.lit(0).alias("k"))
+    d = removals.select(clean_id(F.col("entity_id")).alias("ref"), F.col("removed_at").alias("t"), F.lit(1).alias("k"))
+    marks = e.unionByName(d).filter("t is not null").distinct().join(ids, "ref", "left_semi")
+    marks = marks.select("ref", "t", "k", null.cast("bigint").alias("relationship_id"), null.cast("string").alias("side"))
+    mine = refs.join(ids, "ref", "left_semi")
+    asked = mine.filter("at is not null").select("ref", F.col("at").alias("t"), F.lit(2).alias("k"), "relationship_id", "side")
+    until = Window.partitionBy("ref").orderBy("t", "k").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda kind: F.max(F.when(F.col("k") == kind, F.col("t"))).over(until)
+    seen = marks.unionByName(asked).withColumns({"_c": last(0), "_r": last(1)}).filter("k = 2")
+    alive = F.col("_c").isNotNull() & (F.col("_r").isNull() | (F.col("_r") < F.col("_c")))
+    dead = seen.filter(~alive).select("relationship_id", "side", F.col("t").alias("at"))
+    known = e.select("ref").distinct()
+    timeless = mine.filter("at is null").join(known, "ref", "left_anti").select("relationship_id", "side", "at")
+    return dead.unionByName(timeless)
+
+
 def orphans(relationships: DataFrame, entities: DataFrame, removals: DataFrame, external: DataFrame,
-            max_bits: int = bloom.MAX_BITS) -> DataFrame:
+            max_bits: int = bloom.MAX_BITS, max_spans: int = MAX_SPANS) -> DataFrame:
     """(relationship_id, side, at): the orphan references, one row for each that was delivered.
 
     Ids are compared without surrounding white space and composed; letter case counts. An
@@ -69,6 +94,15 @@ def orphans(relationships: DataFrame, entities: DataFrame, removals: DataFrame,
     sure = seen.filter(~F.col("maybe")).select("relationship_id", "side", "at")
     open_refs = seen.filter("maybe").drop("maybe")
 
+    # The spans of an id are at most one more than its removals; ids with very many go another way.
+    often = removals.groupBy(clean_id(F.col("entity_id")).alias("ref")).agg(F.count("*").alias("n")).filter(F.col("n") > max_spans).select("ref")
+    often = often.join(ext, "ref", "left_anti")
+    extra = None
+    if not often.isEmpty():
+        extra = _dead_as_of(open_refs, entities, removals, often)
+        open_refs = open_refs.join(often, "ref", "left_anti").select(*open_refs.columns)
+        life = life.join(often, "ref", "left_anti").select(*life.columns)
+
     always = ext.select("ref", F.lit(None).cast("timestamp").alias("gone"), F.lit(None).cast("timestamp").alias("born"), F.lit(True).alias("always"))
     spans = life.select("ref", "gone", "born", F.lit(False).alias("always")).unionByName(always)
     # One array of spans for each id keeps the join one to one; it is as long as the id has removals.
@@ -95,7 +129,8 @@ def orphans(relationships: DataFrame, entities: DataFrame, removals: DataFrame,
         lambda x: x.always | F.col("at").isNull() | ((x.born <= F.col("at")) & (x.gone.isNull() | (x.gone > F.col("at")))),
     )
     gone = joined.filter(~F.coalesce(holds, F.lit(False))).select("relationship_id", "side", "at")
-    return sure.unionByName(gone)
+    found = sure.unionByName(gone)
+    return found if extra is None else found.unionByName(extra)
 
 
 def orphan_rows(*tables: DataFrame) -> DataFrame:

@@ -60,3 +60,8 @@ def tree(paths: DataFrame) -> DataFrame:
 
 def extension(c: Column) -> Column:
     return F.lower(F.regexp_extract(c, r"(\.[^./]+)$", 1))
+
+
+def tree_order(rows: DataFrame) -> DataFrame:
+    """The tree by folder, folders before files, then by name."""
+    return rows.orderBy("parent", F.desc("is_dir"), "name")

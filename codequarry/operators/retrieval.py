@@ -20,6 +20,8 @@ from codequarry.operators import summary
 #: Bytes of query vectors that are broadcast at once; more queries are worked off in blocks.
 QUERY_BLOCK_BYTES = 32 << 20
 K1, B = 1.5, 0.75
+#: Begin and end of the context's title.
+TITLE, TITLE_END = "# 代码上下文 (查询: ", ")\n\n"
 #: Words of a query that prefer functions and methods, or classes.
 FUNCTION_WORDS = ["函数", "function", "func", "方法", "method"]
 CLASS_WORDS = ["类", "class", "struct", "结构"]
@@ -247,7 +249,7 @@ def rag_budget(sources: DataFrame, queries: DataFrame, budget: int = 16000, keys
 
 
 def header(text: Column) -> Column:
-    return F.concat(F.lit("# 代码上下文 (查询: "), text, F.lit(")\n\n"))
+    return F.concat(F.lit(TITLE), text, F.lit(TITLE_END))
 
 
 def rag_text(sources: DataFrame, queries: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, budget: int = 16000) -> DataFrame:
@@ -262,10 +264,10 @@ def rag_text(sources: DataFrame, queries: DataFrame, nodes: DataFrame | None = N
     names = summary.caller_callee_names(nodes, edges).join(nodes.select("id", "name"), "id")
     ids = kept.select("query_id", "ord", "id").join(names, "id")
     both = ids.select("query_id", F.inline(F.array(
-        F.struct("ord", F.lit(0).alias("side"), F.when(F.col("callees") != "", F.concat("name", F.lit(" → "), "callees")).alias("line")),
-        F.struct("ord", F.lit(1).alias("side"), F.when(F.col("callers") != "", F.concat("name", F.lit(" ← "), "callers")).alias("line")),
+        F.struct("ord", F.lit(0).alias("side"), F.when(F.col("callees") != "", F.concat("name", F.lit(f" {summary.CALLS_MARK} "), "callees")).alias("line")),
+        F.struct("ord", F.lit(1).alias("side"), F.when(F.col("callers") != "", F.concat("name", F.lit(f" {summary.CALLED_MARK} "), "callers")).alias("line")),
     ))).filter("line is not null").groupBy("query_id", "line").agg(F.min(F.struct("ord", "side")).alias("p"))
-    section = both.groupBy("query_id").agg(F.concat(F.lit("\n---\n## 调用关系\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda r: r.line), "\n"), F.lit("\n")).alias("section"))
+    section = both.groupBy("query_id").agg(F.concat(F.lit("\n" + summary.SECTION_TITLE), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "line"))), lambda r: r.line), "\n"), F.lit("\n")).alias("section"))
     x = x.join(section, "query_id", "left")
     fits = F.coalesce("used", F.lit(0)) + F.octet_length("section") <= budget + 1
     return x.select("query_id", F.concat(text, F.when(F.col("section").isNotNull() & fits, F.col("section")).otherwise("")).alias("text"))

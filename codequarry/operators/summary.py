@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from codequarry.functions.text import short_path
 from codequarry.operators import graph
 
+#: Headings and marks of the texts.
+CALLS_TITLE, CALLED_TITLE, CALLS_MARK, CALLED_MARK = "调用", "被调用", "→", "←"
+SECTION_TITLE, GRAPH_TITLE, FUNCTIONS_UNIT, CALLS_UNIT = "---\n## 调用关系\n", "# 调用图 (", " 个函数, ", " 条调用)\n"
+
 
 def _names(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(start, names): distinct names of the other ends, sorted, ids where there is no node."""
@@ -29,7 +33,7 @@ def call_chain(nodes: DataFrame, edges: DataFrame, starts: DataFrame) -> DataFra
     head = starts.select("start").distinct().join(nodes.select(F.col("id").alias("start"), "file_path", "start_line"), "start")
     x = head.join(out, "start", "left").join(back, "start", "left")
     line = lambda mark, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"  {mark} "), F.col(c), F.lit("\n"))).otherwise("")
-    return x.select("start", F.concat(_place("start", "file_path", "start_line"), F.lit("\n"), line("→", "callees"), line("←", "callers")).alias("text"))
+    return x.select("start", F.concat(_place("start", "file_path", "start_line"), F.lit("\n"), line(CALLS_MARK, "callees"), line(CALLED_MARK, "callers")).alias("text"))
 
 
 def call_tree(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 2) -> DataFrame:
@@ -44,14 +48,14 @@ def call_tree(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int
         x = near.join(step.withColumnRenamed("source", "node"), "node").join(nodes.select(F.col("id").alias("target"), _place("name", "file_path", "start_line").alias("name")), "target")
         return x.select("start", F.lit(tag).alias("side"), F.col("node").alias("source"), "target", "name")
 
-    rows = side(e, "→").unionByName(side(e.select(F.col("target").alias("source"), F.col("source").alias("target")), "←"))
+    rows = side(e, CALLS_MARK).unionByName(side(e.select(F.col("target").alias("source"), F.col("source").alias("target")), "←"))
     head = starts.select("start").distinct().join(nodes.select(F.col("id").alias("start"), _place("id", "file_path", "start_line").alias("_head")), "start")
     rows = head.join(rows, "start", "left")
 
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
         start = pdf["start"].iloc[0]
         lines = [pdf["_head"].iloc[0]]
-        for tag, title in (("→", "调用"), ("←", "被调用")):
+        for tag, title in ((CALLS_MARK, CALLS_TITLE), (CALLED_MARK, CALLED_TITLE)):
             part = pdf[pdf["side"] == tag]
             if not len(part):
                 continue
@@ -85,7 +89,7 @@ def summary_lines(nodes: DataFrame, edges: DataFrame, file: str | None = None) -
         F.array_join(F.array_sort(F.collect_set(F.coalesce("name", "target"))), ", ").alias("callees")
     )
     x = chosen.join(named.withColumnRenamed("source", "id"), "id")
-    line = F.concat(F.col("name"), F.lit(" → "), F.col("callees"))
+    line = F.concat(F.col("name"), F.lit(f" {CALLS_MARK} "), F.col("callees"))
     return x.select(short_path(F.col("file_path")).alias("short_file"), "file_path", "start_line", "id", line.alias("line"))
 
 
@@ -107,7 +111,7 @@ def summary_header(nodes: DataFrame, edges: DataFrame, file: str | None = None)
     e = graph.of_types(edges, graph.CALLS).select("source", "target").distinct().join(chosen.select(F.col("id").alias("source")), "source", "left_semi")
     pairs = e.join(chosen.select(F.col("id").alias("target"), "name"), "target", "left").select("source", F.coalesce("name", "target").alias("n")).distinct()
     n = chosen.agg(F.count("*").alias("n")).scalar()
-    return pairs.agg(F.count("*").alias("m")).select(F.concat(F.lit("# 调用图 ("), n.cast("string"), F.lit(" 个函数, "), F.col("m").cast("string"), F.lit(" 条调用)\n")).alias("text"))
+    return pairs.agg(F.count("*").alias("m")).select(F.concat(F.lit(GRAPH_TITLE), n.cast("string"), F.lit(FUNCTIONS_UNIT), F.col("m").cast("string"), F.lit(CALLS_UNIT)).alias("text"))
 
 
 def relation_lines(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -122,8 +126,8 @@ def relation_lines(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFr
         x = _names(pairs.select("start", "id"), nodes).join(nodes.select(F.col("id").alias("start"), "name"), "start")
         return x.select(F.col("start").alias("id"), F.lit(n).alias("side"), F.concat("name", F.lit(f" {mark} "), "names").alias("line"))
 
-    out = side(e.select(F.col("source").alias("start"), F.col("target").alias("id")), "→", 0)
-    back = side(e.select(F.col("target").alias("start"), F.col("source").alias("id")), "←", 1)
+    out = side(e.select(F.col("source").alias("start"), F.col("target").alias("id")), CALLS_MARK, 0)
+    back = side(e.select(F.col("target").alias("start"), F.col("source").alias("id")), CALLED_MARK, 1)
     x = ids.join(out.unionByName(back), "id")
     return x.groupBy("line").agg(F.min(F.struct("ord", "side")).alias("p")).select(F.col("p.ord").alias("ord"), F.col("p.side").alias("side"), "line")
 
@@ -131,7 +135,7 @@ def relation_lines(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFr
 def relation_section(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(text): the section with all lines in order; for the bounded id list of one answer."""
     rows = relation_lines(nodes, edges, ids)
-    return rows.agg(F.concat(F.lit("---\n## 调用关系\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "side", "line"))), lambda r: r.line), "\n"), F.lit("\n")).alias("text"), F.count("*").alias("_n")).filter("_n > 0").drop("_n")
+    return rows.agg(F.concat(F.lit(SECTION_TITLE), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "side", "line"))), lambda r: r.line), "\n"), F.lit("\n")).alias("text"), F.count("*").alias("_n")).filter("_n > 0").drop("_n")
 
 
 def caller_callee_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -156,6 +156,9 @@ QUERIES = {
     "edge_append": lambda s, d: graph.append_edges(edges(s, d), edges(s, d)).groupBy("type").agg(F.count("*").alias("n")),
     "node_delete_cascade": _delete,
     "graph_json_round_trip": _json,
+    "node_by_id": lambda s, d: nodes(s, d).join(_hub(edges(s, d)).withColumnRenamed("start", "id"), "id", "left_semi").select(*_COLS),
+    "callees_khop_memory": lambda s, d: graph.callees(*_all(s, d), _starts(nodes(s, d)), 2, include_start=False).select("start", "id", "depth"),
+    "subgraph_edges_unresolved": lambda s, d: graph.subgraph(*_all(s, d), _hub(edges(s, d)), 2, include_unresolved=True)[1].select("source", "target", "type", "source_file", "line"),
     "nodes_by_type": lambda s, d: nodes(s, d).filter("type = 'class'").select(*_COLS),
     "nodes_by_file": lambda s, d: _in_file(nodes(s, d)).select(*_COLS),
     "neighbors_in": _neighbors("in"), "neighbors_out": _neighbors("out"), "neighbors_both": _neighbors("both"),
@@ -204,6 +207,9 @@ SQL = {
       SELECT id AS key, 'node' AS kind FROM nodes WHERE id NOT IN (SELECT id FROM gone WHERE id IS NOT NULL)
       UNION ALL SELECT concat_ws('|', source, target, type, source_file, line), 'edge' FROM edges WHERE source NOT IN (SELECT id FROM gone WHERE id IS NOT NULL) AND target NOT IN (SELECT id FROM gone WHERE id IS NOT NULL)""",
     "graph_json_round_trip": _G + "SELECT source, target, type, line FROM edges",
+    "node_by_id": _G + f", {_HUB} SELECT {_C} FROM nodes WHERE id IN (SELECT start FROM hub)",
+    "callees_khop_memory": _reach_sql("source", "target", 2).replace("SELECT start, b.id, b.depth, n.name", "SELECT start, b.id, b.depth") + " WHERE start <> b.id",
+    "subgraph_edges_unresolved": _SUB + " SELECT source, target, type, source_file, line FROM edges WHERE source IN (SELECT node FROM walk) AND target IN (SELECT node FROM walk)",
     "nodes_by_type": _G + f"SELECT {_C} FROM nodes WHERE type = 'class'",
     "nodes_by_file": _G + f", {_FILE} SELECT {_C} FROM nodes WHERE file_path IN (SELECT file_path FROM one_file)",
     "neighbors_in": _neighbors_sql("in"), "neighbors_out": _neighbors_sql("out"), "neighbors_both": _neighbors_sql("both"),

@@ -177,7 +177,7 @@ SQL = {
       w AS (SELECT *, CASE WHEN strlen(body) <= 400 THEN total ELSE greatest(10, floor(400 / greatest(strlen(body) // total, 1))::int) END AS n FROM b WHERE body <> ''),
       s AS (SELECT *, CASE WHEN n >= total THEN [start_line] ELSE list_filter(range(start_line, end_line + 1, n - 5), lambda q: q = start_line OR q + 5 <= end_line) END AS begins FROM w),
       c AS (SELECT *, unnest(begins) AS f, len(begins) AS total_chunks FROM s), d AS (SELECT *, least(f + n - 1, end_line) AS t FROM c)
-      SELECT qualified_name, file_path, total_chunks, count(*) AS n, sum(t - f + 1) AS lines, sum(strlen({_BODY.format(a='f', b='t')})) AS bytes, count(*) FILTER (t < end_line) AS cut FROM d GROUP BY 1, 2, 3""",
+      SELECT qualified_name, file_path, total_chunks, count(*) AS n, sum(t - f + 1)::bigint AS lines, sum(strlen({_BODY.format(a='f', b='t')}))::bigint AS bytes, count(*) FILTER (t < end_line) AS cut FROM d GROUP BY 1, 2, 3""",
     "line_range": f"WITH {_ITEMS} SELECT file_id, qualified_name, start_line, end_line, md5({_BODY.format(a='start_line', b='end_line')}) AS md5 FROM items",
     "repomap_text": f"""WITH {GRAPH}, named AS (SELECT c.source AS start, string_agg(DISTINCT coalesce(n.name, c.target), ', ' ORDER BY coalesce(n.name, c.target)) AS callees FROM calls c LEFT JOIN nodes n ON n.id = c.target GROUP BY 1),
       back AS (SELECT c.target AS start, string_agg(DISTINCT coalesce(n.name, c.source), ', ' ORDER BY coalesce(n.name, c.source)) AS callers FROM calls c LEFT JOIN nodes n ON n.id = c.source GROUP BY 1)
@@ -186,7 +186,7 @@ SQL = {
     "embedding_text": f"WITH {GRAPH} SELECT id, concat_ws(chr(10) || chr(10), '[' || type || '] ' || id || ' (part 1/2)', 'File: ' || file_path, nullif(signature, ''), 'Doc.', 'body') AS text FROM nodes",
     "commit_log": _CM + f"SELECT hash, hash[1:8] AS short_hash, author, {_TRIM} AS message FROM commits WHERE contains(lower(message), 'click') ORDER BY commit_ts DESC, hash LIMIT 100",
     "commit_log_file": _CM + "SELECT hash, author FROM commits WHERE (contains(lower(author), 'user1') OR contains(lower(email), 'user1')) AND hash IN (SELECT hash FROM file_changes WHERE path = 'src/view/f3.go' OR old_path = 'src/view/f3.go')",
-    "commit_stats": _CM + "SELECT c.hash, c.hash[1:8] AS short_hash, count(f.hash) AS files, coalesce(sum(additions), 0) AS additions, coalesce(sum(deletions), 0) AS deletions FROM commits c LEFT JOIN file_changes f ON f.hash = c.hash GROUP BY 1, 2",
+    "commit_stats": _CM + "SELECT c.hash, c.hash[1:8] AS short_hash, count(f.hash) AS files, coalesce(sum(additions), 0)::bigint AS additions, coalesce(sum(deletions), 0)::bigint AS deletions FROM commits c LEFT JOIN file_changes f ON f.hash = c.hash GROUP BY 1, 2",
     "line_counts": f"WITH {_FILES} SELECT file_path, CASE WHEN content = '' THEN 0 ELSE len(string_split(content, chr(10))) - CASE WHEN suffix(content, chr(10)) THEN 1 ELSE 0 END END AS lines FROM files",
     "file_history": _CM + """, b AS (SELECT path AS file, * FROM file_changes UNION SELECT old_path, * FROM file_changes WHERE old_path <> ''),
       r AS (SELECT b.*, row_number() OVER (PARTITION BY file ORDER BY commit_ts DESC, b.hash, path) AS rank FROM b JOIN commits c ON c.hash = b.hash WHERE file IN (SELECT path FROM file_changes))

@@ -146,9 +146,9 @@ SQL = {
     "rag_sources_expanded": _BASE + """, hits AS (SELECT r.query_id, r.id, n.file_path FROM ranked r LEFT JOIN kg_nodes n ON n.id = r.id WHERE rank <= 10 AND score >= 0.1),
       more AS (SELECT DISTINCT h.query_id, n.id FROM hits h JOIN kg_nodes n ON n.file_path = h.file_path WHERE (h.query_id, n.id) NOT IN (SELECT (query_id, id) FROM hits))
       SELECT query_id, 'semantic' AS reason, count(*) AS n FROM hits GROUP BY 1 UNION ALL SELECT query_id, 'same file', count(*) FROM more GROUP BY 1""",
-    "rag_budget": _BASE + _ENTRY.format(reason="'semantic'", hits="(SELECT * FROM ranked WHERE rank <= 10 AND score >= 0.1)") + " SELECT query_id, ord, id, bytes, used FROM u WHERE used <= 3000",
+    "rag_budget": _BASE + _ENTRY.format(reason="'semantic'", hits="(SELECT * FROM ranked WHERE rank <= 10 AND score >= 0.1)") + " SELECT query_id, ord, id, bytes, used::bigint AS used FROM u WHERE used <= 3000",
     "multi_repo_topk": _BASE + f" SELECT query_id, repo_id, id, rr AS rank, round(score, 6) AS score, round(max(score) OVER (PARTITION BY query_id, repo_id), 6) AS repo_best FROM {_REPOS}",
-    "multi_repo_rag": _BASE + _ENTRY.format(reason="concat('semantic @ ', r.repo_id)", hits=_REPOS) + " SELECT query_id, ord, id, used FROM u WHERE used <= 4000",
+    "multi_repo_rag": _BASE + _ENTRY.format(reason="concat('semantic @ ', r.repo_id)", hits=_REPOS) + " SELECT query_id, ord, id, used::bigint AS used FROM u WHERE used <= 4000",
     "repo_list": "SELECT repo_id, concat(CASE WHEN r IN ('', '.', '..') THEN 'default' ELSE r END, '@', CASE WHEN coalesce(branch, '') = '' THEN 'main' ELSE branch END) AS repo_key FROM (SELECT *, regexp_replace(regexp_replace(regexp_extract(regexp_replace(repo_path, '/+$', ''), '([^/]*)$', 1), '\\.git$', ''), '[^a-zA-Z0-9_\\-.]', '_', 'g') AS r FROM repos) z",
     "repo_latest": "SELECT repo_id FROM repos ORDER BY indexed_at DESC NULLS LAST, repo_id LIMIT 1",
 }

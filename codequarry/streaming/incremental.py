@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codequarry.operators.ingest import resolve, symbols
+from codequarry.operators.ingest import resolve, resolve_handlers, symbols
 from codequarry.schema import keep_last
 from codequarry.sources import parsers
 
@@ -21,7 +21,7 @@ def index_batch(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     found = resolve(calls, symbols(entities), parsers.parsed_imports(rows))
     edges = found.select(F.col("caller").alias("source"), F.col("resolved").alias("target"), F.lit("calls").alias("type"), F.col("file_path").alias("source_file"), "line", "confidence")
     edges = keep_last(edges, ["source", "target", "type", "source_file", "line"], [F.col("confidence").desc()])
-    return nodes, edges, parsers.parsed_endpoints(rows)
+    return nodes, edges, resolve_handlers(parsers.parsed_endpoints(rows), symbols(entities), parsers.parsed_imports(rows))
 
 
 def watch(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:

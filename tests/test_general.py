@@ -59,6 +59,16 @@ def test_orphans_in_time(spark):
     assert rep[("target", "2024-01")] == 3 and rep[("target", None)] == 1
 
 
+def test_orphans_of_an_id_that_is_removed_very_often(spark):
+    rel = [(i, "a", "b", "calls", None, T(i)) for i in range(1, 28)] + [(50, "a", "b", "calls", None, None)]
+    ent = [("a", T(1)), *[("b", T(d)) for d in range(2, 26, 4)]]
+    rem = [("b", T(d)) for d in range(4, 28, 4)]
+    t = tables(spark, rel, ent, rem)
+    want = {(r[0], r[1]) for r in orphans.orphans(*t).select("relationship_id", "side").collect()}
+    got = {(r[0], r[1]) for r in orphans.orphans(*t, max_spans=2).select("relationship_id", "side").collect()}
+    assert got == want == {(i, "target") for i in range(1, 28) if i < 2 or i >= 24 or i % 4 in (0, 1)}
+
+
 def test_orphans_of_empty_tables(spark):
     t = tables(spark, [(1, "a", "b", "x", None, T(1))], [])
     assert orphans.orphan_rows(*t).count() == 2
