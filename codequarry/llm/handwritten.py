@@ -127,23 +127,31 @@ def layout(texts: pa.Array) -> dict[str, np.ndarray]:
     """Layout statistics of each text, from byte classes."""
     data, starts, ends = lexmask.buffers(texts)
     size = ends - starts
-    run = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    run = lexmask.running
     count = lambda c: c[ends] - c[starts]
     space = run((data == 32) | (data == 9) | (data == 13) | (data == 10))
     alnum = run(((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 0x80))
     control = run(((data < 32) & (data != 9) & (data != 10) & (data != 13) & (data != 12)) | (data == 127))
     digit = run((data >= 48) & (data <= 57))
-    nl = np.flatnonzero(data == 10)
-    lo, hi = np.searchsorted(nl, starts), np.searchsorted(nl, ends)
-    longest = np.zeros(len(starts), dtype=np.int64)
-    for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-        cuts = np.concatenate([[starts[i] - 1], nl[a:b], [ends[i]]])
-        longest[i] = int(np.diff(cuts).max()) - 1 if size[i] else 0
+    quote = run((data == 34) | (data == 39))
+
+    def gaps(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(longest stretch between positions, number of positions) of each text."""
+        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
+        most = np.zeros(len(starts), dtype=np.int64)
+        for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+            if size[i]:
+                cuts = np.concatenate([[starts[i] - 1], at[a:b], [ends[i]]])
+                most[i] = int(np.diff(cuts).max()) - 1
+        return most, hi - lo
+
+    longest, n_lines = gaps(np.flatnonzero(data == 10))
+    word, _ = gaps(np.flatnonzero((data == 32) | (data == 9) | (data == 10) | (data == 13)))
     safe = np.maximum(size, 1)
-    lines = hi - lo + 1
+    lines = n_lines + 1
     return {
         "size": size, "lines": lines, "longest": longest, "mean": size / np.maximum(lines, 1), "space": count(space) / safe,
-        "alnum": count(alnum) / safe, "control": count(control) / safe, "digit": count(digit) / safe,
+        "alnum": count(alnum) / safe, "control": count(control) / safe, "digit": count(digit) / safe, "quote": count(quote) / safe, "word": word,
     }
 
 
@@ -183,7 +191,7 @@ def classify(paths: list[str | None], texts: pa.Array, lang: str) -> list[str]:
             kind = "data"
         elif st["mean"][i] > lim.minified_line and st["space"][i] < lim.minified_space and st["alnum"][i] < 0.85 and st["digit"][i] < 0.4 and lang not in ("json", "yaml", "properties"):
             kind = "minified"
-        if not kind and (st["digit"][i] > 0.2 or st["longest"][i] > 48) and len(text) > 200:
+        if not kind and (st["digit"][i] > 0.2 or st["word"][i] > 48 or st["quote"][i] > 0.06) and len(text) > 200:
             share, other = data_share(text)
             if share >= lim.data_share or (share >= lim.data_share_short and other <= lim.data_lines):
                 kind = "data"

@@ -210,6 +210,13 @@ def _lut(lang: str) -> np.ndarray:
     return lut
 
 
+def running(mask: np.ndarray) -> np.ndarray:
+    """Counts of true values before each position and at the end, in as few bytes as fit."""
+    out = np.zeros(len(mask) + 1, dtype=np.int32 if len(mask) < 1 << 31 else np.int64)
+    np.cumsum(mask, out=out[1:])
+    return out
+
+
 @dataclass
 class Spans:
     """Spans that are not code, in order: file index, byte range, kind; buffers of the batch."""

@@ -27,7 +27,7 @@ def quality(texts: pa.Array) -> np.ndarray:
     """A weight from 0.1 to 1 for each text: its share of letters and digits, eased for short texts."""
     data, starts, ends = lexmask.buffers(texts)
     good = ((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 0x80)
-    run = np.concatenate([[0], np.cumsum(good)])
+    run = lexmask.running(good)
     size = ends - starts
     share = (run[ends] - run[starts]) / np.maximum(size, 1)
     return np.clip(share, 0.1, 1.0) * (0.5 + 0.5 * np.minimum(1.0, size / 400))

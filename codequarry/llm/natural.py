@@ -112,10 +112,10 @@ def units(s: lexmask.Spans, lang: str) -> list[Unit]:
     if lang not in ("yaml", "properties"):
         keep &= kind != lexmask.KEY
     file = s.file
-    spaces = np.concatenate([[0], np.cumsum(data == 32)])
-    high = np.concatenate([[0], np.cumsum((data >= 0x80) | (data == 92))])
-    newline = np.concatenate([[0], np.cumsum(data == 10)])
-    solid = np.concatenate([[0], np.cumsum(data > 32)])
+    spaces = lexmask.running(data == 32)
+    high = lexmask.running((data >= 0x80) | (data == 92))
+    newline = lexmask.running(data == 10)
+    solid = lexmask.running(data > 32)
     # Line comments on consecutive lines with nothing between are one block.
     group = np.ones(len(lo), dtype=bool)
     if len(lo) > 1:

@@ -93,8 +93,8 @@ def documented(texts: pa.Array, lang: str) -> list[tuple[int, int, int, str]]:
     data, lo, hi, kind, file = s.data, s.lo, s.hi, s.kind, s.file
     blob = data.tobytes()
     ends = np.flatnonzero(data == 10)
-    newline = np.concatenate([[0], np.cumsum(data == 10)])
-    solid = np.concatenate([[0], np.cumsum(data > 32)])
+    newline = lexmask.running(data == 10)
+    solid = lexmask.running(data > 32)
     out: list[tuple[int, int, int, str]] = []
     # Comments that stand alone on their lines, consecutive ones as one block.
     c = np.flatnonzero(kind == lexmask.COMMENT)

@@ -318,7 +318,7 @@ def skeletons(s: lexmask.Spans) -> list[str]:
     np.add.at(edge, lo, 1)
     np.add.at(edge, hi, -1)
     inside = np.cumsum(edge[:-1]) > 0
-    lines = np.concatenate([[0], np.cumsum(s.data == 10)])
+    lines = lexmask.running(s.data == 10)
     mark = _MARK[kind]
     mark = np.where((kind == lexmask.COMMENT) & (lines[hi] > lines[lo]), 10, mark)
     data[lo] = mark
@@ -330,7 +330,7 @@ def skeletons(s: lexmask.Spans) -> list[str]:
     b = b[(s.data[b] == 0xEF) & (s.data[b + 1] == 0xBB) & (s.data[b + 2] == 0xBF)] if len(b) else b
     for k in range(3):
         keep[b + k] = False
-    at = np.concatenate([[0], np.cumsum(keep)])
+    at = lexmask.running(keep)
     text = data[keep].tobytes().decode("latin-1")
     return [text[x:y] for x, y in zip(at[s.starts].tolist(), at[s.ends].tolist(), strict=True)]
 
