@@ -9,6 +9,7 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +83,29 @@ def mean_pool(vectors: DataFrame, keys: Sequence[str], column: str = "embedding"
     return x.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda e: e["_m"]).alias("embedding"))
 
 
+def _best(s: np.ndarray, k: int, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k greatest of each row of scores, ties by id."""
+    n = s.shape[1]
+    if n <= k:
+        return np.repeat(np.arange(len(s)), n), np.tile(np.arange(n), len(s))
+    least = np.partition(s, n - k, axis=1)[:, n - k]
+    row, col = np.nonzero(s >= least[:, None])
+    many = np.flatnonzero(np.bincount(row, minlength=len(s)) > k)
+    if len(many):
+        # Ties at the last place, as exact copies make them, are cut by id.
+        place = np.empty(n, dtype=np.int64)
+        place[np.asarray(pc.sort_indices(ids))] = np.arange(n)
+        keep = ~np.isin(row, many)
+        rows, cols = [row[keep]], [col[keep]]
+        for i in many:
+            c = col[row == i]
+            c = c[np.lexsort((place[c], -s[i, c]))][:k]
+            rows.append(np.full(len(c), i))
+            cols.append(c)
+        row, col = np.concatenate(rows), np.concatenate(cols)
+    return row, col
+
+
 def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, min_score: float | None = None, filters: dict[str, object] | None = None, by: str | None = None) -> DataFrame:
     """V2, V3: (query_id, id, score, rank [, by]): exact cosine top k of vectors(id, embedding) for each
     of queries(query_id, embedding), ties by id. Equality filters apply before the top k. With `by`
@@ -110,36 +134,28 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, min_score: float |
                 return
             qn = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
             for batch in it:
-                e = batch.column("embedding")
-                ok = [i for i, x in enumerate(e.to_pylist()) if x is not None and len(x) == q.shape[1]]
-                if not ok:
+                ok = pc.fill_null(pc.equal(pc.list_value_length(batch.column("embedding")), q.shape[1]), False)
+                part = batch.filter(ok)
+                if not part.num_rows:
                     continue
-                at = pa.array(ok)
-                x = np.array(e.take(at).to_pylist(), dtype=np.float64)
+                x = np.asarray(pc.list_flatten(part.column("embedding")), dtype=np.float64).reshape(-1, q.shape[1])
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
                 s = qn @ np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).T
-                ids = batch.column("id").take(at)
-                group = np.array(batch.column("by").take(at).to_pylist(), dtype=object) if by else None
+                ranks = np.round(s, 9)
+                group = np.asarray(part.column("by").dictionary_encode().indices.fill_null(-1)) if by else np.zeros(len(x), dtype=np.int64)
                 qi, vi = [], []
-                order_ids = np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable")
-                rank_ids = np.empty(len(order_ids), dtype=np.int64)
-                rank_ids[order_ids] = np.arange(len(order_ids))
-                for i in range(len(names)):
-                    # Ties are decided by id on rounded scores, as in the final ranking.
-                    best = np.lexsort((rank_ids, -np.round(s[i], 9)))
-                    if group is None:
-                        best = best[:k]
-                    else:
-                        n: dict = {}
-                        best = [j for j in best if n.setdefault(group[j], []).append(1) or len(n[group[j]]) <= k]
-                    for j in best:
-                        if min_score is None or s[i, j] >= min_score:
-                            qi.append(i)
-                            vi.append(j)
-                cols = [pa.array([names[i] for i in qi], q_arrow), ids.take(pa.array(vi, pa.int64())), pa.array([float(s[i, j]) for i, j in zip(qi, vi, strict=True)], pa.float64())]
+                for g in np.unique(group):
+                    a, b = _best(ranks[:, group == g], k, part.column("id").filter(pa.array(group == g)))
+                    qi.append(a)
+                    vi.append(np.flatnonzero(group == g)[b])
+                qi, vi = np.concatenate(qi), np.concatenate(vi)
+                if min_score is not None:
+                    keep = s[qi, vi] >= min_score
+                    qi, vi = qi[keep], vi[keep]
+                cols = [pa.array(names, q_arrow).take(pa.array(qi)), part.column("id").take(pa.array(vi)), pa.array(s[qi, vi], pa.float64())]
                 if by:
-                    cols.append(batch.column("by").take(at).take(pa.array(vi, pa.int64())))
-                if qi:
+                    cols.append(part.column("by").take(pa.array(vi)))
+                if len(qi):
                     yield pa.RecordBatch.from_arrays(cols, names=["query_id", "id", "score", "by"][: len(cols)])
 
         found = vectors.select("id", "embedding", *([F.col(by).cast("string").alias("by")] if by else [])).mapInArrow(
