@@ -102,7 +102,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: i
     x = records.join(F.broadcast(level), ["source", "range"])
     whole = x.filter("state <> 'cut'").withColumn("extra", (F.col("state") == "in").cast("bigint"))
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = x.filter("state = 'cut'").withColumn("extra", (F.col("before") + F.sum("tokens").over(within) <= F.col("rest")).cast("bigint"))
+    cut = x.filter("state = 'cut'").withColumn("extra", (F.col("before") + F.sum("tokens").over(within) - F.col("tokens") / 2 <= F.col("rest")).cast("bigint"))
     out = whole.unionByName(cut)
     copies = F.least(F.col("epochs") + F.col("extra"), F.col("max_repeats")).cast("int")
     return out.select("doc_id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
