@@ -80,7 +80,7 @@ def describe_udf(docs: pd.Series) -> pd.Series:
 
 
 _DEF = re.compile(
-    r"^[ \t]*(?:async[ \t]+)?def[ \t]+[^\s(\[]+\s*(?:\[[^\]]*\]\s*)?\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)\s*(?:->[^\n:]+)?:[ \t\r]*\n(?:[ \t\r\x02]*\n)*[ \t]*[rRuUbB]{0,2}(\x01)",
+    r"^[ \t]*(?:async[ \t]+)?def[ \t]+[^\s(\[]+\s*(?:\[[^\]]*\]\s*)?\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)\s*(?:->[^\n:]+)?:[ \t\r]*\n(?:[ \t\r\x02]*\n)*[ \t]*[rRuUbB]{0,2}(\x01)",
     re.M,
 )
 

@@ -30,8 +30,6 @@ _OPS = {
     "json": ("", "", ""),
 }
 _OPS["typescript"] = _OPS["javascript"]
-for _d in (grammars.RESERVED,):
-    _d.setdefault("typescript", _d["javascript"])
 _GROUP = {"P": 0xF0000, "S": 0xF4000, "B": 0xF8000}
 _BRACKET = {"(": "P", "[": "S", "{": "B"}
 _BRACE_GROUPS = "\U000f8000-\U000fbfff"
@@ -66,6 +64,7 @@ _INNER = re.compile(r"([(\[{])([^()\[\]{}\x00]*)([)\]}])")
 _BLANK = re.compile(r"\s+")
 _SIGNED = re.compile(r"(?:(?<=[,(\[{])|(?<![^\x00]))-1(?=,|$)")
 _EQUAL = re.compile(r"([^,;]),\1(?:,\1){2,}")
+_ANY_BRACKET = re.compile(r"[()\[\]{}]")
 _MATCH = {"(": ")", "[": "]", "{": "}"}
 
 
@@ -77,7 +76,7 @@ class Parser:
     def __init__(self, lang: str):
         self.lang = lang
         self.labels = Labels()
-        words = grammars.RESERVED[lang].split()
+        words = grammars.RESERVED["javascript" if lang == "typescript" else lang].split()
         soft = grammars.CONTEXTUAL[lang].split()
         self.tokens = Missing()
         for i, w in enumerate([*words, *soft]):
@@ -137,8 +136,7 @@ class Parser:
         if lang == "python":
             self._lines: dict[str, str] = {}
             self.blocks = Grammar(grammars.PYTHON_BLOCKS, lambda w: w)
-            self.kinds = [x for x in self.grammar.start if re.match("[HI][A-Z]", x) and x not in ("HDeco_",)] + ["Simple", "Py2"]
-            self.kinds.remove("ID") if "ID" in self.kinds else None
+            self.kinds = [x for x in self.grammar.start if re.match("[HI][A-Z]", x) and x != "ID"] + ["Simple", "Py2"]
             self.line_labels = Labels()
             self._suites: dict[str, str] = {}
             self._files: dict[str, bool] = {}
@@ -154,8 +152,7 @@ class Parser:
             text = self._token.sub(lambda m: t[m[0]], text)
         return text.replace("\x01", "s").replace("\x03", "t").replace("\x04", "r")
 
-    def _group(self, m: re.Match) -> str:
-        open_, inner, close = m[1], m[2], m[3]
+    def _group(self, open_: str, inner: str, close: str) -> str:
         if _MATCH[open_] != close:
             return "\x02"
         kind = _BRACKET[open_]
@@ -193,16 +190,32 @@ class Parser:
     def reduce(self, text: str) -> str:
         """Groups replaced inside out; files are kept apart by NUL."""
         for _ in range(12):
-            text, n = _INNER.subn(self._group, text)
+            text, n = _INNER.subn(lambda m: self._group(m[1], m[2], m[3]), text)
             if not n:
                 return text
-        parts = text.split("\0")
-        for i, p in enumerate(parts):
-            n = 1
-            while n:
-                p, n = _INNER.subn(self._group, p)
-            parts[i] = p
-        return "\0".join(parts)
+        return "\0".join(self._reduce_deep(p) for p in text.split("\0"))
+
+    def _reduce_deep(self, text: str) -> str:
+        """The same for one deeply nested file, in one pass with a stack."""
+        opened: list[str] = []
+        parts: list[list[str]] = [[]]
+        at = 0
+        for m in _ANY_BRACKET.finditer(text):
+            parts[-1].append(text[at : m.start()])
+            at = m.end()
+            if m[0] in _MATCH:
+                opened.append(m[0])
+                parts.append([])
+            elif opened:
+                inner = "".join(parts.pop())
+                parts[-1].append(self._group(opened.pop(), inner, m[0]))
+            else:
+                parts[-1].append("\x02")
+        parts[-1].append(text[at:])
+        while opened:
+            inner = "".join(parts.pop())
+            parts[-1].append(opened.pop() + inner)
+        return "".join(parts[0])
 
     def valid(self, files: list[str]) -> list[bool]:
         """files: skeletons, see `skeletons`."""

@@ -135,3 +135,8 @@ def test_long_and_deep_texts():
     deep = "x = " + "(" * 60 + "1" + ")" * 60 + "\n"
     long = "x = [" + "1, " * 50_000 + "]\n"
     assert ok("python", deep, long, deep[:-2]) == [True, True, False]
+
+
+def test_very_deep_nesting_is_linear():
+    n = 20_000
+    assert ok("json", "[" * n + "]" * n, "[" * n + "]" * (n - 1), "[" * n + "}" * n) == [True, False, False]
