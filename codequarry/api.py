@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.operators import graph, history, raw, retrieval, summary
+from codequarry.operators import graph, history, lookups, raw, retrieval, summary
 from codequarry.schema import empty
 
 _FILE_LIKE = re.compile(r"/|\.(?:py|go|java|js|ts|c|cpp|cc|h|hpp)$")
@@ -43,7 +43,7 @@ class Engine:
 
     # Points and lists
     def entity(self, id_: str) -> DataFrame:
-        return self.nodes.filter(F.col("id") == id_)
+        return lookups.by_id(self.nodes, id_)
 
     def graph_data(self) -> tuple[DataFrame, DataFrame]:
         return self.nodes, self.edges

@@ -77,7 +77,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, starts: DataFrame, direction:
 def reach(edges: DataFrame, starts: DataFrame, depth: int, include_start: bool = True) -> DataFrame:
     """(start, node, depth): nodes within `depth` steps along source -> target, with their least depth.
 
-    A start is among its own nodes only where a cycle leads back to it, and never without
+    G7m, G8 of the memory store: include_start=False. A start is among its own nodes only where a cycle leads back to it, and never without
     include_start. Depth 0 or less counts as 1.
     """
     depth = max(1, depth)
@@ -144,7 +144,7 @@ def induced(nodes: DataFrame, edges: DataFrame, include_unresolved: bool = False
 def subgraph(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 2, include_unresolved: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nodes within `depth` steps in either direction over all edge types, and the edges among them.
 
-    Edges count where both ends are nodes, or with include_unresolved where both were visited.
+    Edges count where both ends are nodes, or with include_unresolved (G9m) where both were visited.
     """
     both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target")))
     r = reach(both, starts, depth).select("node").unionByName(starts.select(F.col("start").alias("node"))).distinct().withColumnRenamed("node", "id")
@@ -213,31 +213,58 @@ def cycles(edges: DataFrame, max_len: int = 3, types: Sequence[str] | None = CAL
     return out
 
 
-def cycle_nodes(edges: DataFrame, types: Sequence[str] | None = CALLS, max_depth: int = 50) -> DataFrame:
-    """(node): nodes that reach themselves in two or more steps of the core."""
+def strong_components(edges: DataFrame, types: Sequence[str] | None = CALLS, rounds: int = 30) -> DataFrame:
+    """(node, component): the strongly connected pieces of two or more nodes, named by their least id.
+
+    Colouring: the least id that reaches a node is propagated along the edges; a node of its own
+    colour is a root, and what reaches it within its colour is its piece. Found pieces are taken
+    out, the rest is trimmed and coloured again, so work follows the edges and not pairs of nodes.
+    """
     e = cyclic_core(edges, types)
-    r = reach(e, e.select(F.col("source").alias("start")).distinct(), max_depth)
-    return r.filter("start = node").select("node").distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(node, component): least id that an undirected walk reaches; used to keep DFS groups apart."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    label = both.select(F.col("source").alias("node"), F.col("source").alias("component")).distinct()
-    for _ in range(max_rounds):
-        best = both.join(label.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("component").alias("c"))
-        nxt = checkpoint(label.join(best, "node", "left").select("node", F.least("component", F.coalesce("c", "component")).alias("component"), (F.col("c") < F.col("component")).alias("moved")))
-        label = nxt.drop("moved")
-        if nxt.filter("moved").isEmpty():
+    out = None
+    for _ in range(rounds):
+        if e.isEmpty():
             break
-    return label
+        color = e.select(F.col("source").alias("node")).union(e.select("target")).distinct().withColumn("color", F.col("node"))
+        moved = True
+        while moved:
+            best = e.join(color.withColumnRenamed("node", "source"), "source").groupBy(F.col("target").alias("node")).agg(F.min("color").alias("_c"))
+            nxt = color.join(best, "node", "left").select("node", F.least("color", F.coalesce("_c", "color")).alias("color"), (F.col("_c") < F.col("color")).alias("_moved"))
+            nxt = checkpoint(nxt)
+            moved = not nxt.filter("_moved").isEmpty()
+            color = nxt.drop("_moved")
+        ends = e.join(color.select(F.col("node").alias("source"), "color"), "source").join(color.select(F.col("node").alias("target"), F.col("color").alias("_t")), "target")
+        inner = checkpoint(ends.filter(F.col("color") == F.col("_t")).select("source", "target", "color"))
+        found = front = checkpoint(color.filter("node = color"))
+        while True:
+            back = inner.join(front.withColumnRenamed("node", "target"), ["target", "color"]).select(F.col("source").alias("node"), "color").distinct()
+            front = checkpoint(back.join(found, ["node", "color"], "left_anti").select("node", "color"))
+            if front.isEmpty():
+                break
+            found = found.unionByName(front)
+        found = checkpoint(found)
+        big = found.groupBy("color").agg(F.count("*").alias("n")).filter("n > 1").select("color")
+        level = found.join(big, "color", "left_semi").select("node", F.col("color").alias("component"))
+        out = level if out is None else out.unionByName(level)
+        gone = found.select("node")
+        rest = e.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
+        e = cyclic_core(rest.select("source", "target"), None)
+    return out if out is not None else e.select(F.col("source").alias("node"), F.col("source").alias("component"))
+
+
+def cycle_nodes(edges: DataFrame, types: Sequence[str] | None = CALLS) -> DataFrame:
+    """(node): nodes that lie on a cycle of two or more nodes."""
+    return strong_components(edges, types).select("node").distinct()
 
 
 def cycles_dfs(edges: DataFrame, types: Sequence[str] | None = CALLS) -> DataFrame:
     """(cycle): the closed walks of a depth-first search with sorted neighbours, one search for
-    each connected piece of the cyclic core."""
-    e = cyclic_core(edges, types)
-    keyed = e.join(components(e).withColumnRenamed("node", "source"), "source")
+    each strongly connected piece. The search is sequential by nature, so a piece is one group;
+    `cycles` and `cycle_nodes` stay distributed whatever the pieces' size."""
+    e = of_types(edges, types).select("source", "target").filter("source <> target").distinct()
+    piece = strong_components(edges, types)
+    keyed = e.join(piece.withColumnRenamed("node", "source"), "source").join(piece.select(F.col("node").alias("target"), F.col("component").alias("_t")), "target")
+    keyed = keyed.filter(F.col("component") == F.col("_t")).drop("_t")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         near = {k: sorted(set(v)) for k, v in pdf.groupby("source")["target"]}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.operators import graph, summary
+from codequarry.operators import graph, lookups, summary
 from codequarry.plans.fixtures import GRAPH, edges, nodes, view, with_views
 from codequarry.schema import SCHEMAS
 from codequarry.session import read_table as T
@@ -159,7 +159,11 @@ QUERIES = {
     "node_by_id": lambda s, d: nodes(s, d).join(_hub(edges(s, d)).withColumnRenamed("start", "id"), "id", "left_semi").select(*_COLS),
     "callees_khop_memory": lambda s, d: graph.callees(*_all(s, d), _starts(nodes(s, d)), 2, include_start=False).select("start", "id", "depth"),
     "subgraph_edges_unresolved": lambda s, d: graph.subgraph(*_all(s, d), _hub(edges(s, d)), 2, include_unresolved=True)[1].select("source", "target", "type", "source_file", "line"),
-    "nodes_by_type": lambda s, d: nodes(s, d).filter("type = 'class'").select(*_COLS),
+    "nodes_by_type": lambda s, d: lookups.by_type(nodes(s, d), "class").select(*_COLS),
+    "node_dto": lambda s, d: lookups.node_rows(lookups.scan(nodes(s, d))),
+    "edge_ends": lambda s, d: lookups.union_distinct(edges(s, d).select(F.col("source").alias("id")), edges(s, d).select(F.col("target").alias("id"))),
+    "unresolved_targets": lambda s, d: lookups.difference(edges(s, d).select(F.col("target").alias("id")), nodes(s, d), ["id"]).distinct(),
+    "first_call_of_source": lambda s, d: lookups.first_seen(edges(s, d).filter("type = 'calls'"), ["source"], [F.col("line"), F.col("target"), F.col("source_file")]).select("source", "target", "line"),
     "nodes_by_file": lambda s, d: _in_file(nodes(s, d)).select(*_COLS),
     "neighbors_in": _neighbors("in"), "neighbors_out": _neighbors("out"), "neighbors_both": _neighbors("both"),
     "callers_1hop": _khop(graph.callers, 1), "callees_1hop": _khop(graph.callees, 1),
@@ -210,6 +214,10 @@ SQL = {
     "node_by_id": _G + f", {_HUB} SELECT {_C} FROM nodes WHERE id IN (SELECT start FROM hub)",
     "callees_khop_memory": _reach_sql("source", "target", 2).replace("SELECT start, b.id, b.depth, n.name", "SELECT start, b.id, b.depth") + " WHERE start <> b.id",
     "subgraph_edges_unresolved": _SUB + " SELECT source, target, type, source_file, line FROM edges WHERE source IN (SELECT node FROM walk) AND target IN (SELECT node FROM walk)",
+    "node_dto": _G + f"SELECT {_C}, signature FROM nodes",
+    "edge_ends": _G + "SELECT source AS id FROM edges UNION SELECT target FROM edges",
+    "unresolved_targets": _G + "SELECT DISTINCT target AS id FROM edges WHERE target NOT IN (SELECT id FROM nodes)",
+    "first_call_of_source": _G + "SELECT source, target, line FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY line, target, source_file) AS k FROM edges WHERE type = 'calls') z WHERE k = 1",
     "nodes_by_type": _G + f"SELECT {_C} FROM nodes WHERE type = 'class'",
     "nodes_by_file": _G + f", {_FILE} SELECT {_C} FROM nodes WHERE file_path IN (SELECT file_path FROM one_file)",
     "neighbors_in": _neighbors_sql("in"), "neighbors_out": _neighbors_sql("out"), "neighbors_both": _neighbors_sql("both"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
+from codequarry.operators import lookups
 from codequarry.operators import retrieval as r
 from codequarry.plans.fixtures import view, with_views
 from codequarry.session import read_table as T
@@ -76,6 +77,7 @@ QUERIES = {
     "tokenize_counts": lambda s, d: T(s, d, "documents").select("doc_id", F.size(tx.tokenize(F.coalesce("text", F.lit("")))).alias("tokens")),
     "vector_count": lambda s, d: T(s, d, "embeddings").agg(F.count("*").alias("vectors")),
     "vector_topk": lambda s, d: _hits(s, d).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
+    "search_hits": lambda s, d: lookups.hit_rows(_hits(s, d, 5), _vectors(s, d)).withColumn("score", F.round("score", 6)),
     "vector_topk_filtered": lambda s, d: r.topk(_vectors(s, d), _queries(s, d), 5, None, {"type": "class"}).select("query_id", "id", "rank", F.round("score", 6).alias("score")),
     "mean_pool_by_label": lambda s, d: r.mean_pool(T(s, d, "embeddings"), ["label"]).select("label", F.posexplode("embedding").alias("pos", "v")).select("label", "pos", F.round("v", 6).alias("v")),
     "embed_hashing": _embedded,
@@ -128,6 +130,7 @@ SQL = {
     "tokenize_counts": f"SELECT doc_id, len({_TOK.format('coalesce(text, chr(32))')}) AS tokens FROM documents",
     "vector_count": "SELECT count(*) AS vectors FROM embeddings",
     "vector_topk": _BASE + " SELECT query_id, id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 10 AND score >= 0.1",
+    "search_hits": _BASE + " SELECT query_id, rank, id AS entity_id, content, round(score, 6) AS score, type FROM ranked WHERE rank <= 5 AND score >= 0.1",
     "vector_topk_filtered": _BASE + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS fr FROM pairs WHERE type = 'class') SELECT query_id, id, fr AS rank, round(score, 6) AS score FROM f WHERE fr <= 5",
     "mean_pool_by_label": "SELECT label, pos, round(avg(v), 6) AS v FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::double AS v FROM embeddings) z GROUP BY 1, 2",
     "bm25_rerank": _bm("ranked WHERE rank <= 20") + " SELECT query_id, id, round(bm25, 5) AS bm25, round(plain, 5) AS final FROM scored",

@@ -136,6 +136,18 @@ def test_random_graphs(spark, seed):
     assert {(r.node, r.depth) for r in graph.reach(e, start(spark, "n0"), 3).collect()} == set(dist.items())
     order = {r.node: r.layer for r in graph.topo_layers(e).collect()}
     assert all(order[a] < order[b] for a, b in pairs if b in order)
+    comp = {r.node: r.component for r in graph.strong_components(e).collect()}
+    reach = {x: set() for p in pairs for x in p}
+    for x in reach:
+        todo = [x]
+        while todo:
+            for y in near.get(todo.pop(), ()):
+                if y not in reach[x]:
+                    reach[x].add(y)
+                    todo.append(y)
+    for x in reach:
+        piece = {y for y in reach[x] if x in reach[y]} | {x}
+        assert (comp[x] == min(piece)) if len(piece) > 1 else x not in comp
     for r in graph.cycles(e, 4).collect():
         c = r.cycle
         assert c[0] == c[-1] == min(c) and len(set(c)) == len(c) - 1 and all(x in pairs for x in zip(c, c[1:]))
