@@ -15,6 +15,10 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+#: Marked so that filters on its result stay above it; pushed below, they would run it twice.
+_nfc_once = _nfc.asNondeterministic()
+
+
 def clean_id(c: Column) -> Column:
     """The id without surrounding white space, composed (NFC); null where nothing is left.
 
@@ -26,5 +30,5 @@ def clean_id(c: Column) -> Column:
     space = r"(?U)^[\s\p{Z}\x{200B}\x{FEFF}]+|[\s\p{Z}\x{200B}\x{FEFF}]+$"
     trimmed = F.when(edge(c) | edge(F.substring(c, -1, 1)), F.regexp_replace(c, space, "")).otherwise(c)
     rare = F.when(F.octet_length(c) != F.char_length(c), trimmed)
-    out = F.coalesce(_nfc(rare), trimmed)
+    out = F.coalesce(_nfc_once(rare), trimmed)
     return F.when(out != "", out)

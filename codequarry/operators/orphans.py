@@ -95,7 +95,7 @@ def orphans(relationships: DataFrame, entities: DataFrame, removals: DataFrame,
     open_refs = seen.filter("maybe").drop("maybe")
 
     # The spans of an id are at most one more than its removals; ids with very many go another way.
-    often = removals.groupBy(clean_id(F.col("entity_id")).alias("ref")).agg(F.count("*").alias("n")).filter(F.col("n") > max_spans).select("ref")
+    often = removals.select(clean_id(F.col("entity_id")).alias("ref")).groupBy("ref").agg(F.count("*").alias("n")).filter(F.col("n") > max_spans).select("ref")
     often = often.join(ext, "ref", "left_anti")
     extra = None
     if not often.isEmpty():
