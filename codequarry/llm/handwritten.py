@@ -243,7 +243,7 @@ def handwritten_entities(parse_results: DataFrame, entities: DataFrame, repos: D
     """
     names = repos.select("repo_id", F.element_at(F.split("repo_path", "/"), -1).alias("_repo"))
     bad = (
-        file_kinds(parse_results).filter("kind <> ''").join(F.broadcast(names), "repo_id")
+        file_kinds(parse_results).filter("kind <> ''").join(names, "repo_id")
         .select("_repo", _path_key("file_path").alias("_path")).distinct()
     )
     keyed = entities.withColumn("_repo", F.element_at(F.split(F.trim("id"), "/"), 1)).withColumn("_path", _path_key("file_path"))

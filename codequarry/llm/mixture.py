@@ -86,6 +86,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: i
     Records without a source, of a source without a target, or without a token are never
     chosen. A doc_id delivered twice counts as two records with one key.
     """
+    # The wanted mixture has one row for each source that a user lists; it is small by its nature.
     records = checkpoint(
         sized(documents, vocabulary).join(F.broadcast(targets.select(F.lower(F.trim("source")).alias("source")).distinct()), "source", "left_semi")
         .withColumn("key", _key(seed))
