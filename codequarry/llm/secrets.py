@@ -60,11 +60,39 @@ _CONNECTION = re.compile(r"(?i)(?:^|[;&?\s,\"'])(?:password|passwd|pwd|pass|secr
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"(?:\\[nr]|\\?\r?\n|[\s\"'`+,;|>#*/\\]|\w+-\w+: [^\n]*)*[A-Za-z0-9+/=]{8,}(?:\\[nr]|[\s\"'`+,;\\]|[A-Za-z0-9+/=]){8,}")
 _KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-#: Parts, in lower case, of which any line with a secret has one.
-_HINTS = [
-    x.encode() for x in "pass pwd secret token key cred kennwort geheim clave contrase mot_de motde mdp senha parola пароль Пароль 密 口令 pem auth bearer jwt akia asia agpa aida aroa "
-    "gho_ ghp_ ghu_ ghs_ ghr_ github_pat_ glpat xoxa xoxb xoxe xoxo xoxp xoxr xoxs aiza k_live k_test eyj sg. npm_ pypi- dop_v1 sk- ://".split()
-] + [b"basic ", b'" + "', b"' + '"]
+#: What issued tokens, logins and headers begin with or hold, in lower case.
+_FORMS = (
+    "pass pwd secret token key cred motde auth bearer basic jwt akia asia agpa aida aroa gho_ ghp_ ghu_ ghs_ ghr_ github_pat_ glpat xoxa xoxb xoxe xoxo xoxp xoxr xoxs aiza k_live k_test "
+    "eyj sg. npm_ pypi- dop_v1 sk- ://"
+).split()
+
+
+def _hints() -> list[bytes]:
+    """Parts, in lower case, of which any line with a secret has one, or a match of _HINT.
+
+    A word of _WORDS is left out where a shorter part is in it, or where _HINT stands for it.
+    The last two are the letters beyond ASCII that fold to k and s.
+    """
+    parts: list[str] = list(_FORMS)
+    for w in sorted(_WORDS, key=lambda w: (len(w), w)):
+        if w != "pat" and w.upper().isascii() | (w.upper() == w) and not any(p in w for p in parts):
+            parts.append(w)
+    return [p.encode() for p in parts] + ["\u212a".encode(), "\u017f".encode()]
+
+
+def _any_case(word: str) -> bytes:
+    return b"".join(b"(?:" + b"|".join(re.escape(x.encode()) for x in sorted({c, c.upper()})) + b")" for c in word)
+
+
+_HINTS = _hints()
+#: Hints that are no plain parts: words with letters beyond ASCII in any case, pat only as a word of
+#: its own (not path, pattern), one-time, and places where literals are glued.
+_HINT = [
+    re.compile(b"|".join(_any_case(w) for w in sorted(_WORDS) if not w.isascii() and w.upper() != w)),
+    re.compile(rb"[pP][aA][tT](?![a-z])"),
+    re.compile(rb"[oO][nN][eE][^A-Za-z\s]*[tT][iI][mM][eE]"),
+    re.compile(rb"[\"'`][^\S\n]*(?:\+|\.\.?)?[^\S\n]*[brufBRUF]{0,2}[\"'`]"),
+]
 
 
 @dataclass(frozen=True)
@@ -156,7 +184,10 @@ def find(texts: pa.Array, lang: str) -> list[Secret]:
     done_to = low
     order = np.argsort(s.lo, kind="stable")
     lo, hi, kind = s.lo[order], s.hi[order], s.kind[order]
-    for f, k in _hinted(blob, low, high, nl, s.starts):
+    lines = _hinted(blob, low, high, nl, s.starts)
+    if not config:
+        lines = sorted({*lines, *_wrapped(blob, lines, nl, s.ends, lo, hi, kind)})
+    for f, k in lines:
         end = int(nl[k]) if k < len(nl) else high
         begin = max(int(nl[k - 1]) + 1 if k else 0, int(s.starts[f]))
         end = min(end, int(s.ends[f]))
@@ -177,7 +208,11 @@ def find(texts: pa.Array, lang: str) -> list[Secret]:
                 done_to = b
                 continue
         if config:
-            _config_line(out, f, line_no, line, begin, lang)
+            after = _config_block(out, f, line_no, line, blob, end, int(s.ends[f]), lang)
+            if after:
+                done_to = after
+            else:
+                _config_line(out, f, line_no, line, begin, lang)
             continue
         i, j = np.searchsorted(lo, begin), np.searchsorted(lo, end)
         # A span that began on an earlier line (a long comment or literal) is looked at as text.
@@ -185,7 +220,8 @@ def find(texts: pa.Array, lang: str) -> list[Secret]:
         if i0 < i and hi[i0] > begin:
             _free_text(out, f, line_no, blob, begin, min(end, int(hi[i0])))
         spans = [(int(lo[x]), min(int(hi[x]), int(s.ends[f])), int(kind[x])) for x in range(int(i), int(j))]
-        _code_line(out, f, line_no, blob, begin, end, spans)
+        above = _above(blob, int(s.starts[f]), int(i), lo, hi, kind) if spans else ""
+        _code_line(out, f, line_no, blob, begin, end, spans, above)
     return out
 
 
@@ -201,11 +237,53 @@ def _hinted(blob: bytes, low: int, high: int, nl: np.ndarray, starts: np.ndarray
             # One hit for a line is enough.
             q = text.find(b"\n", p, high)
             p = text.find(hint, q if q > 0 else high, high)
+    for pattern in _HINT:
+        at += [m.start() for m in pattern.finditer(blob, low, high)]
     pos = np.array(at, dtype=np.int64)
     pairs = np.unique(np.stack([np.searchsorted(starts, pos, side="right") - 1, np.searchsorted(nl, pos)]), axis=1) if at else np.zeros((2, 0), dtype=np.int64)
     return list(zip(*pairs.tolist(), strict=True))
 
 
+_BLANK = re.compile(rb"[\s\\]*")
+
+
+def _wrapped(blob: bytes, lines: list[tuple[int, int]], nl: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(file, line) of literals that follow one of the lines with nothing but blanks and comments between."""
+    for f, k in lines:
+        if k >= len(nl) or nl[k] >= ends[f]:
+            continue
+        at = int(nl[k])
+        x = int(np.searchsorted(lo, at))
+        if x and kind[x - 1] == lexmask.COMMENT and at < hi[x - 1] <= ends[f]:
+            at = int(hi[x - 1])
+        while x < len(lo) and lo[x] < ends[f] and _BLANK.match(blob, at).end() >= lo[x]:
+            if kind[x] != lexmask.COMMENT:
+                yield f, int(np.searchsorted(nl, lo[x]))
+                break
+            at = int(hi[x])
+            x += 1
+
+
+def _above(blob: bytes, floor: int, x: int, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray) -> str:
+    """The end of the last line of code before the first literal of spans x, ..., without comments."""
+    while x < len(lo) and kind[x] == lexmask.COMMENT:
+        x += 1
+    p = int(lo[x]) if x < len(lo) else len(blob)
+    while True:
+        while p > floor and blob[p - 1] in b" \t\r\n\\":
+            p -= 1
+        x -= 1
+        if x < 0 or kind[x] != lexmask.COMMENT or not lo[x] < p <= hi[x]:
+            break
+        p = max(floor, int(lo[x]))
+    a = max(floor, blob.rfind(b"\n", floor, p) + 1, p - 300)
+    return _OPEN.sub("=", blob[a:p].decode("utf-8", "replace")) + " "
+
+
+#: Brackets that open between a name and its value.
+_OPEN = re.compile(r"(?<![=!<>])=\s*\([\s(]*$")
+
+
 def _free_text(out: list[Secret], f: int, line_no: int, blob: bytes, a: int, b: int) -> None:
     text = blob[a:b].decode("utf-8", "replace")
     ranges = []
@@ -223,7 +301,17 @@ def _free_text(out: list[Secret], f: int, line_no: int, blob: bytes, a: int, b:
         out.append(Secret(f, line_no, kind, name, tuple(dict.fromkeys(ranges))))
 
 
-def _code_line(out: list[Secret], f: int, line_no: int, blob: bytes, begin: int, end: int, spans: list[tuple[int, int, int]]) -> None:
+def _code_before(blob: bytes, begin: int, end: int, spans: list[tuple[int, int, int]]) -> bytes:
+    """What stands in a line before a literal besides blanks and comments."""
+    at, kept = begin, b""
+    for a, b, _ in spans:
+        if a >= end:
+            break
+        kept, at = kept + blob[at:a], b
+    return (kept + blob[at:end]).strip()
+
+
+def _code_line(out: list[Secret], f: int, line_no: int, blob: bytes, begin: int, end: int, spans: list[tuple[int, int, int]], above: str) -> None:
     literals = [x for x in spans if x[2] in (lexmask.STRING, lexmask.TEMPLATE)]
     for a, b, k in spans:
         if k == lexmask.COMMENT:
@@ -252,9 +340,8 @@ def _code_line(out: list[Secret], f: int, line_no: int, blob: bytes, begin: int,
         ranges: list[tuple[int, int]] = []
         before = blob[max(begin, chain[0][0] - 300) : chain[0][0]].decode("utf-8", "replace")
         m = _ASSIGNED.search(before)
-        if not m and not before.strip() and begin > 1:
-            prev = blob[max(0, begin - 200) : begin].decode("utf-8", "replace").rstrip()
-            m = _ASSIGNED.search(prev.rsplit("\n", 1)[-1] + " ")
+        if not m and chain is chains[0] and not _code_before(blob, begin, chain[0][0], spans):
+            m = _ASSIGNED.search(above)
         name = next((g for g in m.groups() if g), "") if m else ""
         scheme = _SCHEME.match(value)
         inner = inside(value)
@@ -284,6 +371,64 @@ _YAML_LINE = re.compile(rf"^\s*(?:-\s+)?[\"']?({_NAME})[\"']?\s*:\s+(.*?)\s*$")
 _PROP_LINE = re.compile(rf"^\s*({_NAME})\s*[=:\s]\s*(.*?)\s*$")
 
 
+#: A key whose value begins on a later line: nothing, or the head of a block scalar.
+_YAML_OPEN = re.compile(rf"^(\s*(?:-\s+)*)[\"']?({_NAME})[\"']?\s*:(?:\s+[!&]\S+)*(\s+[|>][+\-\d]*)?\s*(?:\s#.*)?$")
+_PROP_OPEN = re.compile(rf"^\s*({_NAME})\s*(?:[=:]|(?<=\s))\s*(.*?)(?<!\\)(?:\\\\)*\\\r?$")
+
+
+def _config_block(out: list[Secret], f: int, line_no: int, line: str, blob: bytes, end: int, stop: int, lang: str) -> int:
+    """A secret whose value is on the lines after its key; where it ends, 0 if there is none."""
+    m = (_YAML_OPEN if lang == "yaml" else _PROP_OPEN).match(line)
+    if not m or not credential_name(m[2] if lang == "yaml" else m[1]):
+        return 0
+    #: Line, first byte and text of the parts of the value.
+    parts: list[tuple[int, int, str]] = []
+    name, block, at, no = (m[2], m[3], end + 1, line_no) if lang == "yaml" else (m[1], "", end + 1, line_no)
+    if lang == "properties" and m[2]:
+        parts.append((line_no, end - len(line.encode()) + len(line[: m.start(2)].encode()), m[2]))
+    while at < stop:
+        n = blob.find(b"\n", at, stop)
+        n = stop if n < 0 else n
+        row = blob[at:n].decode("utf-8", "replace")
+        text, begin, no, at = row.strip(), at, no + 1, n + 1
+        more = False
+        if lang == "yaml":
+            if not text:
+                continue
+            if len(row) - len(row.lstrip()) <= len(m[1]):
+                break
+            if not block:
+                if text.startswith("#"):
+                    continue
+                text = re.sub(r"\s+#.*$", "", text) if text[0] not in "\"'" else text
+                if not parts and (text[0] in "-[{&*!|>" and not text.startswith("--") or _YAML_LINE.match(row) or text.endswith(":")):
+                    return 0
+        else:
+            more = (len(text) - len(text.rstrip("\\"))) % 2 == 1
+            text = text[:-1] if more else text
+        if text:
+            parts.append((no, begin + len(row[: len(row) - len(row.lstrip())].encode()), text))
+        if lang == "properties" and not more:
+            break
+    if not parts or lang == "properties" and parts[0][0] == line_no and len(parts) == 1:
+        return 0
+    value = ("" if lang == "properties" else " ").join(x for _, _, x in parts)
+    q = re.match(r"([\"'])(.*)\1\s*(?:#.*)?$", value) if not block and len(parts) == 1 else None
+    if q:
+        value, parts = q[2], [(parts[0][0], parts[0][1] + 1, q[2])]
+    scheme = _SCHEME.match(value)
+    inner = inside(value)
+    byte = lambda a, x: a + len(x.encode())
+    if not (usable(value) or scheme and usable(scheme[1]) or inner):
+        return 0
+    if len(parts) == 1 and inner and any(x[2] != "issued token" for x in inner):
+        a = parts[0][1]
+        out.append(Secret(f, parts[0][0], inner[0][2], name, tuple((byte(a, value[:x]), byte(a, value[:y])) for x, y, _ in inner)))
+    else:
+        out.append(Secret(f, parts[0][0], "assigned", name, tuple((a, byte(a, x)) for _, a, x in parts)))
+    return byte(parts[-1][1], parts[-1][2])
+
+
 def _config_line(out: list[Secret], f: int, line_no: int, line: str, begin: int, lang: str) -> None:
     remark = re.match(r"\s*[#!]" if lang == "properties" else r"\s*#", line)
     m = None if remark else (_YAML_LINE if lang == "yaml" else _PROP_LINE).match(line)
