@@ -31,7 +31,26 @@ _CJK = re.compile(r"[\u3005\u3041-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff]
 _CJK_BREAK = re.compile(r"[^\u3001\u3002\u3005\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uff00-\uffef\d\s]+")
 #: Fixed words that begin statements of query languages.
 _QUERY = re.compile(r"\s*(?:SELECT|INSERT\s+INTO|UPDATE|DELETE\s+FROM|CREATE\s+(?:TABLE|INDEX|VIEW)|ALTER\s+TABLE|DROP|MERGE\s+INTO|WITH\s+\w+\s+AS|MATCH\s*\(|TRUNCATE)\b")
-_CODE_LINE = re.compile(r"(?:[;{]|\)\s*:)\s*$|^\s*(?:[\w.]+\s*(?:[-+*/|&^%:]?=)\s|[\w.]+\([^)]*\)\s*;?$|return\b[^.]*$|if\s*\(|for\s*\(|while\s*\()|=>|\w\(\w*\)|&&|\|\||==|!=")
+#: Signs of code; code_line() tells statements from sentences that only mention code.
+_CODE_SIGN = re.compile(r"(?:[;{]|\)\s*:)\s*$|^\s*(?:[\w.]+\s*(?:[-+*/|&^%:]?=)\s|[\w.]+\([^)]*\)\s*;?$|return\b[^.]*$|if\s*\(|for\s*\(|while\s*\()|=>|\w\(\w*\)|&&|\|\||==|!=")
+#: Quoted texts, trailing remarks and, as words of a sentence, plural endings and calls.
+_QUOTED = re.compile(r"(?<!\w)(?:\"[^\"]*\"|'[^']*'|`[^`]*`)(?!\w)")
+_TRAILING = re.compile(r"(?<=[;{})\w])\s+(?:#|//|/\*)\s.*$")
+_PLURAL = re.compile(r"(?<=\w)\((?:s|es|en|n|r|e|ies|и|ы|а)\)")
+_CALL = re.compile(r"[^\W\d][\w.$:]*\((?:[^()\s]|,\s)*\)")
+#: Fixed words of statements; two other words side by side are no code, save for a type before a name.
+_KEYWORDS = set(
+    "return const let var val new public private protected static final def class func function fn import from package void int long short double float char bool boolean string unsigned throw throws "
+    "raise await async yield if elif else for while do try catch except finally switch case default break continue and or not in is as with null none nil true false this self extends implements "
+    "interface enum struct type export readonly abstract override assert del lambda typeof instanceof delete defer go range select echo print".split()
+)
+_SEPARATE = re.compile(r"&&|\|\|")
+_ASSIGNMENT = re.compile(r"\s*(?:\w+\s+){0,3}[\w.\[\]]+\s*[-+*/|&^%:]?=\s")
+#: Whole statements: a quoted text assigned, the head of a function.
+_WHOLE = re.compile(
+    r"\s*(?:(?:const|let|var|val|final|static|String|string|auto|char)\s+)*[\w.\[\]]+\s*[-+*/|&^%:]?=\s*[brufBRUF]{0,2}[\"'`]|\s*(?:[\w.]+\s+){0,6}[\w.$]+\s*\([^()]*\)\s*(?::\s*\S+\s*)?\{\s*$"
+)
+_STATEMENT_END = re.compile(r"(?:[;{]|\)\s*:)\s*$")
 
 
 @dataclass
@@ -70,13 +89,43 @@ def cjk(text: str) -> int:
     return len(_CJK.findall(text))
 
 
+def code_line(text: str) -> bool:
+    """Whether a line is code: it has a sign of code, and no sentence is left beside its calls and
+    quoted texts - words that follow one another, or mostly Chinese or Japanese characters."""
+    if not _CODE_SIGN.search(text):
+        return False
+    if _WHOLE.match(text):
+        return True
+    if cjk(text) >= MIN_CJK:
+        bare = _CALL.sub("", _QUOTED.sub("", text))
+        if 2 * cjk(bare) >= len(re.sub(r"\s", "", bare)):
+            return False
+    tokens = _CALL.sub("x", _PLURAL.sub("", _QUOTED.sub('"', _TRAILING.sub("", text)))).split()
+    chain = longest = pairs = 0
+    at_start = True
+    for i, token in enumerate(tokens):
+        word = bool(_RUN.match(token)) and not _HUMP.search(token) and token.strip("()[].,:;!?").lower() not in _KEYWORDS
+        chain = chain + 1 if word else 0
+        pairs += chain > 1
+        longest = max(longest, chain)
+        if i < 3:
+            at_start &= bool(_RUN.match(token)) and (word or i == 2) and token[-1] not in "();"
+    if longest >= 4:
+        return False
+    if _SEPARATE.search(text):
+        return True
+    if pairs >= 3 or len(tokens) > 3 and at_start and not _STATEMENT_END.search(text):
+        return False
+    return pairs < 2 or bool(_STATEMENT_END.search(text) or _ASSIGNMENT.match(text))
+
+
 def plausible(text: str) -> bool:
     """Long enough to be a passage and no query, pattern or statement by its form."""
     if cjk(text) >= MIN_CJK:
         return True
     if running(text) < MIN_WORDS or _QUERY.match(text):
         return False
-    return not _CODE_LINE.search(text)
+    return not code_line(text)
 
 
 def clean(line: str) -> str:
@@ -148,7 +197,7 @@ def units(s: lexmask.Spans, lang: str) -> list[Unit]:
                 prev = None
                 continue
             # Only a long line is taken to be wrapped; short ones stand for themselves.
-            if prev is not None and len(part) < 200 and long_line and prev.text[-1] not in ".!?。！？:" and text[0].islower() and not _CODE_LINE.search(text):
+            if prev is not None and len(part) < 200 and long_line and prev.text[-1] not in ".!?。！？:" and text[0].islower() and not code_line(text):
                 prev.text += " " + text
                 prev.size += len(text)
             else:

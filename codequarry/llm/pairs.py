@@ -61,7 +61,7 @@ def describe(doc: str | None) -> str:
             continue
         if not natural.cjk(line) and not re.search(r"[^\W\d_]{2}", line):
             continue
-        if natural._CODE_LINE.search(line) or natural._QUERY.match(line):
+        if natural.code_line(line) or natural._QUERY.match(line):
             continue
         kept.append(line)
     text = " ".join(kept)
@@ -79,10 +79,29 @@ def describe_udf(docs: pd.Series) -> pd.Series:
     return docs.map(describe)
 
 
-_DEF = re.compile(
-    r"^[ \t]*(?:async[ \t]+)?def[ \t]+[^\s(\[]+\s*(?:\[[^\]]*\]\s*)?\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)\s*(?:->[^\n:]+)?:[ \t\r]*\n(?:[ \t\r\x02]*\n)*[ \t]*[rRuUbB]{0,2}(\x01)",
-    re.M,
-)
+_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+[^\s(\[]+\s*(?=[(\[])", re.M)
+_BRACKET = re.compile(r"[()\[\]{}:\n]")
+#: From the colon of a header to the docstring, over comments.
+_DOCSTRING = re.compile(r"[ \t\r\x02]*\n(?:[ \t\r\x02]*\n)*[ \t]*[rRuUbB]{0,2}(\x01)")
+
+
+def _docstrings(masked: str, x: int, y: int) -> Iterator[tuple[int, int]]:
+    """(start of the header, start of the docstring) of functions of a masked text; headers end at the colon outside brackets."""
+    for m in _DEF.finditer(masked, x, y):
+        depth = 0
+        for b in _BRACKET.finditer(masked, m.end(), y):
+            c = b[0]
+            if c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth -= 1
+            elif not depth and (c == ":" or masked[b.start() - 1] not in "\\\r"):
+                d = _DOCSTRING.match(masked, b.end(), y) if c == ":" else None
+                if d:
+                    yield m.start(), d.start(1)
+                break
+            if depth < 0:
+                break
 
 
 def documented(texts: pa.Array, lang: str) -> list[tuple[int, int, int, str]]:
@@ -151,14 +170,13 @@ def documented(texts: pa.Array, lang: str) -> list[tuple[int, int, int, str]]:
         start_of = {int(x): int(y) for x, y, q in zip(lo, hi, kind, strict=True) if q == lexmask.STRING}
         masked = blank.tobytes().decode("latin-1")
         for f, (x, y) in enumerate(zip(s.starts.tolist(), s.ends.tolist(), strict=True)):
-            for m in _DEF.finditer(masked, x, y):
-                p = m.start(1)
+            for top_at, p in _docstrings(masked, x, y):
                 q = start_of.get(p)
                 text = describe(blob[p:q].decode("utf-8", "replace")) if q else ""
                 if not text:
                     continue
-                line = top = int(newline[m.start()] - newline[x]) + 1
-                at = m.start()
+                line = top = int(newline[top_at] - newline[x]) + 1
+                at = top_at
                 while at > x:
                     prev = blob.rfind(b"\n", x, at - 1) + 1
                     prev = max(prev, x)

@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from codequarry.llm import secrets
+from codequarry.llm import natural, pairs, secrets
 from codequarry.llm.lexmask import language_of
 
 
@@ -37,3 +37,48 @@ def test_every_word_has_a_hint():
             text = f'{name} = "Xk9!vv2Lq8"\n'
             if secrets.credential_name(name):
                 assert secrets.find(pa.array([text]), "python"), name
+
+
+@pytest.mark.parametrize(
+    "doc",
+    [
+        "Removes the given file(s) from the local index",
+        "Calls close() on every session before the pool shuts down",
+        "Returns true if both a == b and c hold",
+        "return the number of rows that were read",
+        "Maps each key => value pair of the given table",
+        "Drops stale entries and then closes the old file;",
+        "Entfernt alle Datei(en) aus dem lokalen Verzeichnis",
+        "在关闭连接池之前调用 close() 关闭所有会话",
+        "プールを閉じる前に close() を呼び出して終了します",
+    ],
+)
+def test_sentences_that_mention_code(doc):
+    assert pairs.describe(doc) == doc and natural.plausible(doc)
+
+
+@pytest.mark.parametrize(
+    "doc",
+    [
+        "if (left == right) throw new Error('the value must not be empty here');",
+        "for (int i = 0; i < n; i++) { total += left[i]; }",
+        "return value if value else default or fallback == None",
+        "String name = parse(left) + parse(right) + tail;",
+        "result = compute(left, right)  # the sum of all the old values",
+        "const total = items.map(item => item.price).reduce(add);",
+        'x = "在关闭连接池之前关闭所有会话"; call(x)',
+        "applyChunk(depth: number, left: number, total: number) {",
+        'msg = "Drops stale entries and then closes the old file',
+        "cd build && make all && make install",
+    ],
+)
+def test_statements_are_code(doc):
+    assert natural.code_line(doc) and not pairs.describe(doc)
+
+
+def test_docstring_below_any_header():
+    doc = '    """Reads every old entry before the next run begins."""\n'
+    for head in ("def f(x):  # noqa: D103\n", "def f(a=((((1, 2), 3), 4), 5)):\n", "def f(x) -> dict[\n    str, int\n]:\n", "def f(\n    a,  # the (left\n    b=':',\n):\n    # remark\n"):
+        found = pairs.documented(pa.array([head + doc]), "python")
+        assert (1, "Reads every old entry before the next run begins.") in [(x[2], x[3]) for x in found], head
+    assert pairs.documented(pa.array(["def f(x): pass\n" + doc.strip() + "\n"]), "python") == []
