@@ -93,7 +93,7 @@ def third_party_path(path: str) -> bool:
     return any(d in THIRD_PARTY_DIRS for d in dirs)
 
 
-def head_comments(blob: bytes, s: lexmask.Spans, f: int, begin: int, end: int, budget: int = 40) -> list[str]:
+def head_comments(blob: bytes, s: lexmask.Spans, f: int, begin: int, end: int) -> list[str]:
     """The comments of a file before its first code line other than package and imports."""
     out: list[str] = []
     at = int(s.starts[f])
@@ -104,9 +104,9 @@ def head_comments(blob: bytes, s: lexmask.Spans, f: int, begin: int, end: int, b
             break
         if s.kind[i] == lexmask.COMMENT:
             out.append(blob[int(s.lo[i]) : int(s.hi[i])].decode("utf-8", "replace"))
-        at = int(s.hi[i])
-        if len(out) >= budget:
+        elif s.kind[i] == lexmask.KEY and not re.fullmatch(rb"\s*(?:(?:---|%[^\n]*)\s*)*", blob[int(s.lo[i]) : int(s.hi[i])]):
             break
+        at = int(s.hi[i])
     return out
 
 
@@ -133,7 +133,6 @@ def layout(texts: pa.Array) -> dict[str, np.ndarray]:
     alnum = run(((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 0x80))
     control = run(((data < 32) & (data != 9) & (data != 10) & (data != 13) & (data != 12)) | (data == 127))
     digit = run((data >= 48) & (data <= 57))
-    quote = run((data == 34) | (data == 39))
 
     def gaps(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(longest stretch between positions, number of positions) of each text."""
@@ -146,12 +145,11 @@ def layout(texts: pa.Array) -> dict[str, np.ndarray]:
         return most, hi - lo
 
     longest, n_lines = gaps(np.flatnonzero(data == 10))
-    word, _ = gaps(np.flatnonzero((data == 32) | (data == 9) | (data == 10) | (data == 13)))
     safe = np.maximum(size, 1)
     lines = n_lines + 1
     return {
         "size": size, "lines": lines, "longest": longest, "mean": size / np.maximum(lines, 1), "space": count(space) / safe,
-        "alnum": count(alnum) / safe, "control": count(control) / safe, "digit": count(digit) / safe, "quote": count(quote) / safe, "word": word,
+        "alnum": count(alnum) / safe, "control": count(control) / safe, "digit": count(digit) / safe,
     }
 
 
@@ -191,7 +189,7 @@ def classify(paths: list[str | None], texts: pa.Array, lang: str) -> list[str]:
             kind = "data"
         elif st["mean"][i] > lim.minified_line and st["space"][i] < lim.minified_space and st["alnum"][i] < 0.85 and st["digit"][i] < 0.4 and lang not in ("json", "yaml", "properties"):
             kind = "minified"
-        if not kind and (st["digit"][i] > 0.2 or st["word"][i] > 48 or st["quote"][i] > 0.06) and len(text) > 200:
+        if not kind and len(text) > 200:
             share, other = data_share(text)
             if share >= lim.data_share or (share >= lim.data_share_short and other <= lim.data_lines):
                 kind = "data"

@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from codequarry.llm import natural, pairs, secrets
+from codequarry.llm import handwritten, natural, pairs, secrets
 from codequarry.llm.lexmask import language_of
 
 
@@ -82,3 +82,14 @@ def test_docstring_below_any_header():
         found = pairs.documented(pa.array([head + doc]), "python")
         assert (1, "Reads every old entry before the next run begins.") in [(x[2], x[3]) for x in found], head
     assert pairs.documented(pa.array(["def f(x): pass\n" + doc.strip() + "\n"]), "python") == []
+
+
+def test_tables_of_phrases_and_long_heads():
+    words = "amber birch cedar delta ember frost grove heath inlet".split()
+    phrases = "".join(f'    "{" ".join(words[(i + k) % 9] for k in range(9))}",\n' for i in range(30))
+    assert handwritten.classify(["a.py"], pa.array([f"PHRASES = [\n{phrases}]\n"]), "python") == ["data"]
+    hexes = "".join("    " + " ".join(f"0x{'abcdef'[(i + k) % 6] * 8}," for k in range(6)) + "\n" for i in range(30))
+    assert handwritten.classify(["a.go"], pa.array([f"var t = []uint32{{\n{hexes}}}\n"]), "go") == ["data"]
+    head = "".join(f"# remark {i}\n\n" for i in range(60)) + "# Code generated by gen. DO NOT EDIT.\n"
+    assert handwritten.classify(["a.py", "b.py"], pa.array([head + "x = 1\n", "x = 1\n" + head]), "python") == ["generated", ""]
+    assert handwritten.classify(["a.yaml", "b.yaml"], pa.array([head + "---\nx: 1\n", "x: 1\n" + head + "y: 2\n"]), "yaml") == ["generated", ""]
