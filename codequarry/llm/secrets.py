@@ -55,7 +55,8 @@ _ISSUED = re.compile(
 )
 #: Issued prefixes with which a literal may begin that is glued from several.
 _SCHEME = re.compile(r"^\s*(?:Bearer|Basic|Token)\s+([A-Za-z0-9+/=_.\-]{8,})\s*$")
-_URL = re.compile(r"[A-Za-z][\w+.\-]*://([^\s:/@\"'<>?#]*):([^\s/\"'<>]+?)@[\w.\-\[{$%]")
+#: Begins at the marks after the scheme, so long words without any are passed over at once.
+_URL = re.compile(r"(?<=[\w+.\-])://([^\s:/@\"'<>?#]*):([^\s/\"'<>]+?)@[\w.\-\[{$%]")
 _CONNECTION = re.compile(r"(?i)(?:^|[;&?\s,\"'])(?:password|passwd|pwd|pass|secret|accountkey|account_key|sharedaccesskey|sharedsecret|auth_?token|access_?key)\s*=\s*([^;&\"'\s]+)")
 _KEY_BLOCK = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _KEY_BODY = re.compile(r"(?:\\[nr]|\\?\r?\n|[\s\"'`+,;|>#*/\\]|\w+-\w+: [^\n]*)*[A-Za-z0-9+/=]{8,}(?:\\[nr]|[\s\"'`+,;\\]|[A-Za-z0-9+/=]){8,}")
@@ -145,6 +146,16 @@ def usable(value: str) -> bool:
     return len(set(v)) > 3
 
 
+def _scheme_before(value: str, at: int) -> bool:
+    """Whether a letter is in the word that ends at a position."""
+    at -= 1
+    while at >= 0 and (value[at].isalnum() or value[at] in "_+.-"):
+        if value[at].isascii() and value[at].isalpha():
+            return True
+        at -= 1
+    return False
+
+
 def inside(value: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of secrets that a text shows by its own form."""
     out = []
@@ -153,11 +164,16 @@ def inside(value: str) -> list[tuple[int, int, str]]:
             out.append((*m.span(), "issued token"))
     if "@" in value:
         for m in _URL.finditer(value):
-            if len(m[2]) >= 3 and not _PLACEHOLDER.search(m[2]) and not _REFERENCE.search(m[2]) and not re.match(r"[<{$%]", m[2]) and m[2].lower() not in ("password", "pass", "passwd", "pwd", "secret", "token"):
+            if _scheme_before(value, m.start()) and len(m[2]) >= 3 and not _PLACEHOLDER.search(m[2]) and not _REFERENCE.search(m[2]) and not re.match(r"[<{$%]", m[2]) and m[2].lower() not in ("password", "pass", "passwd", "pwd", "secret", "token"):
                 out.append((*m.span(2), "login in a URL"))
     if "=" in value:
+        several = None
         for m in _CONNECTION.finditer(value):
-            if usable(m[1]) and (";" in value or "&" in value or "?" in value or re.search(r"(?:user|uid|host|server|dbname)\s*\w*\s*=", value, re.I)):
+            if not usable(m[1]):
+                continue
+            if several is None:
+                several = ";" in value or "&" in value or "?" in value or bool(re.search(r"(?:user|uid|host|server|dbname)\s*\w*\s*=", value, re.I))
+            if several:
                 out.append((*m.span(1), "connection text"))
     return out
 
@@ -171,6 +187,30 @@ def _content(raw: str) -> tuple[int, int]:
     return m.end(), end
 
 
+_KEY_MARK = re.compile(rb"-----(BEGIN|END) (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: A line of a key in a literal or text, with the marks that may stand around; its end ends a key without END.
+_KEY_ROW = re.compile(rb"(?:[\s\"'`+,;|>#*/\\]|\\[nr])*(?:\w+-\w+: [^\n]*|(?![a-z]{3,}\b)[A-Za-z0-9+/=]+(?:(?:\\[nr])+[A-Za-z0-9+/=]+)*)?[ \t\r\"'`+,;\\nr)]*\Z")
+_KEY_RUN = re.compile(rb"(?:[\s+|>#*/]|\\[nr])*(?:[A-Za-z0-9+/=]|\\[nr])*")
+
+
+def _key_body(blob: bytes, a: int, stop: int) -> str:
+    """The text of a private key up to its END; without one, as far as lines have the form of a key."""
+    mark = _KEY_MARK.search(blob, a, stop)
+    if mark and mark[1] == b"END":
+        return blob[a : mark.start()].decode("utf-8", "replace")
+    at = a
+    while at < stop:
+        n = blob.find(b"\n", at, stop)
+        n = stop if n < 0 else n
+        row = blob[at:n]
+        if not _KEY_ROW.match(row):
+            # The key may end within the line, as where its literal does.
+            at += len(_KEY_RUN.match(row)[0]) if at == a else 0
+            break
+        at = min(n + 1, stop)
+    return blob[a:at].rstrip(b" \t\r\n\"'`;,)").decode("utf-8", "replace")
+
+
 def find(texts: pa.Array, lang: str) -> list[Secret]:
     """The secrets of texts of one language, in order; a private key counts once, at its first line."""
     if not lang or not len(texts):
@@ -198,10 +238,7 @@ def find(texts: pa.Array, lang: str) -> list[Secret]:
         key = _KEY_BLOCK.search(line)
         if key:
             a = begin + len(line[: key.end()].encode())
-            stop = min(int(s.ends[f]), a + 200_000)
-            rest = blob[a:stop].decode("utf-8", "replace")
-            last = _KEY_END.search(rest)
-            body = rest[: last.start()] if last else rest[:4000]
+            body = _key_body(blob, a, int(s.ends[f]))
             if _KEY_BODY.match(body) and not re.search(r"(?i)example|redacted|placeholder|\.\.\.|<[\w ]+>", body):
                 b = a + len(body.encode())
                 out.append(Secret(f, line_no, "private key", "", ((a, b),)))
@@ -332,7 +369,7 @@ def _code_line(out: list[Secret], f: int, line_no: int, blob: bytes, begin: int,
         raws = [blob[a:b].decode("utf-8", "replace") for a, b, _ in chain]
         parts = [_content(r) for r in raws]
         value = "".join(r[x:y] for r, (x, y) in zip(raws, parts, strict=True))
-        if not value or len(value) > 20_000:
+        if not value:
             continue
         spot = lambda q, x, y: (chain[q][0] + len(raws[q][:x].encode()), chain[q][0] + len(raws[q][:y].encode()))  # noqa: B023, E731
         whole = tuple(spot(q, *parts[q]) for q in range(len(chain)) if parts[q][0] < parts[q][1])
@@ -344,7 +381,8 @@ def _code_line(out: list[Secret], f: int, line_no: int, blob: bytes, begin: int,
             m = _ASSIGNED.search(above)
         name = next((g for g in m.groups() if g), "") if m else ""
         scheme = _SCHEME.match(value)
-        inner = inside(value)
+        # Later lines of a literal are looked at as text, each by itself.
+        inner = inside(value.split("\n", 1)[0])
         if credential_name(name) or name.lower() == "authorization":
             if scheme and usable(scheme[1]) or usable(value) or inner:
                 kind = "assigned"
