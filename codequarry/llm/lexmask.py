@@ -40,9 +40,12 @@ class Table:
     #: States in which the end of a line or of the file is an error.
     line_error: np.ndarray
     file_error: np.ndarray
+    #: States of texts that nest deeper than the table counts.
+    deep: np.ndarray
 
 
-def _c_like(lang: str):
+def _c_like(lang: str, exact: bool = False):
+    """The automaton; unless exact, what its table does not count ends in the state `deep`."""
     triple = lang in ("java", "python")
     js = lang in ("javascript", "typescript")
     raw_bt = lang == "go"
@@ -71,7 +74,7 @@ def _c_like(lang: str):
             if c == HS and (python or shell):
                 return "lc", stack
             if js and stack and c == LB:
-                return m, stack[:-1] + (min(stack[-1] + 1, 3),)
+                return (m, stack[:-1] + (stack[-1] + 1,)) if exact or stack[-1] < 3 else ("deep", ())
             if js and stack and c == RB:
                 return (m, stack[:-1] + (stack[-1] - 1,)) if stack[-1] else ("tpl", stack[:-1])
             return s
@@ -110,9 +113,11 @@ def _c_like(lang: str):
                 return "tple", stack
             if c == BT:
                 return "code", stack
-            return ("sub", stack) if c == DB and len(stack) < 2 else s
+            return s if c != DB else ("sub", stack) if exact or len(stack) < 2 else ("deep", ())
         if m == "sub":
             return "code", stack + (0,)
+        if m == "deep":
+            return s
         if m in ("re", "rc"):
             if c == BSX:
                 return m + "e", stack
@@ -123,7 +128,7 @@ def _c_like(lang: str):
 
     def kind(s: tuple) -> int:
         m = s[0]
-        if m in ("code", "sub"):
+        if m in ("code", "sub", "deep"):
             return CODE
         if m in ("lc", "bcs", "bc", "bce"):
             return COMMENT
@@ -189,7 +194,7 @@ def table(lang: str) -> Table:
     order = list(states)
     at = lambda f: np.array([f(s) for s in order])
     return Table(
-        np.array(rows, dtype=np.uint16), at(kind).astype(np.uint8), at(lambda s: s[0] in line_error), at(lambda s: s[0] in file_error)
+        np.array(rows, dtype=np.uint16), at(kind).astype(np.uint8), at(lambda s: s[0] in line_error), at(lambda s: s[0] in file_error), at(lambda s: s[0] == "deep")
     )
 
 
@@ -332,10 +337,13 @@ def spans(texts: pa.Array, lang: str) -> Spans:
         state[:active] = s
     last = np.zeros(n, dtype=np.uint16)
     last[order] = state
-    kb, ka = t.kind[before], t.kind[after]
+    kb, ka, kl = t.kind[before], t.kind[after], t.kind[last]
+    cut, file_cut = t.line_error[before], t.file_error[last]
+    for f in np.flatnonzero(t.deep[last]).tolist():
+        _exact(lang, slice(int(lo[f]), int(hi[f])), f, cls, kb, ka, kl, cut, file_cut)
     broken = np.zeros(n, dtype=bool)
-    broken[of[(cls == NL) & t.line_error[before]]] = True
-    broken |= t.file_error[last]
+    broken[of[(cls == NL) & cut]] = True
+    broken |= file_cut
     change = kb != ka
     # A line's end belongs to what follows; the brace after a template's expression is code.
     skip = ((cls == NL) & (ka != kb)) | ((cls == RB) & (ka == TEMPLATE))
@@ -348,13 +356,24 @@ def spans(texts: pa.Array, lang: str) -> Spans:
     if first != CODE:
         s_pos, s_file = np.concatenate([starts, s_pos]), np.concatenate([np.arange(n), s_file])
         s_kind = np.concatenate([np.full(n, first, dtype=np.uint8), s_kind])
-    still = np.flatnonzero(t.kind[last] != CODE)
+    still = np.flatnonzero(kl != CODE)
     is_open = np.concatenate([np.zeros(len(e_pos), dtype=bool), np.ones(len(still), dtype=bool)])
     e_pos, e_file = np.concatenate([e_pos, ends[still]]), np.concatenate([e_file, still])
     so, eo = np.lexsort((s_pos, s_file)), np.lexsort((e_pos, e_file))
     return Spans(data, starts, ends, s_file[so], s_pos[so], e_pos[eo], s_kind[so], broken, is_open[eo])
 
 
+def _exact(lang: str, events: slice, f: int, cls: np.ndarray, kb: np.ndarray, ka: np.ndarray, kl: np.ndarray, cut: np.ndarray, file_cut: np.ndarray) -> None:
+    """Kinds and errors of one text by the automaton with its stack, for nesting of any depth."""
+    s, step, kind, line_error, file_error = _c_like(lang, exact=True)
+    for i in range(events.start, events.stop):
+        kb[i], cut[i] = kind(s), s[0] in line_error
+        # As in the table, class 0 changes nothing.
+        s = step(s, int(cls[i])) if cls[i] else s
+        ka[i] = kind(s)
+    kl[f], file_cut[f] = kind(s), s[0] in file_error
+
+
 def _line_start(data: np.ndarray, pos: np.ndarray, begin: np.ndarray) -> np.ndarray:
     p = pos - 1
     while True:

@@ -115,3 +115,13 @@ def test_long_literals_and_keys():
     assert secret_lines("a.js", two) == [1, 3]
     clean, n = secrets.redact_texts(pa.array([two]), "javascript")
     assert "MIIE" not in clean[0] and "foo(bar);" in clean[0] and '";\nfoo' in clean[0]
+
+
+@pytest.mark.parametrize("lang", ["javascript", "typescript"])
+def test_templates_of_any_depth(lang):
+    from codequarry.llm import parse
+
+    deep = "`" + "${f(`" * 6 + "x" + "`)}" * 6 + "`"
+    good = ["const a = `${xs.map(x => { if (x) { f({a: {b: {c: 1}}}) } })}`;\nlet b = 1;\n", f"const a = {deep};\nlet b = 'c';\n"]
+    bad = ["const a = `${xs.map(x => { if (x) { f({a: {b: {c: 1}}}) } }}`;\nlet b = 1;\n", f"const a = {deep[:-1]};\nlet b = 'c';\n"]
+    assert parse.valid(pa.array(good + bad + ["let x = `${y}`;\n"]), lang).tolist() == [True, True, False, False, True]
