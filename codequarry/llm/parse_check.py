@@ -12,13 +12,32 @@ from pyspark.sql import functions as F
 from codequarry.llm import batches, parse
 
 
+#: Extensions that are read for comments and strings like a language whose grammar is not theirs,
+#: and those whose language has a part, JSX, that the grammars lack.
+OTHER_GRAMMAR = ("kt", "scala")
+WITH_JSX = ("jsx", "tsx")
+
+
+def judge(paths: list[str | None], texts: pa.Array, lang: str) -> tuple[list[str], np.ndarray]:
+    """Language, '' where a file is not judged, and validity of each file of one lexing language."""
+    ext = np.array([(p or "").rpartition(".")[2].lower() for p in paths], dtype=object)
+    judged = ~np.isin(ext, OTHER_GRAMMAR)
+    ok = np.ones(len(ext), dtype=bool)
+    at = np.flatnonzero(judged)
+    if len(at):
+        ok[at] = parse.valid(texts if len(at) == len(ext) else texts.take(pa.array(at)), lang)
+    # The rejected ones may hold JSX.
+    judged &= ok | ~np.isin(ext, WITH_JSX)
+    return [lang if x else "" for x in judged.tolist()], ok | ~judged
+
+
 def _run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for lang, rows, texts, piece in batches.by_language(batch, "file_path", "content"):
             at = pa.array(rows)
+            langs, ok = judge(piece.column("file_path").take(at).to_pylist(), texts, lang)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("file_id").take(at), piece.column("repo_id").take(at), pa.array([lang] * len(rows), pa.string()),
-                 pa.array(np.asarray(parse.valid(texts, lang), dtype=bool))],
+                [piece.column("file_id").take(at), piece.column("repo_id").take(at), pa.array(langs, pa.string()), pa.array(ok)],
                 names=["file_id", "repo_id", "language", "parses"],
             )
 
@@ -27,7 +46,8 @@ def parse_status(parse_results: DataFrame) -> DataFrame:
     """(file_id, repo_id, language, parses) for each delivered file.
 
     The extension of file_path decides the language; files of no supported language are not
-    judged and count as parsing, and so do empty and null contents. Rows delivered twice come
+    judged (language '') and count as parsing, and so do empty and null contents. Files of .jsx and
+    .tsx that the grammars without JSX reject are not judged either. Rows delivered twice come
     out twice.
     """
     return parse_results.select("file_id", "repo_id", "file_path", "content").mapInArrow(

@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from codequarry.llm import handwritten, natural, pairs, secrets
+from codequarry.llm import handwritten, natural, pairs, parse_check, secrets
 from codequarry.llm.lexmask import language_of
 
 
@@ -125,3 +125,11 @@ def test_templates_of_any_depth(lang):
     good = ["const a = `${xs.map(x => { if (x) { f({a: {b: {c: 1}}}) } })}`;\nlet b = 1;\n", f"const a = {deep};\nlet b = 'c';\n"]
     bad = ["const a = `${xs.map(x => { if (x) { f({a: {b: {c: 1}}}) } }}`;\nlet b = 1;\n", f"const a = {deep[:-1]};\nlet b = 'c';\n"]
     assert parse.valid(pa.array(good + bad + ["let x = `${y}`;\n"]), lang).tolist() == [True, True, False, False, True]
+
+
+def test_files_without_grammar_are_not_judged():
+    kotlin, jsx = "fun f(x: Int): Int? = x?.let { it + 1 }\n", "const a = <b className=\"c\">it's {d}</b>;\n"
+    assert parse_check.judge(["a.kt", "b.scala", "c.java"], pa.array([kotlin] * 3), "java")[0] == ["", "", "java"]
+    assert parse_check.judge(["a.kt", "b.scala", "c.java"], pa.array([kotlin] * 3), "java")[1].tolist() == [True, True, False]
+    langs, ok = parse_check.judge(["a.jsx", "b.jsx", "c.js"], pa.array([jsx, "let x = 1;\n", jsx]), "javascript")
+    assert langs == ["", "javascript", "javascript"] and ok.tolist() == [True, True, False]
