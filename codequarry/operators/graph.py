@@ -8,6 +8,7 @@ three levels each level is written to the checkpoint folder, so plans do not gro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -152,16 +153,17 @@ def subgraph(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
     return found, induced(r if include_unresolved else found, edges)
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, max_depth: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(start, node, hops, path): the least path by hops, then by ids, over all edge types.
 
     The path of a start to itself is the start alone. One row is kept for each (start, node),
-    which is what keeps the search linear in the edges. Targets without a path have no row.
+    which is what keeps the search linear in the edges. It ends when nothing new is reached, or
+    after max_depth hops where that is wanted. Targets without a path have no row.
     """
     step = checkpoint(edges.select(F.col("source").alias("node"), F.col("target").alias("_next")).distinct())
     front = starts.select("start", F.col("start").alias("node"), F.array("start").alias("path")).distinct()
     seen = front.withColumn("hops", F.lit(0))
-    for d in range(1, max_depth + 1):
+    for d in count(1) if max_depth is None else range(1, max_depth + 1):
         nxt = (
             front.join(step, "node").groupBy("start", F.col("_next").alias("node")).agg(F.min("path").alias("path"))
             .join(seen.select("start", "node"), ["start", "node"], "left_anti")
@@ -171,6 +173,8 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, targets: DataFrame | Non
         if nxt.isEmpty():
             break
         seen = seen.unionByName(nxt.withColumn("hops", F.lit(d)))
+        if d % 10 == 0:
+            seen = checkpoint(seen)
         front = nxt
     return seen.join(targets.select(F.col("target").alias("node")), "node", "left_semi").select(*seen.columns) if targets is not None else seen
 
@@ -213,7 +217,7 @@ def cycles(edges: DataFrame, max_len: int = 3, types: Sequence[str] | None = CAL
     return out
 
 
-def strong_components(edges: DataFrame, types: Sequence[str] | None = CALLS, rounds: int = 30) -> DataFrame:
+def strong_components(edges: DataFrame, types: Sequence[str] | None = CALLS) -> DataFrame:
     """(node, component): the strongly connected pieces of two or more nodes, named by their least id.
 
     Colouring: the least id that reaches a node is propagated along the edges; a node of its own
@@ -222,9 +226,8 @@ def strong_components(edges: DataFrame, types: Sequence[str] | None = CALLS, rou
     """
     e = cyclic_core(edges, types)
     out = None
-    for _ in range(rounds):
-        if e.isEmpty():
-            break
+    # Each round takes out at least the piece of the least id.
+    while not e.isEmpty():
         color = e.select(F.col("source").alias("node")).union(e.select("target")).distinct().withColumn("color", F.col("node"))
         moved = True
         while moved:
@@ -245,7 +248,7 @@ def strong_components(edges: DataFrame, types: Sequence[str] | None = CALLS, rou
         found = checkpoint(found)
         big = found.groupBy("color").agg(F.count("*").alias("n")).filter("n > 1").select("color")
         level = found.join(big, "color", "left_semi").select("node", F.col("color").alias("component"))
-        out = level if out is None else out.unionByName(level)
+        out = checkpoint(level if out is None else out.unionByName(level))
         gone = found.select("node")
         rest = e.join(gone.withColumnRenamed("node", "source"), "source", "left_anti").join(gone.withColumnRenamed("node", "target"), "target", "left_anti")
         e = cyclic_core(rest.select("source", "target"), None)
@@ -295,13 +298,13 @@ def cycles_dfs(edges: DataFrame, types: Sequence[str] | None = CALLS) -> DataFra
     return keyed.groupBy("component").applyInPandas(search, f"cycle array<{kind}>")
 
 
-def topo_layers(edges: DataFrame, types: Sequence[str] | None = CALLS, max_layers: int = 200) -> DataFrame:
+def topo_layers(edges: DataFrame, types: Sequence[str] | None = CALLS, max_layers: int | None = None) -> DataFrame:
     """(node, layer): Kahn's algorithm layer by layer; parallel edges count, nodes on or after a
     cycle and isolated nodes are left out."""
     e = checkpoint(of_types(edges, types).select("source", "target"))
     left = checkpoint(e.select(F.col("source").alias("node")).union(e.select("target")).distinct())
     rest, out = e, None
-    for layer in range(max_layers):
+    for layer in count() if max_layers is None else range(max_layers):
         ready = left.join(rest.select(F.col("target").alias("node")).distinct(), "node", "left_anti")
         ready = checkpoint(ready)
         if ready.isEmpty():
@@ -312,6 +315,8 @@ def topo_layers(edges: DataFrame, types: Sequence[str] | None = CALLS, max_layer
         rest = rest.join(ready.withColumnRenamed("node", "source"), "source", "left_anti").select("source", "target")
         if layer % 3 == 2:
             left, rest = checkpoint(left), checkpoint(rest)
+        if layer % 10 == 9:
+            out = checkpoint(out)
     return out if out is not None else left.withColumn("layer", F.lit(0)).limit(0)
 
 
