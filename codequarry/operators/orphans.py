@@ -108,14 +108,9 @@ def orphans(relationships: DataFrame, entities: DataFrame, removals: DataFrame,
     # One array of spans for each id keeps the join one to one; it is as long as the id has removals.
     spans = spans.groupBy("ref").agg(F.collect_list(F.struct("born", "gone", "always")).alias("spans"))
 
-    total = F.sum("n").over(Window.partitionBy())
-    hot = (
-        references(relationships.sample(HOT_SAMPLE, seed=1)).groupBy("ref").agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= 100)
-        .withColumn("total", total)
-        .filter(F.col("n") > HOT_SHARE * F.col("total"))
-        .select("ref", F.lit(True).alias("hot"))
-    )
+    sample = references(relationships.sample(HOT_SAMPLE, seed=1)).groupBy("ref").agg(F.count("*").alias("n"))
+    total = sample.agg(F.sum("n")).scalar()
+    hot = sample.filter((F.col("n") >= 100) & (F.col("n") > HOT_SHARE * total)).select("ref", F.lit(True).alias("hot"))
     # At most 1 / HOT_SHARE ids pass the filter, so this table may be broadcast whatever the input.
     left = open_refs.join(F.broadcast(hot), "ref", "left").withColumn(
         "salt", F.when(F.col("hot"), F.pmod(F.xxhash64("relationship_id", "side"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))

@@ -15,7 +15,7 @@ def _p1(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
 QUERIES = {
     "p1_found": lambda s, d: orphans.orphan_rows(*_p1(s, d)),
     "p1_orphan_report": lambda s, d: orphans.orphan_report(*_p1(s, d)),
-    "p4_found": lambda s, d: heavy_keys.heavy_pairs(T(s, d, "relationships")).select("target_id", "type"),
+    "p4_found": lambda s, d: heavy_keys.heavy_counts(T(s, d, "relationships")).select("target_id", "type"),
     "p4_pair_stats": lambda s, d: heavy_keys.pair_stats(T(s, d, "relationships")),
 }
 

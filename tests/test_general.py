@@ -89,3 +89,16 @@ def test_pairs(spark):
     assert got == {("hot", "calls"): (97, 4, 0.5), ("x", None): (1, 0, None)}
     assert [(r.target_id, r.type) for r in heavy_keys.heavy_pairs(df).collect()] == [("hot", "calls")]
     assert heavy_keys.heavy_pairs(df.limit(0)).count() == 0
+
+
+def test_heavy_counts_against_plain_counts(spark):
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, f"s{rnd.randrange(50)}", f"t{min(rnd.randrange(400), rnd.randrange(400))}", rnd.choice(["calls", "imports", None]), 0.5) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id bigint, source_id string, target_id string, type string, confidence double")
+    plain = df.groupBy("target_id", "type").count().collect()
+    for share in (0.002, 0.001, 0.00001):
+        want = {(r[0], r[1], r[2]) for r in plain if r[2] >= share * 6000}
+        assert {tuple(r) for r in heavy_keys.heavy_counts(df, share).collect()} == want
+    assert heavy_keys.candidates(heavy_keys.pair_rows(df), 0.00001) is None
