@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -44,22 +43,35 @@ def ship(spark: SparkSession) -> None:
     sc._codequarry_shipped = True
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which all executors share: that of spark.checkpoint.dir.
 
-    The setting is read from the session. Only a local master that has none gets a
-    folder of its own; on a cluster a missing setting is an error, for a folder of one
+    The setting is read from the session. Only a local master that has none gets a folder of its
+    own, removed when it ends; on a cluster a missing setting is an error, for a folder of one
     machine would be lost with it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared:
             if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            shared = os.path.join(tempfile.gettempdir(), "codequarry-checkpoints")
+            shared = tempfile.mkdtemp(prefix="codequarry-checkpoints-")
+            remove_at_end(spark, shared)
         sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def remove_at_end(spark: SparkSession, folder: str) -> None:
+    """Have the folder removed when the driver's JVM ends."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 
