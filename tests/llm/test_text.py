@@ -235,13 +235,36 @@ def test_words():
     assert leakage.words("Ｇröße_x ﬁne—ÀB") == ["grösse", "x", "fine", "àb"]
 
 
-def test_near_matches_allow_shifts():
-    it = leakage.prepare([(1, " ".join(f"t{i}" for i in range(12)))], 12)
+def test_near_matches_allow_shifts(spark):
     w = [f"t{i}" for i in range(12)]
     shifted = " ".join(w[:6] + ["new"] + w[6:])
     broken = " ".join(w[:4] + list("abcdefgh"))
-    assert leakage.near([shifted, broken], it, 1, 11) == [(1, 0, 12)]
-    assert leakage.exact([shifted, broken], it) == []
+    index = leakage.build_index(spark.createDataFrame([(7, shifted), (8, broken), (None, shifted)], "doc_id bigint, text string"))
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id bigint, text string")
+    assert sorted(map(tuple, leakage.search(index, items, 12, 1, 11).collect()), key=str) == [(1, 7, 12), (1, None, 12)]
+    assert leakage.search(index, items).count() == 0
+    with pytest.raises(ValueError):
+        leakage.search(index, items, 12, 1, 13)
+
+
+def test_postings_round_trip_and_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rnd = random.Random(8)
+    lists = [sorted(rnd.sample(range(1 << rnd.choice([4, 9, 16, 30])), k)) for k in (1, 5, 7, 2, 9)]
+    sizes = np.array([len(x) for x in lists])
+    data, bounds = leakage.pack(np.concatenate(lists).astype(np.int64), np.cumsum(sizes) - sizes)
+    values, n = leakage.unpack(data, bounds)
+    assert values.tolist() == [v for x in lists for v in x] and n.tolist() == sizes.tolist()
+    # Items that meet a segment in several tasks, and texts that are segments of their own.
+    text = lambda n: " ".join(f"w{rnd.randrange(9)}" for _ in range(n))
+    docs = [(i, text(200)) for i in range(30)]
+    items = [(i, " ".join(docs[i][1].split()[20:40])) for i in range(0, 30, 3)]
+    D, B = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    want = {tuple(r) for r in leakage.leaks(D, B).collect()}
+    assert {(i, i) for i, _ in items} <= want
+    monkeypatch.setattr(leakage, "BLOCK_BYTES", 100)
+    assert {tuple(r) for r in leakage.leaks(D, B).collect()} == want
 
 
 @pytest.fixture(scope="module")
