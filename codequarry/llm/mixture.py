@@ -2,14 +2,16 @@
 
 Method: Efraimidis-Spirakis sampling. Each record gets the key E / w with E exponential from a
 hash of its id and w its quality; within a source records are taken by rising key until the
-token budget is used, after as many complete epochs as fit. The prefix sums over a source are
-made in two levels - sums of key ranges, then rows of the one range that the budget cuts - so
-that no task ever holds a whole source.
+token budget is used, after as many complete epochs as fit. A record beyond what is left of the
+budget is passed over and the prefix sum goes on behind it with those that still fit, until the
+rest is negligible. Where a prefix sum crosses the budget is found by sums of key ranges, split
+again until a range is small, so no task ever holds a whole source.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -19,18 +21,29 @@ from pyspark.sql import functions as F
 from codequarry.llm import batches, lexmask, tokens
 from codequarry.session import checkpoint
 
-#: Key ranges of each source; the ranges are bounded by this and the number of targets.
+#: Key ranges into which a source, or the range that is cut, is split at once.
 RANGES = 1024
+#: Records of one source that may be summed one by one in a task.
+SMALL = 20_000
+#: Share of a source's budget that may be left over though records would still fit.
+SLACK = 0.001
 
 
 def quality(texts: pa.Array) -> np.ndarray:
-    """A weight from 0.1 to 1 for each text: its share of letters and digits, eased for short texts."""
+    """A weight from 0.05 to 1 for each text: the product of its share of letters and digits, of how near the mean
+    length of its words is to that of running text, of its lines that stand only once, and of a
+    discount for very short texts. Texts without spaces between words (Chinese, Japanese) are
+    not judged by word length."""
     data, starts, ends = lexmask.buffers(texts)
-    good = ((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | (data >= 0x80)
-    run = lexmask.running(good)
-    size = ends - starts
-    share = (run[ends] - run[starts]) / np.maximum(size, 1)
-    return np.clip(share, 0.1, 1.0) * (0.5 + 0.5 * np.minimum(1.0, size / 400))
+    high = data >= 0x80
+    good = ((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | high
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    size = np.maximum(ends - starts, 1)
+    share, blank, wide = ((lambda run: (run[ends] - run[starts]) / size)(lexmask.running(m)) for m in (good, space, high))
+    word = (1 - blank) * size / np.maximum(blank * size, 1)
+    fit = np.where(wide > 0.5, 1.0, np.exp(-np.square(np.log(np.maximum(word, 1) / 5.5)) / 2))
+    once = np.array([(lambda rows: len(set(rows)) / len(rows) if rows else 1.0)([x for x in t.split("\n") if x.strip()] if t else []) for t in texts.to_pylist()], dtype=float)
+    return np.clip(np.minimum(1.0, share / 0.8) * np.maximum(fit, 0.2) * once * (0.5 + 0.5 * np.minimum(1.0, size / 400)), 0.05, 1.0)
 
 
 def sized(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -80,33 +93,127 @@ def plan(records: DataFrame, targets: DataFrame, total_tokens: int | None = None
     return x.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("have"))
 
 
+@dataclass
+class _Fill:
+    """What is still to be taken of a source, and the stretches of keys that were taken."""
+
+    source: str
+    rest: float
+    slack: float
+    docs: int
+    #: Key and id of the record passed over last, and the prefix sum up to the range in question.
+    after: tuple[float, int] = (-1.0, 0)
+    base: float = 0.0
+    lo: float = 0.0
+    hi: float = 2.0
+    #: (key and id after which, key and id before which, tokens up to which) records are taken.
+    taken: list[tuple[float, int, float, int, float]] = field(default_factory=list)
+
+
+def _eligible(records: DataFrame, fills: list[_Fill]) -> DataFrame:
+    rows = [(f.source, float(f.rest), *f.after, f.base, f.lo, f.hi) for f in fills]
+    state = records.sparkSession.createDataFrame(rows, "source string, rest double, ak double, ad bigint, base double, lo double, hi double")
+    # One row for each source that a user lists.
+    x = records.join(F.broadcast(state), "source").filter("place >= lo and place < hi and tokens <= rest")
+    return x.filter("key > ak or (key = ak and doc_id > ad)")
+
+
+def _narrow(records: DataFrame, fills: list[_Fill]) -> list[_Fill]:
+    """Narrow lo and hi to a small range in which the prefix sum crosses the rest; those that all fits into are
+    done and left out."""
+    crossing = [f for f in fills if f.docs <= SMALL]
+    todo = [f for f in fills if f.docs > SMALL]
+    while todo:
+        bins = _eligible(records, todo).withColumn("bin", F.least(F.floor((F.col("place") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1)))
+        sums: dict[str, list] = {}
+        # At most RANGES rows for each source.
+        for r in bins.groupBy("source", "bin").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")).collect():
+            sums.setdefault(r.source, []).append((r.bin, r.n, r.docs))
+        again = []
+        for f in todo:
+            for i, n, docs in sorted(sums.get(f.source, [])):
+                if f.base + n > f.rest:
+                    width = (f.hi - f.lo) / RANGES
+                    f.lo, f.hi = f.lo + i * width, f.lo + (i + 1) * width
+                    (crossing if docs <= SMALL or width < 1e-14 else again).append(f)
+                    break
+                f.base += n
+            else:
+                f.taken.append((*f.after, float("inf"), 0, float(f.rest)))
+                f.rest = 0
+        todo = again
+    return crossing
+
+
+def _fill(records: DataFrame, fills: list[_Fill]) -> None:
+    """Take records of each source by rising key as long as they fit, until the rest is negligible."""
+    fills = [f for f in fills if f.rest > f.slack]
+    while fills:
+        for f in fills:
+            f.base, f.lo, f.hi = 0.0, 0.0, 2.0
+        crossing = _narrow(records, fills)
+        if not crossing:
+            return
+        order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        # Records delivered twice have one key; they fit or are passed over together.
+        one = _eligible(records, crossing).groupBy("source", "base", "rest", "key", "doc_id").agg(F.sum("tokens").alias("tokens"))
+        run = one.withColumn("sum", F.col("base") + F.sum("tokens").over(order))
+        cut = run.groupBy("source").agg(
+            F.min(F.when(F.col("sum") > F.col("rest"), F.struct("key", "doc_id", (F.col("sum") - F.col("tokens")).alias("sum")))).alias("at")
+        )
+        at = {r.source: r["at"] for r in cut.collect()}
+        fills = []
+        for f in crossing:
+            x = at.get(f.source)
+            limit = float(f.rest)
+            if x is None:
+                f.taken.append((*f.after, float("inf"), 0, limit))
+                continue
+            f.taken.append((*f.after, x.key, x.doc_id, limit))
+            f.rest, f.after = f.rest - x["sum"], (x.key, x.doc_id)
+            if f.rest > f.slack:
+                fills.append(f)
+
+
+def _marked(records: DataFrame, fills: list[_Fill]) -> DataFrame:
+    """records with _s, null where they were not taken."""
+    runs = records.sparkSession.createDataFrame([(f.source, *t) for f in fills for t in f.taken], "_s string, ak double, ad bigint, ck double, cd bigint, most double")
+    above = (F.col("key") > F.col("ak")) | ((F.col("key") == F.col("ak")) & (F.col("doc_id") > F.col("ad")))
+    below = (F.col("key") < F.col("ck")) | ((F.col("key") == F.col("ck")) & (F.col("doc_id") < F.col("cd")))
+    # The stretches of a source do not overlap, so no record is multiplied.
+    return records.join(F.broadcast(runs), (F.col("source") == F.col("_s")) & above & below & (F.col("tokens") <= F.col("most")), "left")
+
+
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 1, total_tokens: int | None = None, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, source, tokens, copies): the chosen records, copies from 1 to max_repeats.
 
-    Records without a source, of a source without a target, or without a token are never
-    chosen. A doc_id delivered twice counts as two records with one key.
+    Records without a source, of a source without a target, without a doc_id or without a
+    token are never chosen. A doc_id delivered twice counts as two records with one key. A
+    source misses its budget by at most SLACK of it or half of the smallest record that is left.
     """
     # The wanted mixture has one row for each source that a user lists; it is small by its nature.
     records = checkpoint(
-        sized(documents, vocabulary).join(F.broadcast(targets.select(F.lower(F.trim("source")).alias("source")).distinct()), "source", "left_semi")
+        sized(documents, vocabulary).filter("doc_id is not null")
+        .join(F.broadcast(targets.select(F.lower(F.trim("source")).alias("source")).distinct()), "source", "left_semi")
         .withColumn("key", _key(seed))
-        # A monotone map of the key to RANGES ranges of about equal size.
-        .withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key") * 0.6)) * RANGES), F.lit(RANGES - 1)))
+        # A monotone map of the key to 0 to 1.
+        .withColumn("place", 1 - F.exp(-F.col("key") * 0.6))
     )
-    todo = plan(records, targets, total_tokens).select("source", "epochs", "rest", "max_repeats")
-    sums = records.groupBy("source", "range").agg(F.sum("tokens").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # At most RANGES rows for each target: small enough to broadcast whatever the corpus holds.
-    level = sums.withColumn("before", before).join(F.broadcast(todo), "source")
-    state = F.when(F.col("before") + F.col("n") <= F.col("rest"), F.lit("in")).when(F.col("before") < F.col("rest"), F.lit("cut")).otherwise(F.lit("out"))
-    level = level.withColumn("state", state).select("source", "range", "before", "rest", "epochs", "max_repeats", "state")
-    x = records.join(F.broadcast(level), ["source", "range"])
-    whole = x.filter("state <> 'cut'").withColumn("extra", (F.col("state") == "in").cast("bigint"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    cut = x.filter("state = 'cut'").withColumn("extra", (F.col("before") + F.sum("tokens").over(within) - F.col("tokens") / 2 <= F.col("rest")).cast("bigint"))
-    out = whole.unionByName(cut)
-    copies = F.least(F.col("epochs") + F.col("extra"), F.col("max_repeats")).cast("int")
-    return out.select("doc_id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
+    todo = plan(records, targets, total_tokens).select("source", "epochs", "rest", "max_repeats", "budget", "docs").collect()
+    fills = [_Fill(r.source, float(r.rest), SLACK * float(r.budget), r.docs) for r in todo if r.docs and r.epochs < r.max_repeats]
+    _fill(records, fills)
+    spark = documents.sparkSession
+    epochs = spark.createDataFrame([(r.source, int(r.epochs), int(r.max_repeats)) for r in todo], "source string, epochs bigint, max_repeats bigint")
+    # Nothing that fits is left; the smallest record beyond is taken where its excess is less than the rest.
+    left = spark.createDataFrame([(f.source, float(f.rest)) for f in fills if f.rest > f.slack], "source string, rest double")
+    near = _marked(records, fills).filter("_s is null").join(F.broadcast(left), "source").filter("tokens < 2 * rest")
+    last = near.groupBy("source").agg(F.min(F.struct("tokens", "key", "doc_id")).alias("at")).collect()
+    for r in last:
+        f = next(f for f in fills if f.source == r.source)
+        f.taken.append((r["at"].key, r["at"].doc_id - 1, r["at"].key, r["at"].doc_id + 1, float(r["at"].tokens)))
+    x = _marked(records, fills).join(F.broadcast(epochs), "source")
+    copies = F.least(F.col("epochs") + F.col("_s").isNotNull().cast("bigint"), F.col("max_repeats")).cast("int")
+    return x.select("doc_id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:

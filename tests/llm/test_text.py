@@ -1,4 +1,5 @@
 import random
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -316,7 +317,7 @@ def test_split_tables(spark, vocabulary):
     assert split.oversized(df.limit(0)).count() == 0
 
 
-def test_mixture(spark, vocabulary):
+def test_mixture(spark, vocabulary, monkeypatch):
     rnd = random.Random(4)
     rows = [(i, " ".join(["word"] * rnd.randrange(5, 60)), rnd.choice(["A", " a ", "b", "c", None, "", "other"])) for i in range(1500)] + [(9001, None, "a"), (9002, "", "b")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("key", F.lit("clash"))
@@ -328,15 +329,32 @@ def test_mixture(spark, vocabulary):
     s = {r.source: r for r in mixture.shares(out, targets).collect()}
     assert abs(s["a"].actual_share / s["b"].actual_share - 5 / 3) < 0.05 and s["none"].tokens == 0
     assert sorted(map(tuple, mixture.mix(docs.repartition(7), targets).collect())) == sorted(map(tuple, got))
-    # The prefix sums in two levels take just what one sorted list would.
-    records = mixture.sized(docs).withColumn("key", mixture._key(1)).collect()
+    # The sums by ranges take just what one pass over the sorted list would.
     plan = {r.source: r for r in mixture.plan(mixture.sized(docs), targets).collect()}
-    for name, p in plan.items():
-        use, want = 0, {}
-        for r in sorted((r for r in records if r.source == name), key=lambda r: (int((1 - 2.718281828459045 ** (-r.key * 0.6)) * mixture.RANGES), r.key, r.doc_id)):
-            use += r.tokens
-            want[r.doc_id] = int(p.epochs) + (use - r.tokens / 2 <= p.rest)
-        assert {r.doc_id: r.copies for r in got if r.source == name} == {k: v for k, v in want.items() if v}
+
+    def one_pass(records):
+        out = {}
+        for name, p in plan.items():
+            rest = p.rest
+            for r in sorted((r for r in records if r.source == name), key=lambda r: (r.key, r.doc_id)):
+                take = p.rest > mixture.SLACK * p.budget and rest > mixture.SLACK * p.budget and r.tokens <= rest
+                rest -= r.tokens if take else 0
+                if p.epochs + take:
+                    out[r.doc_id] = min(p.epochs + take, p.max_repeats)
+                r.take = take
+            over = [r for r in records if r.source == name and not r.take and r.tokens < 2 * rest]
+            if p.epochs < p.max_repeats and rest > mixture.SLACK * p.budget and over:
+                last = min(over, key=lambda r: (r.tokens, r.key, r.doc_id))
+                out[last.doc_id] = min(p.epochs + 1, p.max_repeats)
+        return out
+
+    want = one_pass([SimpleNamespace(**r.asDict(), take=False) for r in mixture.sized(docs).withColumn("key", mixture._key(1)).collect()])
+    assert {r.doc_id: r.copies for r in got} == want
+    monkeypatch.setattr(mixture, "SMALL", 3)
+    monkeypatch.setattr(mixture, "RANGES", 5)
+    assert {r.doc_id: r.copies for r in mixture.mix(docs, targets).collect()} == want
+    twice = mixture.mix(docs.unionByName(docs.filter("doc_id % 3 = 0")), targets)
+    assert all(abs(r.actual_share - r.target_share) < 0.03 for r in mixture.shares(twice, targets).collect() if r.source != "none")
     assert mixture.mix(docs.limit(0), targets).count() == 0 and mixture.mix(docs, targets.limit(0)).count() == 0
     assert abs(sum(r.tokens * r.copies for r in mixture.mix(docs, targets, total_tokens=2000).collect()) - 1900) <= 3 * 30
     some = {r.source: r for r in mixture.shares(mixture.mix(docs, targets, total_tokens=10**9), targets).collect()}
