@@ -15,8 +15,8 @@ RESERVED = {
     "json": "true false null",
 }
 CONTEXTUAL = {
-    "javascript": "of async get set static from as let",
-    "typescript": "of async get set static from as let type interface namespace module declare readonly abstract keyof infer is satisfies enum public private protected implements override unique asserts out",
+    "javascript": "of async get set static from as let using accessor",
+    "typescript": "of async get set static from as let using accessor global type interface namespace module declare readonly abstract keyof infer is satisfies enum public private protected implements override unique asserts out",
     "java": "var record sealed permits yield non when",
     "go": "",
     "python": "match case type print exec",
@@ -26,17 +26,17 @@ CONTEXTUAL = {
 JS = """
 Stmts = Stmt*
 End = ';' | 'U' | EOF
-Stmt = ';' | 'U' | B:Stmts | VarDecl End | Func | Class | 'if' P:Exprs 'U'? Stmt ('else' Stmt)? | 'for' 'await'? P:ForHead 'U'? Stmt | 'while' P:Exprs 'U'? Stmt | 'do' Stmt 'while' P:Exprs End? | 'return' Exprs? End | 'break' ID? End | 'continue' ID? End | 'throw' Exprs End | 'try' B:Stmts Handler | 'switch' P:Exprs B:Cases | ID ':' Stmt | 'debugger' End | Import | Export | Exprs End | 'with' P:Exprs Stmt | TsStmt
+Stmt = ';' | 'U' | B:Stmts | VarDecl End | Func | Class | 'if' P:Exprs 'U'? Stmt ('U'? 'else' Stmt)? | 'for' 'await'? P:ForHead 'U'? Stmt | 'while' P:Exprs 'U'? Stmt | 'do' Stmt 'while' P:Exprs End? | 'return' Exprs? End | 'break' ID? End | 'continue' ID? End | 'throw' Exprs End | 'try' B:Stmts Handler | 'switch' P:Exprs B:Cases | ID ':' Stmt | 'debugger' End | Import | Export | Exprs End | 'with' P:Exprs Stmt | TsStmt
 Handler = 'catch' P:CatchParam? B:Stmts ('finally' B:Stmts)? | 'finally' B:Stmts
 CatchParam = Binding TypeAnn?
-VarDecl = ('var' | 'const' | 'let') Declarator (',' Declarator)*
+VarDecl = ('var' | 'const' | 'let' | 'await'? 'using') Declarator (',' Declarator)*
 Declarator = Binding '!'? TypeAnn? ('=' Expr)?
 Binding = ID | S:BindArr | B:BindObj
 BindArr = (','* BindElem)* ','*
 BindElem = '...'? Binding ('=' Expr)? (',' | EOF)
 BindObj = (BindProp (',' BindProp)*)? ','?
 BindProp = '...' ID | PropName (':' Binding)? ('=' Expr)?
-ForHead = ('var' | 'const' | 'let') Binding ('of' | 'in') Exprs | Postfix ('of' | 'in') Exprs | (VarDecl | Exprs)? ';' Exprs? ';' Exprs?
+ForHead = ('var' | 'const' | 'let' | 'await'? 'using') Binding ('of' | 'in') Exprs | Postfix ('of' | 'in') Exprs | (VarDecl | Exprs)? ';' Exprs? ';' Exprs?
 Cases = Case*
 Case = ('case' Exprs | 'default') ':' Stmts
 Func = 'async'? 'function' '*'? ID? Sig (B:Stmts | End)
@@ -45,8 +45,8 @@ Params = (Param (',' Param)*)? ','?
 Param = Decorator* ParamMod* '...'? (Binding | 'this') '?'? TypeAnn? ('=' Expr)?
 Class = Decorator* 'class' ID? TypeParams? ('extends' Postfix TypeArgs?)? Impl? B:Members
 Members = Member*
-Member = ';' | 'U' | Decorator* Mod* PropName ('?' | '!')? Sig (B:Stmts | End) | Decorator* Mod* '*'? PropName Sig B:Stmts | Decorator* Mod* PropName ('?' | '!')? TypeAnn? ('=' Expr)? End | 'static' B:Stmts | Index
-Mod = 'static' | 'async' | 'get' | 'set' | '*' | TsMod
+Member = ';' | 'U' | Decorator* Mod* PropName ('?' | '!')? Sig (B:Stmts | End) | Decorator* Mod* '*'? PropName Sig B:Stmts | Decorator* Mod* PropName ('?' | '!')? TypeAnn? ('=' Expr)? End | Decorator* Mod* PropName ('?' | '!')? TypeAnn? '=' 'async'? (ID | TypeParams? P:Params TypeAnn?) '=>' B:Stmts | 'static' B:Stmts | Index
+Mod = 'static' | 'async' | 'get' | 'set' | 'accessor' | '*' | TsMod
 Decorator = '@' Postfix 'U'?
 PropName = Name | STR | NUM | S:Expr | '#' Name
 Name = ID | Keyword
@@ -57,26 +57,27 @@ ImportClause = ID (',' (B:Specs | '*' 'as' ID))? | B:Specs | '*' 'as' ID
 With = 'with'
 Specs = (Spec (',' Spec)*)? ','?
 Spec = TypeKw? (Name | STR) ('as' (Name | STR))?
-Export = 'export' (VarDecl End | Func | Class | 'default' (Func | Class | Expr End) | '*' ('as' Name)? 'from' STR End | TypeKw? B:Specs ('from' STR)? End | TsStmt | '=' Expr End)
+Export = 'export' (VarDecl End | Func | Class | 'default' (Func | Class | Expr End) | TypeKw? '*' ('as' (Name | STR))? 'from' STR (With B:Object)? End | TypeKw? B:Specs ('from' STR (With B:Object)?)? End | TsStmt | '=' Expr End)
 Exprs = Expr (',' Expr)*
 Expr = Unary (Bin Unary)* ('?' Expr ':' Expr)? | Arrow | 'yield' '*'? Expr?
-Bin = 'o' | 'A' | '=' | '+' | '-' | '*' | '/' | '%' | '&' | '^' | '<' | '>' | '>' '>' | '>' '>' '>' | '<' '<' | 'in' | 'instanceof' | '|'
+Bin = 'o' | 'A' | '=' | '+' | '-' | '*' | '/' | '%' | '&' | '^' | '<' | '>' 'U'? | '>' '>' | '>' '>' '>' | '<' '<' | 'in' | 'instanceof' | '|'
 Arrow = 'async'? (ID | TypeParams? P:Params TypeAnn?) '=>' (B:Stmts | Expr)
 Unary = Prefix* Postfix 'I'? | Prefix* Arrow | Prefix+ 'yield' Expr?
 Prefix = '!' | '~' | '+' | '-' | 'I' | 'typeof' | 'void' | 'delete' | 'await' | 'new'
 Postfix = Primary Suffix*
-Suffix = '.' '#'? Name | '?.' ('#'? Name | S:Exprs | P:Args | Template) | S:Exprs | P:Args | Template | TsSuffix
+Suffix = '.' '#'? Name | '?.' ('#'? Name | S:Exprs | P:Args | Template) | 'U'? S:Exprs | P:Args | Template | TsSuffix
 Args = (Arg (',' Arg)*)? ','?
 Arg = '...'? Expr
 Template = TPL (B:Exprs TPL)*
-Primary = ID | NUM | STR | RE | Template | 'this' | 'super' | 'null' | 'true' | 'false' | P:Exprs | S:Array | B:Object | 'async'? 'function' '*'? ID? Sig B:Stmts | Class | 'new' '.' ID | 'import' ('.' ID)?
+Primary = ID | NUM | STR | RE | Template | 'this' | 'super' | 'null' | 'true' | 'false' | P:Exprs | S:Array | B:Object | 'async'? 'function' '*'? ID? Sig B:Stmts | Class | 'new' '.' ID | 'import' ('.' ID)? | '#' Name
 Array = (','* ArrElem)* ','*
 ArrElem = '...'? Expr (',' | EOF)
 """
 
 #: Nonterminals that only the typed dialect fills.
 TS_ONLY = """
-TypeAnn = ':' ('asserts'? (ID | 'this') 'is' Type | Type)
+TypeAnn = ':' Returned
+Returned = 'asserts'? (ID | 'this') 'is' Type | 'asserts' (ID | 'this') | Type
 TypeParams = '<' TypeParam (',' TypeParam)* ','? '>'
 TypeParam = 'const'? ('in' | 'out')* ID ('extends' Type)? ('=' Type)?
 TypeArgs = '<' Type (',' Type)* '>'
@@ -86,14 +87,15 @@ TypeKw = 'type' | 'typeof'
 Impl = 'implements' Type (',' Type)*
 Index = ('readonly' | 'static')* S:IndexSig TypeAnn End
 IndexSig = ID TypeAnn
-TsStmt = 'type' ID TypeParams? '=' Type End | 'interface' ID TypeParams? ('extends' Type (',' Type)*)? B:TypeBody | 'const'? 'enum' ID B:Enum | 'declare' Stmt | 'declare' 'global' B:Stmts | ('namespace' | 'module') (ID ('.' ID)* | STR) B:Stmts | 'abstract' Class | 'import' ID '=' Expr End
+TsStmt = 'type' ID TypeParams? '=' Type End | 'interface' ID TypeParams? ('extends' Type (',' Type)*)? B:TypeBody | 'const'? 'enum' ID B:Enum | 'declare' Stmt | 'global' B:Stmts | ('namespace' | 'module') (ID ('.' ID)* | STR) B:Stmts | 'abstract' Class | 'import' ID '=' Expr End
 Enum = (EnumItem (',' EnumItem)*)? ','?
 EnumItem = PropName ('=' Expr)?
 TsSuffix = '!' | ('as' | 'satisfies') Type | ('as' 'const') | TypeArgs (P:Args | Template)
 Type = ('|' | '&')? TypeU (('|' | '&') TypeU)* ('extends' Type '?' Type ':' Type)?
 TypeU = ('keyof' | 'readonly' | 'typeof' | 'infer' | 'unique')* TypeP S:TypeIdx*
 TypeIdx = Type?
-TypeP = ID ('.' Name)* TypeArgs? | 'void' | 'null' | 'this' | 'true' | 'false' | STR | '-'? NUM | Template | B:TypeBody | S:TypeList | P:Type | 'abstract'? 'new'? TypeParams? P:Params '=>' ('asserts'? (ID | 'this') 'is' Type | Type) | 'import' P:Args ('.' Name)*
+TplType = TPL (B:TypeIdx TPL)*
+TypeP = ID ('.' Name)* TypeArgs? | 'void' | 'null' | 'this' | 'true' | 'false' | STR | '-'? NUM | TplType | B:TypeBody | S:TypeList | P:Type | 'abstract'? 'new'? TypeParams? P:Params '=>' Returned | 'import' P:Args ('.' Name)* TypeArgs?
 TypeList = (TypeItem (',' TypeItem)*)? ','?
 TypeItem = '...'? (ID '?'? ':')? Type '?'?
 TypeBody = TypeMember*
@@ -105,7 +107,9 @@ TEnd = ';' | ',' | 'U' | EOF
 
 JAVA = """
 Top = TopItem*
-TopItem = ';' | Mods 'package' QName ';' | 'import' 'static'? QName ('.' '*')? ';' | Decl | Mods 'module' QName B:Top
+TopItem = ';' | Mods 'package' QName ';' | 'import' 'static'? QName ('.' '*')? ';' | Decl | Mods ID? 'module' QName B:Directives
+Directives = Directive*
+Directive = ID 'static'? ID? QName (ID QName (',' QName)*)? ';'
 Decl = Mods (ClassHead B:Members | 'enum' ID Impl? B:Enum | '@' 'interface' ID B:Members | 'record' ID TypeParams? P:Params Impl? B:Members)
 ClassHead = ('class' | 'interface') ID TypeParams? ('extends' Types)? Impl? ('permits' Types)?
 Impl = 'implements' Types
@@ -278,7 +282,13 @@ HMatch = 'match' Stars ':'
 HCase = 'case' Patterns ('if' Named)? ':'
 Patterns = PatternAs (',' PatternAs)* ','?
 PatternAs = PatternOr ('as' ID)? | '*' ID
-PatternOr = Test
+PatternOr = Pattern ('|' Pattern)*
+Pattern = '-'? NUM (('+' | '-') NUM)? | STR+ | 'None' | 'True' | 'False' | ID ('.' ID)* P:PatArgs? | P:PatItems | S:PatItems | B:PatMap
+PatItems = Patterns?
+PatArgs = (PatArg (',' PatArg)* ','?)?
+PatArg = (ID '=')? PatternAs
+PatMap = (PatPair (',' PatPair)* ','?)?
+PatPair = Pattern ':' PatternAs | '**' ID
 IIf = HIf Simple
 IElif = HElif Simple
 IElse = HElse Simple
@@ -319,16 +329,34 @@ Pair = STR ':' Value
 Array = (Value (',' Value)*)?
 """
 
-#: Blocks of YAML over kinds of lines: K a key without value, V a key with one, L a list
-#: mark, M a list mark with a key, X plain text, Q a quoted or flow value, D a document mark, H a block scalar's key.
+#: Lines of YAML behind their marks, over tokens: : behind a key, p plain and s quoted scalars, h the head of a
+#: block scalar, z what can begin no scalar, brackets and commas of flow values. Each kind is a start symbol:
+#: K a key without value, V a key with one, H a block scalar's key, X plain text, Q a quoted or flow value, G a block scalar.
+YAML_LINES = """
+K = Key ':'
+V = Key ':' Value
+H = Key ':' 'h'
+X = 'p'
+Q = 's' | Flow
+G = 'h'
+Key = 'p' | 's' | Flow
+Value = 'p' | 's' | Flow
+Flow = '[' (Item (',' Item)* ','?)? ']' | '{' (Pair (',' Pair)* ','?)? '}'
+Item = '?'? Value | Key? ':' Value?
+Pair = '?'? Key (':' Value?)? | ':' Value?
+"""
+#: Blocks of YAML over kinds of lines; L a list mark, E and W those of an explicit key and its value, what
+#: follows a mark in its line is a block; D is a document mark.
 YAML_BLOCKS = """
 File = Node? ('D' Node?)*
 Node = Map | List | Scalar
 Map = Entry+
-Entry = 'K' (B:Node | List)? | 'V' B:Text? | 'H' B:Any?
-List = Item+
-Item = 'L' B:Node? | 'T' B:Text? | 'M' B:Map? | 'G' B:Any?
-Scalar = 'X'+ B:Text? | 'Q'
-Text = ('X' | 'V' | 'K' | 'T' | 'L' | 'M' | 'H' | 'G' | 'Q' | B:Text)+
-Any = ('X' | 'V' | 'K' | 'T' | 'L' | 'M' | 'H' | 'G' | 'Q' | 'D' | B:Any)*
+Entry = 'K' (B:Node | List)? | 'V' | 'H' | 'E' B:Node? ('W' B:Node?)?
+List = ('L' B:Node?)+
+Scalar = 'X' | 'Q' | 'G'
+"""
+#: A line of a properties file over u, hexadecimal digits (f), backslashes and other characters (c).
+PROPERTIES = """
+Line = (Char | '\\' ('\\' | 'c' | 'f' | 'u' 'f' 'f' 'f' 'f'))* '\\'?
+Char = 'c' | 'f' | 'u'
 """

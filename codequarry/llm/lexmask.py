@@ -8,6 +8,7 @@ events. Work is linear in the bytes, and no Python code runs for single characte
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -246,6 +247,24 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 13, 32]] = True
 
 
+#: A slash behind these brackets begins a regular expression: a condition, or a block that ended on an earlier line.
+_HEAD = re.compile(rb"(?<![\w$.])(?:if|while|for|with)\s*(?:await\s*)?\Z")
+
+
+def _after_condition(data: np.ndarray, begin: int, close: int) -> bool:
+    """Whether the round bracket that closes there ends the head of a statement."""
+    depth, at = 1, close
+    blob = data[begin:close].tobytes()
+    at -= begin
+    while depth:
+        a, b = blob.rfind(b"(", 0, at), blob.rfind(b")", 0, at)
+        if a < 0:
+            return False
+        at = max(a, b)
+        depth += 1 if b > a else -1
+    return bool(_HEAD.search(blob[max(0, at - 24) : at]))
+
+
 def _mark_regex(data: np.ndarray, pos: np.ndarray, begin: np.ndarray) -> np.ndarray:
     p = pos - 1
     while True:
@@ -254,7 +273,17 @@ def _mark_regex(data: np.ndarray, pos: np.ndarray, begin: np.ndarray) -> np.ndar
             break
         p = np.where(on, p - 1, p)
     prev = np.where(p >= begin, data[np.maximum(p, 0)], 0)
+    for i in ((prev == 47) & (data[np.maximum(p - 1, 0)] == 42)).nonzero()[0]:
+        # What stands before a comment decides.
+        p[i] = data[begin[i] : p[i]].tobytes().rfind(b"/*") + begin[i] - 1
+        while p[i] >= begin[i] and _SPACE[data[p[i]]]:
+            p[i] -= 1
+        prev[i] = data[p[i]] if p[i] >= begin[i] else 0
     out = _REGEX_AFTER[prev]
+    for i in (prev == 41).nonzero()[0]:
+        out[i] = _after_condition(data, int(begin[i]), int(p[i]))
+    for i in (prev == 125).nonzero()[0]:
+        out[i] = 10 in data[p[i] + 1 : pos[i]] and b"/" in data[pos[i] + 1 : pos[i] + 500].tobytes().split(b"\n", 1)[0]
     letter = ((prev >= 97) & (prev <= 122)).nonzero()[0]
     for i in letter:
         tail = bytes(data[max(begin[i], p[i] - 9) : p[i] + 1])
@@ -276,6 +305,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, off[:-1].copy(), off[1:].copy()
 
 
+def shebang_end(data: np.ndarray, begin: int, end: int) -> int:
+    """Where a first line that names an interpreter ends; `begin` where there is none."""
+    if data[begin : begin + 2].tobytes() != b"#!":
+        return begin
+    n = data[begin:end].tobytes().find(b"\n")
+    return end if n < 0 else begin + n
+
+
 def spans(texts: pa.Array, lang: str) -> Spans:
     """The spans of texts that all have one language."""
     data, starts, ends = buffers(texts)
@@ -304,6 +341,8 @@ def spans(texts: pa.Array, lang: str) -> Spans:
             cls = np.where(star & (n1 != ord("/")), NONE, cls)
             cls = np.where(star & (n1 == ord("/")) & (p1 == ord("/")), MS0, cls)
             if lang in ("javascript", "typescript"):
+                for f in np.flatnonzero(data[np.minimum(starts, max(len(data) - 1, 0))] == 35).tolist():
+                    cls[int(lo[f]) : int(np.searchsorted(ev, shebang_end(data, int(starts[f]), int(ends[f]))))] = NONE
                 plain = np.flatnonzero(cls == SL)
                 cls[plain[_mark_regex(data, ev[plain], begin[plain])]] = RX
         elif lang in ("yaml", "properties"):
@@ -318,6 +357,9 @@ def spans(texts: pa.Array, lang: str) -> Spans:
                 # Quotes open only where a scalar begins; inside quotes any of them counts.
                 inner = quote & ~(bol | ((p1 == 32) | (p1 == 9) | np.isin(p1, [ord(x) for x in ":,[{-("])))
                 cls = np.where(inner & (byte == 34), DQ3, np.where(inner & (byte == 39), SQ3, np.where(quote, np.where(byte == 34, DQ, SQ), cls)))
+    if len(ev) > 1:
+        # An escaped character that is no event after all ends its escape at once.
+        cls[:-1] = np.where((cls[:-1] == BSX) & (np.diff(ev) == 1) & (cls[1:] == NONE), BSE, cls[:-1])
     before = np.zeros(len(ev), dtype=np.uint16)
     after = np.zeros(len(ev), dtype=np.uint16)
     counts = hi - lo

@@ -123,14 +123,20 @@ class Parser:
             self._cut = re.compile("(?<=N)")
         elif lang in ("java", "javascript", "typescript"):
             stay = keep("else catch finally while instanceof in of from as extends implements is satisfies permits throws")
-            begin = "n@" + "".join(c for w, c in self.tokens.items() if w[0].isalpha() and c not in stay)
+            begin = "n@#" + "".join(c for w, c in self.tokens.items() if w[0].isalpha() and c not in stay)
             self._cut = re.compile(f"(?<=;)(?![{keep('else while')}])|(?<=[{_BRACE_GROUPS}])(?=[{begin}])")
             if lang != "java":
                 ends = "n1str\\]I" + keep(("void " if lang == "typescript" else "") + "this super null true false break continue return debugger of async get set static from as let type readonly abstract")
                 no = stay.replace(keep("while"), "").replace(keep("else"), "")
-                first = "n1s!~@I" + "".join(c for w, c in self.tokens.items() if w[0].isalpha() and c not in no)
-                self._asi = re.compile(f"(?<=[{ends}])[ \t\r]*\n\\s*(?=[{first}])")
-                self._asi_paren = re.compile(f"(?<=\\))[ \t\r]*\n\\s*(?=[{first}])")
+                first = "n1s!~@#I" + "".join(c for w, c in self.tokens.items() if w[0].isalpha() and c not in no)
+                named = "".join(c for w, c in self.tokens.items() if w[0].isalpha())
+                self._asi = re.compile(f"(?:(?<=[{ends}])|(?<=\\.[{named}]))[ \t\r]*\n\\s*(?=[{first}])")
+                # The line of a decorator goes on in the next.
+                self._decorator = re.compile(r"(@n(?:\.n)*);")
+                # Where these end a line, a statement may end or go on.
+                open_ends = r"\)>" if lang == "typescript" else r"\)"
+                bracket = rf"|(?<=[{ends}>])[ \t\r]*\n\s*(?=\[)" if lang == "typescript" else ""
+                self._asi_open = re.compile(f"(?<=[{open_ends}])[ \t\r]*\n\\s*(?=[{first}])|(?<=\\}})[ \t\r]*\n\\s*(?=[{keep('else')}])" + bracket)
         if lang == "go":
             self._semi = re.compile(r"(?<=[n1s)\]}I" + keep("return break continue fallthrough") + r"])[ \t\r\f]*\n")
         if lang == "python":
@@ -225,8 +231,8 @@ class Parser:
         if self.lang == "go":
             text = self._semi.sub("N", text)
         elif self.lang in ("javascript", "typescript"):
-            text = self._asi.sub(";", text)
-            text = self._asi_paren.sub("U", text)
+            text = self._decorator.sub(r"\1U", self._asi.sub(";", text))
+            text = self._asi_open.sub("U", text)
         text = re.sub(r"[ \t\r\n\f\v]+", "", text)
         return [self._file(f) for f in self.reduce(text).split("\0")]
 
@@ -343,123 +349,260 @@ def skeletons(s: lexmask.Spans) -> list[str]:
     b = b[(s.data[b] == 0xEF) & (s.data[b + 1] == 0xBB) & (s.data[b + 2] == 0xBF)] if len(b) else b
     for k in range(3):
         keep[b + k] = False
+    for f in np.flatnonzero((size >= 2) & (s.data[np.minimum(s.starts, max(len(s.data) - 1, 0))] == 35)).tolist() if len(s.data) else ():
+        keep[int(s.starts[f]) : lexmask.shebang_end(s.data, int(s.starts[f]), int(s.ends[f]))] = False
     at = lexmask.running(keep)
     text = data[keep].tobytes().decode("latin-1")
     return [text[x:y] for x, y in zip(at[s.starts].tolist(), at[s.ends].tolist(), strict=True)]
 
 
-_YAML_QUOTED = re.compile(r"""(?:(?<=^)|(?<=[:,\[{(\-\n ]))("(?:[^"\\]|\\.)*"|'(?:[^']|'')*')""", re.S)
-_YAML_KEY = re.compile(r"(?:[^\s#'\"&*!|>%@`\[\]{},\-\x01?][^\x01]*?|-[^\s\x01][^\x01]*?|\?[^\s].*?|\x01)\s*:(?:\s+|$)")
-_YAML_FLOW = re.compile(r"\[[^\[\]{}]*\]|\{[^\[\]{}]*\}")
+_YAML_PLAIN = re.compile(r"(?:[^:#\n]|:(?!\s|$)|(?<!\s)#)+")
+_YAML_FLOW_PLAIN = re.compile(r"(?:[^:#\n,\[\]{}]|:(?![\s,\[\]{}]|$)|(?<!\s)#)+")
+_YAML_SCALAR_HEAD = re.compile(r"[|>][-+0-9]*[ \t]*(?:(?<=[ \t])#[^\n]*)?(?=\n|$)")
+_YAML_PROPERTY = re.compile(r"[&!][^\s,\[\]{}]*")
+_YAML_QUOTED = {'"': re.compile(r'"(?:[^"\\]|\\.)*"', re.S), "'": re.compile(r"'(?:[^']|'')*'", re.S)}
 
 
 @lru_cache(maxsize=1)
-def _yaml_blocks() -> Grammar:
-    return Grammar(grammars.YAML_BLOCKS, lambda w: w)
-
-
-def _yaml_value(v: str) -> str:
-    """'' none, 'v' a scalar or flow value, 'h' a block scalar, 'z' malformed."""
-    v = re.sub(r"^(?:[&!][^\s]*\s*)+", "", v).strip()
-    if not v:
-        return ""
-    if re.fullmatch(r"[|>][-+0-9]*", v):
-        return "h"
-    if v[0] == "\x01":
-        return "v" if len(v) == 1 else "z"
-    if v[0] in "\"'":
-        return "z"
-    if v[0] in "[{":
-        n = 1
-        while n:
-            v, n = _YAML_FLOW.subn("\x01", v)
-        return "v" if v == "\x01" else "z"
-    if v[0] in "@`%" or re.search(r":\s", v):
-        return "z"
-    return "v"
+def _yaml_grammars() -> tuple[Grammar, Grammar, dict[str, str]]:
+    """Lines, blocks over kinds of lines, and the kinds of the lines seen so far."""
+    return Grammar(grammars.YAML_LINES, lambda w: w), Grammar(grammars.YAML_BLOCKS, lambda w: w), {}
+
+
+def _yaml_line(text: str, at: int) -> tuple[str, int]:
+    """(tokens, end) of a line's content behind its marks; quoted and flow values may take in the lines
+    that follow. An unfinished one ends in the token z."""
+    out: list[str] = []
+    begin, depth = at, 0
+    while at < len(text):
+        c = text[at]
+        if c == "\n" and not depth:
+            break
+        if c in " \t\n":
+            at += 1
+        elif c == "#" and (at == begin or text[at - 1] in " \t\n"):
+            n = text.find("\n", at)
+            at = len(text) if n < 0 else n
+        elif c == ":" and (text[at + 1 : at + 2] in ("", " ", "\n", "\t") or depth and (text[at + 1] in "[]{}," or out[-1] in "s]}")):
+            out.append(c)
+            at += 1
+        elif depth and c in "]}," or c in "[{" and (depth or not out or out[-1] not in "ps]}"):
+            depth += (c in "[{") - (c in "]}")
+            out.append(c)
+            at += 1
+        elif c in "\"'" and (not out or out[-1] not in "ps"):
+            m = _YAML_QUOTED[c].match(text, at)
+            if not m:
+                return "".join([*out, "z"]), len(text)
+            out.append("s")
+            at = m.end()
+        elif c in "&!" and (not out or out[-1] not in "ps"):
+            at = _YAML_PROPERTY.match(text, at).end()
+        elif c in "|>" and not depth and _YAML_SCALAR_HEAD.match(text, at):
+            out.append("h")
+            at = _YAML_SCALAR_HEAD.match(text, at).end()
+        else:
+            m = (_YAML_FLOW_PLAIN if depth else _YAML_PLAIN).match(text, at)
+            out.append("z" if c in "@`%|>]}," or not m else "p")
+            at = m.end() if m else at + 1
+    return "".join(out) + ("z" if depth else ""), at
+
+
+_YAML_MARK = re.compile(r"[-?:](?=\s|$)[ \t]*(?:(?<=[ \t])#[^\n]*)?")
 
 
 def yaml_valid(text: str) -> bool:
+    """Whether each line derives a kind of line, and the kinds with their indentation a document."""
     if "\t" in text and re.search(r"^ *\t+ *[^\s#]", text, re.M):
         return False
     if re.search(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", text):
         return False
-    text = _YAML_QUOTED.sub("\x01", text.lstrip("﻿").replace("\r\n", "\n"))
+    text = text.lstrip("\ufeff").replace("\r\n", "\n")
+    lines, blocks, known = _yaml_grammars()
     out: list[str] = []
-    stack = [0]
-    skip = -1
-    flow = ""
-    for line in text.split("\n"):
-        body = line.lstrip(" ")
-        width = len(line) - len(body)
-        if skip >= 0:
-            if not body.strip() or width > skip:
-                continue
-            skip = -1
-        body = re.sub(r"(?:^|\s)#.*$", "", body).rstrip()
-        if not body:
+    stack: list[int] = []
+
+    def place(kind: str, column: int) -> bool:
+        if not stack:
+            stack.append(column)
+        if column > stack[-1]:
+            out.append("{")
+            stack.append(column)
+        while column < stack[-1] and len(stack) > 1:
+            stack.pop()
+            out.append("}")
+        out.append(kind)
+        return column == stack[-1]
+
+    #: Columns beyond which lines belong to a block scalar, or go on with a plain one.
+    skip: int | None = None
+    runs_on: int | None = None
+    at = 0
+    while at < len(text):
+        n = text.find("\n", at)
+        n = len(text) if n < 0 else n
+        row = text[at:n]
+        begin = at
+        body = row.lstrip(" ")
+        width = len(row) - len(body)
+        at += width
+        if not body.strip() or skip is not None and width > skip or body[0] == "#":
+            at = n + 1
             continue
-        if flow or (re.search(r"(?:^|[:\-]\s+)[\[{]", body) and sum(map(body.count, "[{")) > sum(map(body.count, "]}"))):
-            flow += " " + body
-            if sum(map(flow.count, "[{")) > sum(map(flow.count, "]}")):
-                flow_at = width if flow == " " + body else flow_at
-                continue
-            body, flow = flow.strip(), ""
-            width = flow_at
-        if body in ("---", "...") or body.startswith(("--- ", "%")):
+        skip = None
+        if not width and (body in ("---", "...") or body.startswith(("--- ", "... ", "%"))):
             out.extend("}" * (len(stack) - 1) + "D")
-            stack = [0]
+            stack.clear()
+            runs_on = None
+            skip = -1 if re.match(r"--- +[|>]", body) else None
+            at = n + 1
             continue
-        if width > stack[-1]:
-            out.append("{")
-            stack.append(width)
-        elif width < stack[-1]:
-            while len(stack) > 1 and width < stack[-1]:
-                stack.pop()
-                out.append("}")
-            if width != stack[-1]:
+        if runs_on is not None and width > runs_on:
+            if re.search(r":(?:\s|$)", re.sub(r"\s#.*", "", row)):
                 return False
-        listed = body == "-" or body.startswith("- ")
-        deep = width
-        while body == "-" or body.startswith("- "):
-            rest = body[1:].lstrip()
-            deep += len(body) - len(rest)
-            body = rest
-        m = _YAML_KEY.match(body)
-        if body.startswith("? "):
-            m = None
-        v = _yaml_value(body[m.end():] if m else body)
-        if v == "z":
-            return False
-        if v == "h":
-            skip = width if not (listed and m) else deep
-            if not listed or not m:
-                skip = width
-        if m:
-            out.append(("G" if v == "h" else "M") if listed else {"": "K", "v": "V", "h": "H"}[v])
-        elif listed:
-            out.append({"": "L", "v": "T", "h": "G"}[v])
-        else:
-            out.append("Q" if body[0] in "\x01[{" else "X" if v == "v" else "Z")
-    if flow:
-        return False
+            at = n + 1
+            continue
+        runs_on = None
+        parent = -1
+        while (m := _YAML_MARK.match(text, at, n)) and (text[at] != ":" or out and at == begin + width):
+            if not place({"-": "L", "?": "E", ":": "W"}[text[at]], at - begin):
+                return False
+            parent, at = at - begin, m.end()
+        if at >= n:
+            at = n + 1
+            continue
+        tokens, end = _yaml_line(text, at)
+        column = at - begin
+        if tokens:
+            kind = known.get(tokens)
+            if kind is None:
+                if len(known) > MEMORY:
+                    known.clear()
+                kind = known[tokens] = min(lines.accepted(tokens, ["K", "V", "H", "X", "Q", "G"], lambda c: (c,)), default="")
+            if not kind or not place(kind, column):
+                return False
+            if parent < 0 and len(stack) > 1:
+                parent = stack[-2]
+            if tokens[-1] == "p":
+                runs_on = column if kind == "V" else parent
+            elif tokens[-1] == "h":
+                skip = column if kind == "H" else parent
+        n = text.find("\n", end)
+        at = len(text) if n < 0 else n + 1
     out.extend("}" * (len(stack) - 1))
-    kinds = re.sub(r"V{2,}(?!\{)", "V", "".join(out))
-    g = _yaml_blocks()
+    rows = re.sub(r"V{2,}", "V", "".join(out))
     labels = Labels()
     n = 1
     while n:
-        kinds, n = re.subn(r"\{([^{}]*)\}", lambda m: labels.char("B", g.accepted(m[1], ["Node", "Map", "Text", "Any"], labels)), kinds)
-    return bool(g.accepted(kinds, ["File"], labels))
+        rows, n = re.subn(r"\{([^{}]*)\}", lambda m: labels.char("B", blocks.accepted(m[1], ["Node"], labels)), rows)
+    return bool(blocks.accepted(rows, ["File"], labels))
+
+
+_HEX = str.maketrans(dict.fromkeys("0123456789abcdefABCDEF", "f"))
+
+
+@lru_cache(maxsize=1)
+def _properties_grammar() -> tuple[Grammar, dict[str, bool]]:
+    return Grammar(grammars.PROPERTIES, lambda w: w), {}
 
 
 def properties_valid(text: str) -> bool:
-    return not re.search(r"(?<!\\)(?:\\\\)*\\u(?![0-9a-fA-F]{4})", text)
+    """Whether each line with escapes derives one; all others do."""
+    grammar, known = _properties_grammar()
+    for line in text.split("\n"):
+        if "\\" not in line:
+            continue
+        # The five characters after each backslash tell all.
+        tokens = re.sub(r"[^\\uf]+", "c", line.translate(_HEX))
+        tokens = re.sub(r"(?<![\\u])(?<!\\uf)(?<!\\uff)(?<!\\ufff)[cfu]+(?=[cfu])", "", tokens) if len(tokens) > 64 else tokens
+        ok = known.get(tokens)
+        if ok is None:
+            if len(known) > MEMORY:
+                known.clear()
+            ok = known[tokens] = bool(grammar.accepted(tokens, ["Line"], lambda c: (c,)))
+        if not ok:
+            return False
+    return True
 
 
 _JSON_STRICT = re.compile(r'\\(?!["\\/bfnrtu])|\\u(?![0-9a-fA-F]{4})')
 
 
+_PY_STRING = re.compile(r"#[^\n]*|(?<!\w)([A-Za-z]{0,2})('''|\"\"\"|'|\")")
+
+
+def _string_end(t: str, at: int, quote: str, formatted: bool) -> int:
+    """Where a Python string whose content begins there ends; -1 where it does not."""
+    while at < len(t):
+        c = t[at]
+        if c == "\\":
+            if formatted and t.startswith("N{", at + 1):
+                at = t.find("}", at)
+                if at < 0:
+                    return -1
+            at += 1 if formatted and t[at + 1 : at + 2] == "{" else 2
+        elif t.startswith(quote, at):
+            return at + len(quote)
+        elif formatted and c == "{":
+            at = at + 2 if t[at + 1 : at + 2] == "{" else _field_end(t, at + 1, quote)
+            if at < 0:
+                return -1
+        elif c == "\n" and len(quote) == 1:
+            return -1
+        else:
+            at += 1
+    return -1
+
+
+def _field_end(t: str, at: int, quote: str) -> int:
+    """Where a replacement field of a formatted string ends, over strings of any quote inside."""
+    depth, spec = 0, False
+    while at < len(t):
+        c = t[at]
+        m = None if spec else _PY_STRING.match(t, at)
+        if m:
+            at = m.end() if m[0][0] == "#" else _string_end(t, m.end(), m[2], bool(set(m[1]) & set("fFtT")))
+            if at < 0:
+                return -1
+            continue
+        if spec and t.startswith(quote, at):
+            return -1
+        if spec and c == "{":
+            at = _field_end(t, at + 1, quote)
+            if at < 0:
+                return -1
+            continue
+        if c in ")]}" and not depth:
+            return at + 1 if c == "}" else -1
+        depth += (c in "([{") - (c in ")]}") if not spec else 0
+        spec |= c == ":" and not depth
+        at += 1
+    return -1
+
+
+def plain_strings(t: str) -> str:
+    """A Python text with formatted strings as empty ones, so that quotes nested in their fields do not matter."""
+    out, done, at = [], 0, 0
+    while True:
+        m = _PY_STRING.search(t, at)
+        if not m:
+            return "".join([*out, t[done:]])
+        if m[0][0] == "#":
+            at = m.end()
+            continue
+        formatted = bool(set(m[1]) & set("fFtT"))
+        end = _string_end(t, m.end(), m[2], formatted)
+        if end < 0:
+            return t
+        if formatted:
+            out += [t[done : m.start()], m[2], m[2]]
+            done = end
+        at = end
+
+
+_FORMATTED = re.compile(r"[fFtT][rR]?[\"']")
+
+
 def valid(texts: pa.Array, lang: str) -> np.ndarray:
     """Whether each text parses in the language; empty texts do, unknown languages are not judged."""
     n = len(texts)
@@ -471,4 +614,11 @@ def valid(texts: pa.Array, lang: str) -> np.ndarray:
         return np.ones(n, dtype=bool)
     s = lexmask.spans(texts, lang)
     ok = np.array(parser(lang).valid(skeletons(s)), dtype=bool) if n else np.ones(0, dtype=bool)
-    return ok & ~s.broken
+    ok &= ~s.broken
+    if lang == "python" and not ok.all():
+        again = {i: t for i in np.flatnonzero(~ok).tolist() if _FORMATTED.search(t := texts[i].as_py() or "")}
+        again = {i: p for i, t in again.items() if (p := plain_strings(t)) != t}
+        if again:
+            s = lexmask.spans(pa.array(list(again.values())), lang)
+            ok[list(again)] = np.array(parser(lang).valid(skeletons(s)), dtype=bool) & ~s.broken
+    return ok

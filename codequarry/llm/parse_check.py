@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from codequarry.llm import batches, parse
 #: and those whose language has a part, JSX, that the grammars lack.
 OTHER_GRAMMAR = ("kt", "scala")
 WITH_JSX = ("jsx", "tsx")
+#: The begin of a JSX element, where an expression begins in a file of plain extension.
+_JSX = re.compile(r"(?:\breturn|=>|[(=?:&,])\s*\(?\s*<(?:>|[A-Za-z][\w.]*(?:\s+[\w-]+=|\s*/?>|\s*\n))")
 
 
 def judge(paths: list[str | None], texts: pa.Array, lang: str) -> tuple[list[str], np.ndarray]:
@@ -28,6 +31,9 @@ def judge(paths: list[str | None], texts: pa.Array, lang: str) -> tuple[list[str
         ok[at] = parse.valid(texts if len(at) == len(ext) else texts.take(pa.array(at)), lang)
     # The rejected ones may hold JSX.
     judged &= ok | ~np.isin(ext, WITH_JSX)
+    if lang == "javascript":
+        for i in np.flatnonzero(judged & ~ok).tolist():
+            judged[i] = not _JSX.search(texts[i].as_py() or "")
     return [lang if x else "" for x in judged.tolist()], ok | ~judged
 
 
@@ -47,7 +53,7 @@ def parse_status(parse_results: DataFrame) -> DataFrame:
 
     The extension of file_path decides the language; files of no supported language are not
     judged (language '') and count as parsing, and so do empty and null contents. Files of .jsx and
-    .tsx that the grammars without JSX reject are not judged either. Rows delivered twice come
+    .tsx that the grammars without JSX reject are not judged either, nor rejected JavaScript with JSX elements. Rows delivered twice come
     out twice.
     """
     return parse_results.select("file_id", "repo_id", "file_path", "content").mapInArrow(
