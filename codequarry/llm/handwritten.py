@@ -1,9 +1,10 @@
 """Generated, minified, vendored and data files (problem 5).
 
-Method: thresholds on layout statistics - longest and mean line, white space, letters and
+Method: thresholds on layout statistics - longest and mean line, share of long lines, white space, letters and
 digits, density of numeric literals, long encoded runs, periodic line shapes - tuned per
-language, with the marks that tools leave in comments at the head of a file and the directories
-that hold third-party copies.
+language. What layout cannot tell - copies of third-party code and single files of tools look like any
+code - is told by the marks that tools and copyists leave in comments at the head of a file, and
+by the directories that hold third-party copies; `file_kinds` names the reason.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from codequarry.llm import batches, lexmask
 class Limits:
     """Limits of one language; a file beyond them is minified or data."""
 
-    #: Mean line length and white-space share of minified text.
+    #: Mean line length, or share of bytes in lines of more than LONG bytes, and white-space share of minified text.
     minified_line: float = 110.0
+    minified_long: float = 0.7
     minified_space: float = 0.13
     #: Share of bytes in numeric literals or encoded runs with their separators.
     data_share: float = 0.92
@@ -42,12 +44,17 @@ LIMITS = {
     "java": Limits(minified_line=160, minified_space=0.08),
     "javascript": Limits(),
     "typescript": Limits(),
-    "json": Limits(minified_line=1e9, data_share=0.92, data_lines=0, periodic=2),
-    "yaml": Limits(minified_line=1e9, data_share=0.92, data_lines=0, periodic=2),
-    "properties": Limits(minified_line=1e9, data_share=0.92, data_lines=0, periodic=2),
+    "json": Limits(minified_line=1e9, minified_long=2, data_share=0.92, data_lines=0, periodic=2),
+    "yaml": Limits(minified_line=1e9, minified_long=2, data_share=0.92, data_lines=0, periodic=2),
+    "properties": Limits(minified_line=1e9, minified_long=2, data_share=0.92, data_lines=0, periodic=2),
 }
 DEFAULT = Limits(minified_line=160, minified_space=0.06)
 
+#: Bytes of a long line, and of the longest line that minified text has at least.
+LONG, LONGEST = 500, 200
+#: White-space share below which a script that is named as minified is so.
+NAMED_SPACE = 0.16
+
 #: Directories that hold copies of third-party code.
 THIRD_PARTY_DIRS = (
     "vendor _vendor third_party third-party thirdparty 3rdparty node_modules bower_components jspm_packages pods carthage site-packages dist-packages "
@@ -67,7 +74,7 @@ _GENERATED = re.compile(
     r"|(?:によって|により|から|が).{0,10}(?:自動)?生成.{0,30}(?:編集|変更|手)|自動生成された(?:ファイル|コード))"
 )
 _BANNER = re.compile(
-    r"(?i)^\W*(?:/\*!\s*)?@?[\w.\-/]+\s+v?\d+\.\d+(?:\.\d+)*(?:[-+.]\w+)*\s*(?:\||[-–]|\*/|$|\(c\)|©|copyright).{0,200}$"
+    r"(?i)^\W*(?:/\*!\s*)?@?[\w.\-/]+\s+v?\d+\.\d+(?:\.\d+)*(?:[-+.]\w+)*\s*(?:\||[-–]|\*/|$|\(c\)|©|copyright).*$"
 )
 _BANNER_MORE = re.compile(r"(?i)\(c\)|©|copyright|licen[cs]e|https?://|authors|/\*!")
 #: Fixed patterns: what copies of other projects say about themselves.
@@ -134,21 +141,23 @@ def layout(texts: pa.Array) -> dict[str, np.ndarray]:
     control = run(((data < 32) & (data != 9) & (data != 10) & (data != 13) & (data != 12)) | (data == 127))
     digit = run((data >= 48) & (data <= 57))
 
-    def gaps(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(longest stretch between positions, number of positions) of each text."""
-        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, ends)
-        most = np.zeros(len(starts), dtype=np.int64)
-        for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
-            if size[i]:
-                cuts = np.concatenate([[starts[i] - 1], at[a:b], [ends[i]]])
-                most[i] = int(np.diff(cuts).max()) - 1
-        return most, hi - lo
-
-    longest, n_lines = gaps(np.flatnonzero(data == 10))
+    # Lines of all texts: each begins at a text's start or behind a line end.
+    nl = np.flatnonzero(data == 10)
+    first, last = np.searchsorted(nl, starts), np.searchsorted(nl, ends)
+    n_lines = last - first
+    owner = np.repeat(np.arange(len(starts)), n_lines + 1)
+    head = np.cumsum(n_lines + 1) - (n_lines + 1)
+    behind = np.append(nl, 0)[np.clip(first[owner] + np.arange(len(owner)) - head[owner] - 1, 0, len(nl))] + 1
+    begins = np.where(np.arange(len(owner)) == head[owner], starts[owner], behind)
+    stop = np.append(begins[1:] - 1, 0)
+    stop[head + n_lines] = ends
+    length = stop - begins
+    longest = np.maximum.reduceat(length, head) if len(head) else np.zeros(0, dtype=np.int64)
+    in_long = np.bincount(owner, weights=np.where(length > LONG, length, 0), minlength=len(starts))
     safe = np.maximum(size, 1)
     lines = n_lines + 1
     return {
-        "size": size, "lines": lines, "longest": longest, "mean": size / np.maximum(lines, 1), "space": count(space) / safe,
+        "size": size, "lines": lines, "longest": longest, "mean": size / np.maximum(lines, 1), "long": in_long / safe, "space": count(space) / safe,
         "alnum": count(alnum) / safe, "control": count(control) / safe, "digit": count(digit) / safe,
     }
 
@@ -160,10 +169,47 @@ def data_share(text: str) -> tuple[float, int]:
     return 1 - len(re.sub(r"\s+", "", kept)) / max(1, len(re.sub(r"\s+", "", text))), other
 
 
-def classify(paths: list[str | None], texts: pa.Array, lang: str) -> list[str]:
-    """'generated', 'vendored', 'minified', 'data' or '' for each file; empty files are ''
-    unless their path alone decides."""
+def by_layout(i: int, path: str, text: str, st: dict[str, np.ndarray], lang: str) -> str:
+    """'minified', 'data', 'generated' or '' for a text that is not blank, by layout statistics alone."""
     lim = LIMITS.get(lang, DEFAULT)
+    if (
+        st["longest"][i] >= LONGEST and (st["mean"][i] > lim.minified_line or st["long"][i] > lim.minified_long)
+        and st["space"][i] < lim.minified_space and st["alnum"][i] < 0.85 and st["digit"][i] < 0.4 and lim.minified_long <= 1
+    ):
+        return "minified"
+    share, other = data_share(text)
+    if share >= lim.data_share or (share >= lim.data_share_short and other <= lim.data_lines):
+        return "data"
+    if lim.periodic <= 1:
+        dirs = {d.lower() for d in re.split(r"[\\/]+", path)[:-1]}
+        named = bool(_GENERATED_NAME.search(path)) or bool(dirs & _GENERATED_DIRS)
+        if periodic(text.lstrip("\ufeff")) >= (0.75 if named else lim.periodic):
+            return "generated"
+    if lang in ("javascript", "typescript") and re.search(r"\.min\.[cm]?[jt]s$", path) and st["space"][i] < NAMED_SPACE and st["longest"][i] > LONGEST:
+        return "minified"
+    return ""
+
+
+def by_sign(path: str, rows: list[str]) -> tuple[str, str]:
+    """(kind, reason) by the folder, or by a mark in the lines of a file's head comments."""
+    if third_party_path(path):
+        return "vendored", "folder"
+    if any(_GENERATED.search(x) for x in rows):
+        return "generated", "mark of a tool"
+    if any(_COPIED.search(x) for x in rows):
+        return "vendored", "mark of a copy"
+    if any(_BANNER.match(x) and _BANNER_MORE.search(x) for x in rows):
+        return "vendored", "banner"
+    return "", ""
+
+
+def judge(paths: list[str | None], texts: pa.Array, lang: str) -> list[tuple[str, str]]:
+    """(kind, reason) of each file: kind 'generated', 'vendored', 'minified', 'data' or '' for hand-written ones;
+    reason 'layout' where layout alone tells that a file is not hand-written, else the sign that does.
+
+    Empty files are '' unless their folder decides. Texts with control bytes are damaged and
+    not judged by layout; whether they parse is another operator's matter.
+    """
     st = layout(texts)
     s = lexmask.spans(texts, lang) if lang else None
     blob = s.data.tobytes() if s is not None else b""
@@ -172,57 +218,43 @@ def classify(paths: list[str | None], texts: pa.Array, lang: str) -> list[str]:
     out = []
     for i, (path, text) in enumerate(zip(paths, texts.to_pylist(), strict=True)):
         path, text = path or "", text or ""
-        if third_party_path(path):
-            out.append("vendored")
-            continue
-        if not text.strip():
-            out.append("")
-            continue
-        kind = ""
-        head = head_comments(blob, s, i, int(first[i]), int(last[i])) if s is not None else []
-        rows = [x for c in head for x in c.split("\n")]
-        if any(_GENERATED.search(x) for x in rows):
-            kind = "generated"
-        elif any(_COPIED.search(x) for x in rows) or any(_BANNER.match(x) and _BANNER_MORE.search(x) for x in rows if len(x) < 300):
-            kind = "vendored"
-        elif st["control"][i] > 0.01:
-            kind = "data"
-        elif st["mean"][i] > lim.minified_line and st["space"][i] < lim.minified_space and st["alnum"][i] < 0.85 and st["digit"][i] < 0.4 and lang not in ("json", "yaml", "properties"):
-            kind = "minified"
-        if not kind and len(text) > 200:
-            share, other = data_share(text)
-            if share >= lim.data_share or (share >= lim.data_share_short and other <= lim.data_lines):
-                kind = "data"
-        if kind in ("", "minified") and lim.periodic <= 1:
-            body = text.lstrip("﻿")
-            dirs = {d.lower() for d in re.split(r"[\\/]+", path)[:-1]}
-            named = bool(_GENERATED_NAME.search(path)) or bool(dirs & _GENERATED_DIRS)
-            if not kind and periodic(body) >= (0.75 if named else lim.periodic):
-                kind = "generated"
-        if not kind and lang in ("javascript", "typescript") and re.search(r"\.min\.[cm]?[jt]s$", path) and st["space"][i] < 0.16 and st["longest"][i] > 200:
-            kind = "minified"
-        out.append(kind)
+        blank = not text.strip()
+        head = head_comments(blob, s, i, int(first[i]), int(last[i])) if s is not None and not blank else []
+        kind, reason = by_sign(path, [x for c in head for x in c.split("\n")])
+        shape = "" if blank or st["control"][i] > 0.01 else by_layout(i, path, text, st, lang)
+        out.append((kind or shape, "layout" if shape else reason))
     return out
 
 
+def classify(paths: list[str | None], texts: pa.Array, lang: str) -> list[str]:
+    """The kinds of `judge`."""
+    return [kind for kind, _ in judge(paths, texts, lang)]
+
+
 def _run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for lang, rows, texts, piece in batches.by_language(batch, "file_path", "content"):
             at = pa.array(rows)
-            kinds = classify(piece.column("file_path").take(at).to_pylist(), texts, lang)
+            found = judge(piece.column("file_path").take(at).to_pylist(), texts, lang)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("file_id").take(at), piece.column("repo_id").take(at), piece.column("file_path").take(at), pa.array(kinds, pa.string())],
-                names=["file_id", "repo_id", "file_path", "kind"],
+                [piece.column("file_id").take(at), piece.column("repo_id").take(at), piece.column("file_path").take(at), *(pa.array([f[k] for f in found], pa.string()) for k in (0, 1)), pa.array([lang] * len(found), pa.string())],
+                names=["file_id", "repo_id", "file_path", "kind", "reason", "lang"],
             )
 
 
 def file_kinds(parse_results: DataFrame) -> DataFrame:
-    """(file_id, repo_id, file_path, kind); kind '' for hand-written files."""
+    """(file_id, repo_id, file_path, kind, reason, lang); kind and reason '' for hand-written files."""
     return parse_results.select("file_id", "repo_id", "file_path", "content").mapInArrow(
-        _run, "file_id bigint, repo_id string, file_path string, kind string"
+        _run, "file_id bigint, repo_id string, file_path string, kind string, reason string, lang string"
     )
 
 
+def kind_counts(parse_results: DataFrame) -> DataFrame:
+    """(kind, reason, lang, files): distinct files by kind, by what told it, and language; kind '' are hand-written ones."""
+    one = file_kinds(parse_results).groupBy("file_id").agg(F.max(F.struct("kind", "reason", "lang")).alias("k"))
+    return one.groupBy("k.kind", "k.reason", "k.lang").agg(F.count("*").alias("files"))
+
+
 def not_handwritten(parse_results: DataFrame) -> DataFrame:
     return file_kinds(parse_results).filter("kind <> ''").select("file_id").distinct()
 

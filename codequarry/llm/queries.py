@@ -11,6 +11,7 @@ QUERIES = {
     "p3_found": lambda s, d: pairs.documented_rows(T(s, d, "parse_results"), T(s, d, "parsed_entities")),
     "p3_code_pairs": lambda s, d: pairs.code_pairs(T(s, d, "parse_results"), T(s, d, "parsed_entities")),
     "p5_found": lambda s, d: handwritten.not_handwritten(T(s, d, "parse_results")),
+    "p5_kinds": lambda s, d: handwritten.kind_counts(T(s, d, "parse_results")),
     "p5_handwritten_entities": lambda s, d: handwritten.handwritten_entities(T(s, d, "parse_results"), T(s, d, "entities"), T(s, d, "repos")),
     "p6_found": lambda s, d: secrets.secret_rows(T(s, d, "parse_results")),
     "p6_redacted": lambda s, d: secrets.redacted_files(T(s, d, "parse_results")),

@@ -129,10 +129,11 @@ HAND = "import re\n\ndef f(a):\n    # ids are generated by the server, never by
         ("a.py", HAND + "\n# Code generated by x. DO NOT EDIT.\n", ""), ("a.py", ACCESSORS, "generated"), ("a.js", "// libx 4.1.2 | (c) libx authors | https://libx.example/license\nvar a = 1;\n", "vendored"),
         ("a.py", "# Imported from libx 5.2.1; keep this in step with the original project\nx = 1\n", "vendored"),
         ("a.js", "function a(b,c){var d=b+c;return d>3?a(d-1,c):!1}" * 40, "minified"), ("a.go", "package p\n\nvar d = []any{\n" + "\t12, 99, 31, 7, 255, 18, 44, 61,\n" * 60 + "}\n", "data"),
-        ("a.py", HAND * 4 + "\nT = [" + "12, 99, 31, 7, " * 40 + "]\n", ""), ("a.py", "\x02C\x7fxzQ\x01o1" * 40, "data"), ("a.py", "", ""), ("a.yaml", "a: 1\nb: 2\nc: 3\n" * 10, ""),
+        ("a.py", HAND * 4 + "\nT = [" + "12, 99, 31, 7, " * 40 + "]\n", ""), ("a.py", "\x02C\x7fxzQ\x01o1" * 40, ""), ("a.py", "", ""), ("a.yaml", "a: 1\nb: 2\nc: 3\n" * 10, ""),
     ],
 )
 def test_kinds(path, text, kind):
+    # Texts with control bytes are damaged, not data: they do not parse, and the recogniser flags them.
     from codequarry.llm.lexmask import language_of
 
     assert handwritten.classify([path], pa.array([text]), language_of(path)) == [kind]
@@ -366,3 +367,22 @@ def test_queries_are_named_by_problem():
 
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert all(k.split("_")[0] in {f"p{i}" for i in (2, 3, 5, 6, 7, 8, 9, 10)} for k in queries.QUERIES)
+
+
+def test_reasons_name_layout_first(spark):
+    minified = "function a(b,c){var d=b+c;return d>3?a(d-1,c):!1}" * 40
+    head = "/*\n * a licence\n */\n" * 30
+    rows = [("vendor/a.js", minified), ("vendor/b.js", HAND), ("c.js", head + minified), ("d.go", "// Code generated by x. DO NOT EDIT.\npackage p\n"), ("e.py", HAND), ("f.py", None)]
+    got = {r.file_path: (r.kind, r.reason) for r in handwritten.file_kinds(files(spark, rows)).collect()}
+    assert got == {"vendor/a.js": ("vendored", "layout"), "vendor/b.js": ("vendored", "folder"), "c.js": ("minified", "layout"), "d.go": ("generated", "mark of a tool"), "e.py": ("", ""), "f.py": ("", "")}
+    counts = {(r.kind, r.reason, r.lang): r.files for r in handwritten.kind_counts(files(spark, rows + rows[:0])).collect()}
+    assert counts[("", "", "python")] == 2 and sum(counts.values()) == 6
+
+
+def test_layout_against_plain_counts():
+    texts = ["", "a\n", "ab\ncd" * 3, "x" * 700 + "\n" + "y" * 10, "\n\n", "é\n\nzz", None]
+    st = handwritten.layout(pa.array(texts))
+    for i, t in enumerate(texts):
+        rows = (t or "").encode().split(b"\n")
+        assert st["longest"][i] == max(map(len, rows)) and st["lines"][i] == len(rows)
+        assert st["long"][i] == sum(len(r) for r in rows if len(r) > handwritten.LONG) / max(1, len((t or "").encode()))
