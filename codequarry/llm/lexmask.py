@@ -313,6 +313,13 @@ def shebang_end(data: np.ndarray, begin: int, end: int) -> int:
     return end if n < 0 else begin + n
 
 
+def no_spans(texts: pa.Array) -> Spans:
+    """Texts of no known language: buffers without any span."""
+    data, starts, ends = buffers(texts)
+    none = np.zeros(0, dtype=np.int64)
+    return Spans(data, starts, ends, none, none, none, np.zeros(0, dtype=np.uint8), np.zeros(len(starts), dtype=bool), np.zeros(0, dtype=bool))
+
+
 def spans(texts: pa.Array, lang: str) -> Spans:
     """The spans of texts that all have one language."""
     data, starts, ends = buffers(texts)

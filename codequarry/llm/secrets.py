@@ -32,7 +32,7 @@ _SPLIT = re.compile(r"[^\w]+|_+|(?<=[a-zà-ÿ0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a
 _NAME = r"[A-Za-z_$\u00c0-\u024f\u0400-\u04ff\u3040-\u30ff\u4e00-\u9fff][\w$.\-]*"
 #: The name that the literal after this text is assigned or passed to.
 _ASSIGNED = re.compile(
-    rf"(?:[\"'`]?({_NAME})[\"'`]?\]?\)?\s*(?::\s*[\w.]+(?:<[^<>]*>)?(?:\[\])*\??\s*(?==))?(?::=|=>|===?|!==?|=|:)|\b({_NAME})\s*\(|[\"'`]({_NAME})[\"'`]\s*,)\s*[brufBRUF]{{0,2}}$"
+    rf"(?:[\"'`]?(?<![\w$])({_NAME})[\"'`]?\]?\)?\s*(?::\s*[\w.]+(?:<[^<>]*>)?(?:\[\])*\??\s*(?==))?(?::=|=>|===?|!==?|=|:)|\b({_NAME})\s*\(|[\"'`]({_NAME})[\"'`]\s*,)\s*[brufBRUF]{{0,2}}$"
 )
 _LEFT = re.compile(rf"^\s*(?:(?:public|private|protected|static|final|readonly|export|const|let|var|val|String|string|char|auto|self\.|this\.|{_NAME})\s+|self\.|this\.)*[\"'`]?({_NAME})[\"'`]?\s*(?::\s*[\w<>\[\], .|?*]+?\s*)?(?::=|=)(?!=)")
 #: Fixed patterns: values that stand for a secret kept elsewhere or not filled in.
@@ -108,7 +108,7 @@ class Secret:
 
 def credential_name(name: str | None) -> bool:
     """Whether an identifier names a credential: its last word does, as in db_passwd2 or authToken."""
-    if not name or len(name) > 80:
+    if not name:
         return False
     words = [w.lower() for w in _SPLIT.split(name) if w and not w.isdigit()]
     words = [re.sub(r"\d+$", "", w) or w for w in words]
@@ -213,9 +213,10 @@ def _key_body(blob: bytes, a: int, stop: int) -> str:
 
 def find(texts: pa.Array, lang: str) -> list[Secret]:
     """The secrets of texts of one language, in order; a private key counts once, at its first line."""
-    if not lang or not len(texts):
+    if not len(texts):
         return []
-    s = lexmask.spans(texts, lang)
+    # Files of unknown extension have no literals; their lines are looked at as text.
+    s = lexmask.spans(texts, lang) if lang else lexmask.no_spans(texts)
     blob = s.data.tobytes()
     low, high = (int(s.starts[0]), int(s.ends[-1]))
     nl = np.flatnonzero(s.data == 10)
@@ -225,7 +226,7 @@ def find(texts: pa.Array, lang: str) -> list[Secret]:
     order = np.argsort(s.lo, kind="stable")
     lo, hi, kind = s.lo[order], s.hi[order], s.kind[order]
     lines = _hinted(blob, low, high, nl, s.starts)
-    if not config:
+    if not config and lang:
         lines = sorted({*lines, *_wrapped(blob, lines, nl, s.ends, lo, hi, kind)})
     for f, k in lines:
         end = int(nl[k]) if k < len(nl) else high
@@ -244,6 +245,9 @@ def find(texts: pa.Array, lang: str) -> list[Secret]:
                 out.append(Secret(f, line_no, "private key", "", ((a, b),)))
                 done_to = b
                 continue
+        if not lang:
+            _free_text(out, f, line_no, blob, begin, end)
+            continue
         if config:
             after = _config_block(out, f, line_no, line, blob, end, int(s.ends[f]), lang)
             if after:
@@ -301,6 +305,19 @@ def _wrapped(blob: bytes, lines: list[tuple[int, int]], nl: np.ndarray, ends: np
             x += 1
 
 
+#: Bytes before a literal in which the name it is assigned to begins, or more where these begin within a name.
+_NEAR = 300
+_NAME_BYTE = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_$.-" + bytes(range(0x80, 0x100)))
+
+
+def _back(blob: bytes, floor: int, end: int) -> int:
+    """Where to begin to look for the name before a position."""
+    a = max(floor, end - _NEAR)
+    while a > floor and blob[a] in _NAME_BYTE and blob[a - 1] in _NAME_BYTE:
+        a -= 1
+    return a
+
+
 def _above(blob: bytes, floor: int, x: int, lo: np.ndarray, hi: np.ndarray, kind: np.ndarray) -> str:
     """The end of the last line of code before the first literal of spans x, ..., without comments."""
     while x < len(lo) and kind[x] == lexmask.COMMENT:
@@ -313,7 +330,7 @@ def _above(blob: bytes, floor: int, x: int, lo: np.ndarray, hi: np.ndarray, kind
         if x < 0 or kind[x] != lexmask.COMMENT or not lo[x] < p <= hi[x]:
             break
         p = max(floor, int(lo[x]))
-    a = max(floor, blob.rfind(b"\n", floor, p) + 1, p - 300)
+    a = _back(blob, max(floor, blob.rfind(b"\n", floor, p) + 1), p)
     return _OPEN.sub("=", blob[a:p].decode("utf-8", "replace")) + " "
 
 
@@ -321,6 +338,10 @@ def _above(blob: bytes, floor: int, x: int, lo: np.ndarray, hi: np.ndarray, kind
 _OPEN = re.compile(r"(?<![=!<>])=\s*\([\s(]*$")
 
 
+#: A name and its value in running text, or as an element of markup.
+_NAMED = re.compile(rf"({_NAME})[\"'`]?\s*(?::=|=>|=|:)\s*[\"'`]?([^\"'`\s;,<]+)|<({_NAME})>\s*([^<\s]+)\s*</")
+
+
 def _free_text(out: list[Secret], f: int, line_no: int, blob: bytes, a: int, b: int) -> None:
     text = blob[a:b].decode("utf-8", "replace")
     ranges = []
@@ -329,11 +350,12 @@ def _free_text(out: list[Secret], f: int, line_no: int, blob: bytes, a: int, b:
         p = a + len(text[:x].encode())
         ranges.append((p, p + len(text[x:y].encode())))
         kind = k
-    for m in re.finditer(rf"({_NAME})[\"'`]?\s*(?::=|=|:)\s*[\"'`]?([^\"'`\s;,]+)", text):
-        if credential_name(m[1]) and usable(m[2]):
-            p = a + len(text[: m.start(2)].encode())
-            ranges.append((p, p + len(m[2].encode())))
-            kind, name = "assigned", m[1]
+    for m in _NAMED.finditer(text):
+        who, what = (1, 2) if m[1] else (3, 4)
+        if credential_name(m[who]) and usable(m[what]):
+            p = a + len(text[: m.start(what)].encode())
+            ranges.append((p, p + len(m[what].encode())))
+            kind, name = "assigned", m[who]
     if ranges:
         out.append(Secret(f, line_no, kind, name, tuple(dict.fromkeys(ranges))))
 
@@ -360,7 +382,7 @@ def _code_line(out: list[Secret], f: int, line_no: int, blob: bytes, begin: int,
     for x in literals:
         if chains:
             gap = blob[chains[-1][-1][1] : x[0]].strip()
-            if x[0] - chains[-1][-1][1] < 40 and gap in (b"", b"+", b".", b"..") and blob[chains[-1][-1][1] : x[0]].find(b"\n") < 0:
+            if gap in (b"", b"+", b".", b"..") and blob[chains[-1][-1][1] : x[0]].find(b"\n") < 0:
                 chains[-1].append(x)
                 continue
         chains.append([x])
@@ -375,7 +397,7 @@ def _code_line(out: list[Secret], f: int, line_no: int, blob: bytes, begin: int,
         whole = tuple(spot(q, *parts[q]) for q in range(len(chain)) if parts[q][0] < parts[q][1])
         name = kind = ""
         ranges: list[tuple[int, int]] = []
-        before = blob[max(begin, chain[0][0] - 300) : chain[0][0]].decode("utf-8", "replace")
+        before = blob[_back(blob, begin, chain[0][0]) : chain[0][0]].decode("utf-8", "replace")
         m = _ASSIGNED.search(before)
         if not m and chain is chains[0] and not _code_before(blob, begin, chain[0][0], spans):
             m = _ASSIGNED.search(above)
@@ -388,8 +410,9 @@ def _code_line(out: list[Secret], f: int, line_no: int, blob: bytes, begin: int,
                 kind = "assigned"
         if not kind and not inner:
             if left is None:
-                lm = _LEFT.match(blob[begin:end].decode("utf-8", "replace"))
-                left = lm[1] if lm and begin + lm.end() <= literals[0][0] + 400 else ""
+                row = blob[begin:end].decode("utf-8", "replace")
+                lm = _LEFT.match(row)
+                left = lm[1] if lm and begin + len(row[: lm.end()].encode()) <= literals[0][0] else ""
             if credential_name(left) and chain[0][0] > begin and (scheme and usable(scheme[1]) or usable(value)):
                 kind, name = "assigned", left
         if not kind and scheme and usable(scheme[1]) and re.search(r"\d", scheme[1]) and len(scheme[1]) >= 12:
@@ -400,9 +423,15 @@ def _code_line(out: list[Secret], f: int, line_no: int, blob: bytes, begin: int,
                 x0 = parts[0][0]
                 ranges = [spot(0, x0 + x, x0 + y) for x, y, _ in inner]
         if kind:
+            at = line_no
             if "\n" in value and kind == "assigned":
-                continue
-            out.append(Secret(f, line_no, kind, name, tuple(ranges) or whole))
+                # The value stands within a literal of several lines.
+                lead = value[: len(value) - len(value.lstrip())]
+                at += lead.count("\n")
+                if len(chain) == 1:
+                    x0 = parts[0][0] + len(lead)
+                    ranges = [spot(0, x0, x0 + len(value.strip()))]
+            out.append(Secret(f, at, kind, name, tuple(ranges) or whole))
 
 
 _YAML_LINE = re.compile(rf"^\s*(?:-\s+)?[\"']?({_NAME})[\"']?\s*:\s+(.*?)\s*$")
@@ -499,10 +528,22 @@ def redact(raw: str) -> str:
 _FOUND = "file_id bigint, line_no int, kind string, name string"
 
 
+#: Extensions of running text, which is no source and no configuration.
+_PROSE = (".txt",)
+
+
+def _searched(piece: pa.RecordBatch, rows: np.ndarray, texts: pa.Array, lang: str) -> pa.Array:
+    """The texts, null where a file of no known language is running text."""
+    if lang:
+        return texts
+    paths = piece.column("file_path").take(pa.array(rows)).to_pylist()
+    return pa.array([None if (p or "").lower().endswith(_PROSE) else t for p, t in zip(paths, texts.to_pylist(), strict=True)], pa.string())
+
+
 def _find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for lang, rows, texts, piece in batches.by_language(batch, "file_path", "content"):
-            found = find(texts, lang)
+            found = find(_searched(piece, rows, texts, lang), lang)
             if found:
                 ids = piece.column("file_id").take(pa.array(rows)).to_pylist()
                 yield pa.RecordBatch.from_arrays(
@@ -514,7 +555,8 @@ def _find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def secret_lines(parse_results: DataFrame) -> DataFrame:
     """(file_id, line_no, kind, name): one row for each secret; lines are split at LF, from 1.
 
-    Null and empty contents hold none; files of unknown extension are not searched.
+    Null and empty contents hold none; in files of unknown extension each line is looked at as text,
+    save for running text (.txt).
     """
     return parse_results.select("file_id", "file_path", "content").mapInArrow(_find, _FOUND)
 
@@ -553,7 +595,8 @@ def redact_texts(texts: pa.Array, lang: str) -> tuple[list[str | None], list[int
 def _redact(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
         for lang, rows, texts, piece in batches.by_language(batch, "file_path", "content"):
-            clean, n = redact_texts(texts, lang)
+            clean, n = redact_texts(_searched(piece, rows, texts, lang), lang)
+            clean = [t if c is None else c for c, t in zip(clean, texts.to_pylist(), strict=True)]
             at = pa.array(rows)
             yield pa.RecordBatch.from_arrays(
                 [piece.column("file_id").take(at), piece.column("file_path").take(at), pa.array(clean, pa.string()), pa.array(n, pa.int32())],

@@ -133,3 +133,30 @@ def test_files_without_grammar_are_not_judged():
     assert parse_check.judge(["a.kt", "b.scala", "c.java"], pa.array([kotlin] * 3), "java")[1].tolist() == [True, True, False]
     langs, ok = parse_check.judge(["a.jsx", "b.jsx", "c.js"], pa.array([jsx, "let x = 1;\n", jsx]), "javascript")
     assert langs == ["", "javascript", "javascript"] and ok.tolist() == [True, True, False]
+
+
+def test_secrets_at_any_distance_and_length():
+    name = "very_" * 80 + "password"
+    wide = "x" * 500 + "; " + "k" * 400 + '.apiKey = "Zx9!kLm2QpW7"'
+    multi = 'a = 1\npassword = """\n\n   Zx9!kLm2QpW7\n"""\n'
+    glued = 'token = "Zx9!kL"' + " " * 90 + '+ "m2QpW7Rt"\n'
+    for text, line in ((f'{name} = "Zx9!kLm2QpW7"\n', 1), (wide, 1), (multi, 4), (glued, 1)):
+        found = secrets.find(pa.array([text]), "python")
+        assert [x.line for x in found] == [line]
+        clean, n = secrets.redact_texts(pa.array([text]), "python")
+        assert n == [1] and "Zx9" not in clean[0] and "QpW7" not in clean[0] and clean[0].count("\n") == text.count("\n")
+    # The name belongs to another literal, and the value of several lines is no secret.
+    assert secrets.find(pa.array(['x("apiKey"); y = "Zx9!kLm2QpW7"\n']), "python") == []
+    assert secrets.find(pa.array(['password = """\nhow to choose\na good one\n"""\n']), "python") == []
+
+
+def test_secrets_in_files_of_unknown_extension(spark):
+    texts = [
+        "FROM x\nENV DB_PASSWORD=Zx9!kLm2QpW7\n", "resource {\n  api_key = \"Zx9kLm2QpW7rT\"\n}\n", "<a>\n <password>Zx9!kLm2QpW7</password>\n</a>\n", "'secret' => 'Zx9kLm2QpW7rT',\n",
+        "export PASSWORD=${PASSWORD}\npassword: changeme\nsee the password section\n", None, "",
+    ]
+    rows = [(i, "r", p, t) for i, (p, t) in enumerate(zip(["Dockerfile", "a.tf", "b.xml", "c.php", ".envrc", "x", None], texts, strict=True))]
+    df = spark.createDataFrame(rows, "file_id bigint, repo_id string, file_path string, content string")
+    assert sorted(map(tuple, secrets.secret_rows(df).collect())) == [(0, 2), (1, 2), (2, 2), (3, 1)]
+    clean = {r.file_id: r.content for r in secrets.redacted_files(df).collect()}
+    assert clean[2] == "<a>\n <password>REDACTED</password>\n</a>\n" and clean[4] == texts[4] and clean[5] is None
