@@ -6,7 +6,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from codequarry.llm.seed_texts import TEXTS
+from codequarry.llm.seed_texts import OTHERS, TEXTS
 
 LANGS = [*TEXTS]
 CODE_CLASS = LANGS.index("code")
@@ -65,31 +65,32 @@ def _model(text: str) -> np.ndarray:
     return np.log2(p3).astype(np.float16).reshape(-1)
 
 
-@lru_cache(maxsize=1)
-def table() -> np.ndarray:
-    return np.stack([_model(TEXTS[x]) for x in LANGS], axis=1)
+@lru_cache(maxsize=2)
+def table(others: bool = False) -> np.ndarray:
+    return np.stack([_model(x) for x in (OTHERS if others else TEXTS).values()], axis=1)
 
 
-def score(texts: list[str]) -> np.ndarray:
-    """Mean log2 probability of each text under each model, (texts, LANGS)."""
+def score(texts: list[str], others: bool = False) -> np.ndarray:
+    """Mean log2 probability of each text under each model, (texts, LANGS), or under those of other languages."""
+    width = len(OTHERS) if others else len(LANGS)
     if not texts:
-        return np.zeros((0, len(LANGS)))
+        return np.zeros((0, width))
     joined = " ".join(texts)
     c = encode(" " + joined + " ")
     idx = (c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:]
     lens = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(lens[:-1] + 1)])
-    out = np.empty((len(texts), len(LANGS)), dtype=np.float32)
+    out = np.empty((len(texts), width), dtype=np.float32)
     step = 1 << 18
-    cum = np.zeros(len(LANGS))
+    cum = np.zeros(width)
     # Sums by text from running totals, in blocks so that memory stays small.
     bounds = np.concatenate([starts, starts + lens])
-    at = np.zeros((len(bounds), len(LANGS)))
+    at = np.zeros((len(bounds), width))
     order = np.argsort(bounds, kind="stable")
     sorted_bounds = bounds[order]
     done = 0
     for b in range(0, len(idx), step):
-        part = table()[idx[b : b + step]].astype(np.float64).cumsum(axis=0)
+        part = table(others)[idx[b : b + step]].astype(np.float64).cumsum(axis=0)
         hi = np.searchsorted(sorted_bounds, b + len(part), side="right")
         pos = sorted_bounds[done:hi] - b
         at[order[done:hi]] = cum + np.where(pos[:, None] > 0, part[np.maximum(pos, 1) - 1], 0)

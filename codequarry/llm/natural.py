@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from codequarry.llm import batches, langmodel, lexmask
 
 MIN_WORDS, MIN_CJK = 5, 8
+LATIN = ("en", "de", "fr", "es")
+#: Bits a character by which the model of a further language must be better.
+FOREIGN = 0.3
 #: Length from which a line of a comment may run on in the next.
 WRAPPED = 45
 _ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]{1,6})\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|([ntr])|(.))", re.S)
@@ -151,6 +154,12 @@ def judge(texts: list[str]) -> list[str]:
         elif lang and running(t) < MIN_WORDS:
             lang = ""
         out.append(lang)
+    # Lines of further languages in Latin script would else go to the nearest of the seven.
+    latin = [i for i, x in enumerate(out) if x in LATIN]
+    best = langmodel.score([texts[i] for i in latin], others=True).max(axis=1, initial=-np.inf)
+    for i, other in zip(latin, best.tolist(), strict=True):
+        if other > s[i, langmodel.LANGS.index(out[i])] + FOREIGN:
+            out[i] = ""
     return out
 
 
@@ -197,7 +206,7 @@ def units(s: lexmask.Spans, lang: str) -> list[Unit]:
                 prev = None
                 continue
             # Only a long line is taken to be wrapped; short ones stand for themselves.
-            if prev is not None and len(part) < 200 and long_line and prev.text[-1] not in ".!?。！？:" and text[0].islower() and not code_line(text):
+            if prev is not None and long_line and prev.text[-1] not in ".!?。！？:" and text[0].islower() and not code_line(text):
                 prev.text += " " + text
                 prev.size += len(text)
             else:

@@ -38,6 +38,10 @@ _MISSING = re.compile(
     r"|(?:документац|описани)\w*.{0,60}(?:отсутств|позже|будет|добав|нужн|скоро)|(?:нужно|надо|ещё не) .{0,30}(?:документ|опис)"
     r"|(?:文档|说明|注释|描述).{0,20}(?:稍后|以后|待|补充|缺|尚未)|(?:待|稍后|尚未|需要).{0,10}(?:文档|说明|注释|描述|补充)"
     r"|(?:ドキュメント|説明|文書|コメント).{0,20}(?:後で|あとで|未|追加|ありません|予定)|(?:後で|あとで|未).{0,10}(?:ドキュメント|説明|記述|文書))")
+#: Bytes that a comment has at least which is not trivial: five letters with four blanks and a mark.
+SHORTEST = 10
+#: Words of a sentence that only says that documentation is missing; a longer one says more than that.
+MISSING_WORDS = 16
 _SENTENCE = re.compile(r"(?<=[.!?。！？])\s*")
 
 
@@ -67,7 +71,7 @@ def describe(doc: str | None) -> str:
     text = " ".join(kept)
     words = cjk = 0
     for sentence in _SENTENCE.split(text):
-        if _MISSING.search(sentence) and len(sentence.split()) <= 16:
+        if _MISSING.search(sentence) and len(sentence.split()) <= MISSING_WORDS:
             continue
         words += natural.running(sentence)
         cjk += natural.cjk(sentence)
@@ -132,7 +136,7 @@ def documented(texts: pa.Array, lang: str) -> list[tuple[int, int, int, str]]:
         for h, t in zip(c[heads].tolist(), c[tails].tolist(), strict=True):
             f = int(file[h])
             x, y, stop = int(lo[h]), int(hi[t]), int(s.ends[f])
-            if y - x < 12:
+            if y - x < SHORTEST:
                 continue
             n = blob.find(b"\n", y, stop)
             if n < 0 or blob[y:n].strip():

@@ -99,3 +99,47 @@ src/main/java/org/acme/util/Helper.java ../lib/node_modules/pkg/index.js C:\\dat
 x-request-id, content-type, Authorization: Bearer user.name.first item_id=4&flag=true 0 3 * * * e3b0c44298fc1c149afbf4c8996fb924
 """,
 }
+
+#: Own prose in languages that are told apart from the seven, so that they are not taken for one of them.
+OTHERS = {
+    "it": """
+Il server legge ogni file della cartella e scrive il risultato in una nuova tabella non appena il lavoro è finito. Se non c'è più niente da
+leggere, aspetta che arrivi un'altra richiesta e poi ricomincia dall'inizio. Manteniamo i vecchi valori perché alcuni dei clienti dipendono
+ancora da essi, anche se avrebbero dovuto essere cambiati molto tempo fa. Questa funzione restituisce il numero degli elementi trovati,
+oppure zero quando la lista è vuota. Non bisogna chiamarla da più thread nello stesso momento, a meno che non si tenga il blocco. L'utente
+deve vedere un messaggio chiaro che spiega che cosa è andato storto e come si può correggere. Dopo che l'ultimo passo è terminato, tutti i
+dati provvisori vengono cancellati dal disco. È meglio controllare prima i dati in ingresso che riparare più tardi quelli in uscita. Queste
+impostazioni servono solo per le prove e non devono essere condivise con nessuno al di fuori del gruppo. Sotto un carico pesante la coda può
+crescere in modo che i nuovi messaggi siano scartati, ma nessuno va perso una volta che è stato salvato. Ogni lavoratore prende il compito
+successivo, verifica che sia ancora valido e prosegue senza chiedere. Nella maggior parte dei casi il valore predefinito è sufficiente.
+""",
+    "pt": """
+O servidor lê cada arquivo da pasta e escreve o resultado numa nova tabela assim que o trabalho termina. Se não há mais nada para ler, ele
+espera até que chegue outro pedido e então começa de novo desde o início. Mantemos os valores antigos porque alguns dos clientes ainda
+dependem deles, embora já devessem ter sido mudados há muito tempo. Esta função devolve o número de itens encontrados, ou zero quando a
+lista está vazia. Não deve ser chamada por mais de uma linha de execução ao mesmo tempo, a não ser que se tenha o bloqueio. O usuário deve
+ver uma mensagem clara que explica o que deu errado e como pode ser corrigido. Depois que o último passo acabou, todos os dados temporários
+são removidos do disco. É melhor verificar primeiro a entrada do que consertar mais tarde a saída. Estas configurações só servem para testes
+e não podem ser partilhadas com ninguém fora da equipe. Sob carga pesada a fila pode crescer tanto que as novas mensagens sejam descartadas,
+mas nenhuma se perde depois de guardada. Cada trabalhador pega a próxima tarefa, confere se ainda é válida e segue sem perguntar de novo.
+Na maioria dos casos o padrão é suficiente. As ligações que não são usadas são fechadas quando a sessão chega ao fim. Isso não muda nada.
+""",
+    "nl": """
+De server leest elk bestand in de map en schrijft het resultaat naar een nieuwe tabel zodra het werk klaar is. Als er niets meer te lezen
+valt, wacht hij tot er een ander verzoek binnenkomt en begint dan weer van voren af aan. We bewaren de oude waarden omdat sommige van de
+klanten er nog van afhangen, hoewel ze al lang geleden veranderd hadden moeten worden. Deze functie geeft het aantal gevonden regels terug,
+of nul wanneer de lijst leeg is. Roep haar niet vanuit meer dan één draad tegelijk aan, tenzij je het slot vasthoudt. De gebruiker moet een
+duidelijke melding zien die uitlegt wat er misging en hoe dat verholpen kan worden. Nadat de laatste stap is afgerond, worden alle
+tijdelijke gegevens van de schijf verwijderd. Het is beter om eerst de invoer te controleren dan later de uitvoer te herstellen. Deze
+instellingen zijn alleen bedoeld om te testen en mogen met niemand buiten de ploeg worden gedeeld. Onder zware belasting kan de wachtrij zo
+groeien dat nieuwe berichten verloren gaan, maar wat eenmaal is opgeslagen blijft. Iedere werker neemt de volgende taak en gaat verder.
+""",
+    "pl": """
+Serwer czyta każdy plik w katalogu i zapisuje wynik do nowej tabeli, gdy tylko praca jest skończona. Jeśli nie ma już nic do czytania, czeka,
+aż przyjdzie kolejne żądanie, a potem zaczyna znowu od początku. Zachowujemy stare wartości, ponieważ niektórzy klienci wciąż od nich
+zależą, chociaż powinny były zostać zmienione dawno temu. Ta funkcja zwraca liczbę znalezionych elementów albo zero, kiedy lista jest pusta.
+Nie wolno jej wywoływać z więcej niż jednego wątku naraz, chyba że trzyma się blokadę. Użytkownik powinien zobaczyć jasny komunikat, który
+wyjaśnia, co poszło nie tak i jak można to naprawić. Po zakończeniu ostatniego kroku wszystkie tymczasowe dane są usuwane z dysku. Lepiej
+najpierw sprawdzić wejście, niż później naprawiać wyjście. Te ustawienia służą tylko do testów i nie mogą być nikomu udostępniane.
+""",
+}

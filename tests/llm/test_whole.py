@@ -160,3 +160,17 @@ def test_secrets_in_files_of_unknown_extension(spark):
     assert sorted(map(tuple, secrets.secret_rows(df).collect())) == [(0, 2), (1, 2), (2, 2), (3, 1)]
     clean = {r.file_id: r.content for r in secrets.redacted_files(df).collect()}
     assert clean[2] == "<a>\n <password>REDACTED</password>\n</a>\n" and clean[4] == texts[4] and clean[5] is None
+
+
+def test_further_languages_are_rejected():
+    texts = [
+        "Restituisce il numero degli elementi che non sono stati ancora letti", "Devolve o número de linhas que ainda não foram lidas", "Geeft het aantal regels terug dat nog niet gelezen is",
+        "Zwraca liczbę wierszy, które nie zostały jeszcze przeczytane", "El planificador revisa las entradas antiguas para evitar una lectura a medias.", "Renvoie le nombre de lignes qui ne sont pas encore lues",
+    ]
+    assert natural.judge(texts) == ["", "", "", "", "es", "fr"]
+
+
+def test_shortest_comment_and_long_wrapped_lines():
+    assert [x[3] for x in pairs.documented(pa.array(["#ab c d e f\ndef f():\n    pass\n"]), "python")] == ["ab c d e f"]
+    first = "# " + "The planner keeps every open session in memory " * 6 + "until\n"
+    assert [x[3].count("planner") + x[3].count("answers") for x in natural.passages(pa.array([first + "# the last of them answers\n"]), "python")] == [7]
