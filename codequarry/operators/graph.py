@@ -79,7 +79,9 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, include_start: bool =
     """(start, node, depth): nodes within `depth` steps along source -> target, with their least depth.
 
     G7m, G8 of the memory store: include_start=False. A start is among its own nodes only where a cycle leads back to it, and never without
-    include_start. Depth 0 or less counts as 1.
+    include_start. Depth 0 or less counts as 1. The result has a row for each pair in reach, so many
+    starts are for small depths. A node with very many edges, or reached from very many starts, is
+    one key of a level's join; adaptive execution splits its partition.
     """
     depth = max(1, depth)
     step = edges.select(F.col("source").alias("node"), F.col("target").alias("_next")).filter("node is not null and _next is not null").distinct()
@@ -114,13 +116,11 @@ def callers(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int =
 
 def callees_recursive(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
     """G8 as one recursive SQL statement, for few starts and depths up to 3; walks are enumerated."""
-    spark = edges.sparkSession
-    of_types(edges, CALLS).select("source", "target").distinct().createOrReplaceTempView("_cq_edges")
-    starts.select("start").distinct().createOrReplaceTempView("_cq_starts")
-    r = spark.sql(f"""WITH RECURSIVE w(start, node, depth) AS (
-        SELECT start, start, 0 FROM _cq_starts
-        UNION ALL SELECT w.start, e.target, w.depth + 1 FROM w JOIN _cq_edges e ON e.source = w.node WHERE w.depth < {max(1, int(depth))})
-        SELECT start, node AS id, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY start, node""")
+    step, first = of_types(edges, CALLS).select("source", "target").distinct(), starts.select("start").distinct()
+    r = edges.sparkSession.sql("""WITH RECURSIVE w(start, node, depth) AS (
+        SELECT start, start, 0 FROM {first}
+        UNION ALL SELECT w.start, e.target, w.depth + 1 FROM w JOIN {step} e ON e.source = w.node WHERE w.depth < :depth)
+        SELECT start, node AS id, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY start, node""", {"depth": max(1, int(depth))}, first=first, step=step)
     return r.join(nodes, "id").select("start", "depth", *nodes.columns)
 
 

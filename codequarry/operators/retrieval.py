@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -28,6 +30,9 @@ FUNCTION_WORDS = ["函数", "function", "func", "方法", "method"]
 CLASS_WORDS = ["类", "class", "struct", "结构"]
 
 
+_BLANKS = re.compile(r"[ \t\n\v\f\r]+")
+
+
 class Embedder(Protocol):
     """Plug-in: texts to vectors of one length."""
 
@@ -35,7 +40,11 @@ class Embedder(Protocol):
 
 
 class HashEmbedder:
-    """Feature hashing of tokens into signed buckets, unit length; deterministic and offline."""
+    """Feature hashing of words into signed buckets, unit length; deterministic and offline.
+
+    Words are cut at white space of ASCII. The first 15 digits of a word's MD5 sum, as a number,
+    give the bucket, whether the 16th is below 8 the sign; so SQL can make the same vectors.
+    """
 
     def __init__(self, dim: int = 384):
         self.dim = dim
@@ -44,9 +53,10 @@ class HashEmbedder:
         out = []
         for t in texts:
             v = np.zeros(self.dim)
-            for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % self.dim] += 1.0 if h >> 63 else -1.0
+            for w, n in Counter(_BLANKS.split((t or "").lower())).items():
+                if w:
+                    h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+                    v[int(h[:15], 16) % self.dim] += n if h[15] < "8" else -n
             n = np.linalg.norm(v)
             out.append((v / n if n else v).tolist())
         return out
@@ -223,7 +233,8 @@ def context_search(vectors: DataFrame, queries: DataFrame, nodes: DataFrame, edg
     """Hybrid hits with lines and signature of their node and the names around them."""
     hits = hybrid_search(vectors, queries, k, min_score).select("query_id", "id", "final", "rank", "type")
     n = nodes.select("id", "name", F.col("signature").alias("node_signature"), F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
-    return hits.join(n, "id", "left").join(summary.caller_callee_names(nodes, edges), "id", "left").fillna("", ["callees", "callers"])
+    names = summary.caller_callee_names(nodes, edges, hits)
+    return hits.join(n, "id", "left").join(names, "id", "left").fillna("", ["callees", "callers"])
 
 
 def rag_sources(vectors: DataFrame, queries: DataFrame, nodes: DataFrame, k: int = 10, min_score: float = 0.3, rerank: bool = True, expand_files: bool = False) -> DataFrame:
@@ -271,13 +282,17 @@ def header(text: Column) -> Column:
 def rag_text(sources: DataFrame, queries: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None, budget: int = 16000) -> DataFrame:
     """(query_id, text): the assembled context, bounded by the budget; with nodes and edges the
     call lines of its sources follow where they fit."""
-    kept = rag_budget(sources, queries, budget)
+    return assemble(rag_budget(sources, queries, budget), queries, nodes, edges, budget)
+
+
+def assemble(kept: DataFrame, queries: DataFrame, nodes: DataFrame | None, edges: DataFrame | None, budget: int) -> DataFrame:
+    """(query_id, text) of the entries that `rag_budget` kept."""
     body = kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "entry"))), lambda r: r.entry), "").alias("body"), F.max("used").alias("used"))
     x = queries.select("query_id", "text").join(body, "query_id", "left")
     text = F.concat(header(F.coalesce("text", F.lit(""))), F.coalesce("body", F.lit("")))
     if nodes is None or edges is None:
         return x.select("query_id", text.alias("text"))
-    names = summary.caller_callee_names(nodes, edges).join(nodes.select("id", "name"), "id")
+    names = summary.caller_callee_names(nodes, edges, kept).join(nodes.select("id", "name"), "id")
     ids = kept.select("query_id", "ord", "id").join(names, "id")
     both = ids.select("query_id", F.inline(F.array(
         F.struct("ord", F.lit(0).alias("side"), F.when(F.col("callees") != "", F.concat("name", F.lit(f" {summary.CALLS_MARK} "), "callees")).alias("line")),
@@ -289,20 +304,48 @@ def rag_text(sources: DataFrame, queries: DataFrame, nodes: DataFrame | None = N
     return x.select("query_id", F.concat(text, F.when(F.col("section").isNotNull() & fits, F.col("section")).otherwise("")).alias("text"))
 
 
-def multi_search(vectors: DataFrame, queries: DataFrame, repo: str = "repo_id", k: int = 5, min_score: float = 0.5) -> DataFrame:
-    """The k best of each repository for each query, with the repository's best score to order by."""
+def of_repos(df: DataFrame, repo: str, repo_keys: Sequence[str] | None) -> DataFrame:
+    """The rows of the chosen repositories; none or an empty list means all."""
+    return df.filter(F.col(repo).isin(*repo_keys)) if repo_keys else df
+
+
+def multi_search(vectors: DataFrame, queries: DataFrame, repo: str = "repo_id", k: int = 5, min_score: float = 0.5, repo_keys: Sequence[str] | None = None) -> DataFrame:
+    """The k best of each of the chosen repositories for each query, with the repository's best score to order by."""
+    vectors = of_repos(vectors, repo, repo_keys)
     x = topk(vectors, queries, k, min_score, by=repo)
     return x.withColumn("repo_best", F.max("score").over(Window.partitionBy("query_id", repo)))
 
 
-def multi_rag(vectors: DataFrame, queries: DataFrame, nodes: DataFrame, repo: str = "repo_id", k: int = 5, min_score: float = 0.3, budget: int = 16000) -> DataFrame:
-    """The k best of each repository, one global budget; entries name their repository."""
-    hits = topk(vectors, queries, k, min_score, by=repo).drop("rank")
+def multi_rag(vectors: DataFrame, queries: DataFrame, nodes: DataFrame, repo: str = "repo_id", k: int = 5, min_score: float = 0.3, budget: int = 16000,
+              repo_keys: Sequence[str] | None = None, rerank: bool = False, expand_files: bool = False) -> DataFrame:
+    """The k best of each of the chosen repositories, one global budget; entries name their repository.
+
+    With rerank the k best of the 3 * k nearest of each repository by the code-aware rerank, whose
+    statistics are those of all candidates of a query; with expand_files also the other nodes of
+    their files at score 0.1.
+    """
+    vectors = of_repos(vectors, repo, repo_keys)
+    hits = topk(vectors, queries, 3 * k if rerank else k, min_score, by=repo).drop("rank").join(vectors.drop("embedding", repo), "id")
+    if rerank:
+        w = Window.partitionBy("query_id", repo).orderBy(F.round("final", 9).desc(), "id")
+        hits = code_boost(bm25(hits, queries), queries).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).withColumn("score", F.col("final"))
+    hits = hits.select("query_id", "id", "score", "content", repo)
     meta = nodes.select("id", "name", "type", "file_path", "start_line", "end_line", "signature")
-    x = hits.join(vectors.select("id", "content"), "id").join(meta, "id", "left").withColumn("reason", F.concat(F.lit("semantic @ "), F.col(repo)))
+    x = hits.join(meta, "id", "left").withColumn("reason", F.concat(F.lit("semantic @ "), F.col(repo)))
+    if expand_files:
+        files = x.select("query_id", repo, "file_path").filter("file_path is not null").distinct()
+        more = files.join(meta, "file_path").join(x.select("query_id", "id"), ["query_id", "id"], "left_anti")
+        more = more.withColumns({"score": F.lit(0.1), "content": F.lit(None).cast("string"), "reason": F.concat(F.lit("same file @ "), F.col(repo))})
+        x = x.unionByName(more.groupBy(*[c for c in more.columns if c not in (repo, "reason")]).agg(F.min(repo).alias(repo), F.min("reason").alias("reason")).select(*x.columns))
     return rag_budget(x, queries, budget)
 
 
+def multi_rag_text(vectors: DataFrame, queries: DataFrame, nodes: DataFrame, edges: DataFrame | None = None, repo: str = "repo_id", **options: object) -> DataFrame:
+    """(query_id, text) of `multi_rag`; with edges the call lines of the sources follow where they fit."""
+    kept = multi_rag(vectors, queries, nodes, repo, **options)
+    return assemble(kept, queries, nodes if edges is not None else None, edges, options.get("budget", 16000))
+
+
 def repos_by_age(repos: DataFrame) -> DataFrame:
     """Repositories, the one indexed last first."""
     return repos.orderBy(F.col("indexed_at").desc_nulls_last(), "repo_id")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import short_path
@@ -14,10 +14,27 @@ CALLS_TITLE, CALLED_TITLE, CALLS_MARK, CALLED_MARK = "调用", "被调用", "→
 SECTION_TITLE, GRAPH_TITLE, FUNCTIONS_UNIT, CALLS_UNIT = "---\n## 调用关系\n", "# 调用图 (", " 个函数, ", " 条调用)\n"
 
 
-def _names(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(start, names): distinct names of the other ends, sorted, ids where there is no node."""
-    x = pairs.distinct().join(nodes.select("id", "name"), "id", "left").select("start", F.coalesce("name", "id").alias("name"))
-    return x.groupBy("start").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
+#: Names that the text of one node shows at most; `neighbor_names` has them all, one a row.
+MOST_NAMES = 10_000
+#: What ends a list of names that is cut.
+MORE = ", …"
+
+
+def neighbor_names(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(start, name): distinct names of the other ends of pairs(start, id), ids where there is no node."""
+    x = pairs.distinct().join(nodes.select("id", "name"), "id", "left")
+    return x.select("start", F.coalesce("name", "id").alias("name")).distinct()
+
+
+def _names(pairs: DataFrame, nodes: DataFrame, most: int = MOST_NAMES) -> DataFrame:
+    """(start, names): the names of `neighbor_names` as one text, sorted, cut after `most`.
+
+    The rank is filtered before rows are shuffled, so a hub costs no task more than most + 1 names.
+    """
+    rank = F.row_number().over(Window.partitionBy("start").orderBy("name"))
+    x = neighbor_names(pairs, nodes).withColumn("_k", rank).filter(F.col("_k") <= most + 1)
+    shown = F.array_sort(F.collect_list("name"))
+    return x.groupBy("start").agg(F.concat(F.array_join(F.slice(shown, 1, most), ", "), F.when(F.count("*") > most, MORE).otherwise("")).alias("names"))
 
 
 def _place(name: str, path: str, line: str) -> Column:
@@ -85,24 +102,29 @@ def summary_lines(nodes: DataFrame, edges: DataFrame, file: str | None = None) -
     """
     chosen = nodes.filter(F.col("file_path") == file) if file else nodes
     e = graph.of_types(edges, graph.CALLS).select("source", "target").distinct().join(chosen.select(F.col("id").alias("source")), "source", "left_semi")
-    named = e.join(chosen.select(F.col("id").alias("target"), "name"), "target", "left").groupBy("source").agg(
-        F.array_join(F.array_sort(F.collect_set(F.coalesce("name", "target"))), ", ").alias("callees")
-    )
-    x = chosen.join(named.withColumnRenamed("source", "id"), "id")
-    line = F.concat(F.col("name"), F.lit(f" {CALLS_MARK} "), F.col("callees"))
-    return x.select(short_path(F.col("file_path")).alias("short_file"), "file_path", "start_line", "id", line.alias("line"))
+    named = _names(e.select(F.col("source").alias("start"), F.col("target").alias("id")), chosen)
+    x = chosen.join(named.withColumnRenamed("start", "id"), "id")
+    line = F.concat(F.col("name"), F.lit(f" {CALLS_MARK} "), F.col("names"))
+    return x.select(*_repo(nodes), short_path(F.col("file_path")).alias("short_file"), "file_path", "start_line", "id", line.alias("line"))
+
+
+def _repo(nodes: DataFrame) -> list[str]:
+    """The column of the repository, where nodes of several lie together."""
+    return ["repo_key"] if "repo_key" in nodes.columns else []
 
 
 def graph_summary(nodes: DataFrame, edges: DataFrame, file: str | None = None) -> DataFrame:
     """(short_file, text): one block for each short path, lines by (file, start line, id).
 
-    A file is one group, so a block is bounded by the functions of its files; the whole text is
-    the header of `summary_header` and the blocks by their first (file, start line).
+    Files of one repository that share the last two parts of their path are one block. Nodes of
+    several repositories have repo_key, and so have the blocks, so a block is bounded by the
+    functions of a few files; `summary_lines` has them one a row. The whole text is the header of
+    `summary_header` and the blocks by their first (file, start line).
     """
     x = summary_lines(nodes, edges, file)
     key = F.struct("file_path", F.coalesce("start_line", F.lit(0)).alias("at"), "id", "line")
-    rows = x.groupBy("short_file").agg(F.array_sort(F.collect_list(key)).alias("rs"))
-    return rows.select("short_file", F.concat(F.lit("## "), F.col("short_file"), F.lit("\n"), F.array_join(F.transform("rs", lambda r: r.line), "\n"), F.lit("\n")).alias("text"))
+    rows = x.groupBy(*_repo(nodes), "short_file").agg(F.array_sort(F.collect_list(key)).alias("rs"))
+    return rows.select(*_repo(nodes), "short_file", F.concat(F.lit("## "), F.col("short_file"), F.lit("\n"), F.array_join(F.transform("rs", lambda r: r.line), "\n"), F.lit("\n")).alias("text"))
 
 
 def summary_header(nodes: DataFrame, edges: DataFrame, file: str | None = None) -> DataFrame:
@@ -138,10 +160,16 @@ def relation_section(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> Data
     return rows.agg(F.concat(F.lit(SECTION_TITLE), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "side", "line"))), lambda r: r.line), "\n"), F.lit("\n")).alias("text"), F.count("*").alias("_n")).filter("_n > 0").drop("_n")
 
 
-def caller_callee_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, callees, callers): distinct names for each node, sorted, joined by a comma."""
+def caller_callee_names(nodes: DataFrame, edges: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(id, callees, callers): distinct names for each node, or each of only(id), sorted, joined by a comma."""
     e = graph.of_types(edges, graph.CALLS).select("source", "target").distinct()
-    a = _names(e.select(F.col("source").alias("start"), F.col("target").alias("id")), nodes).select(F.col("start").alias("id"), F.col("names").alias("callees"))
-    b = _names(e.select(F.col("target").alias("start"), F.col("source").alias("id")), nodes).select(F.col("start").alias("id"), F.col("names").alias("callers"))
+    out, back = e.select(F.col("source").alias("start"), F.col("target").alias("id")), e.select(F.col("target").alias("start"), F.col("source").alias("id"))
+    ids = nodes.select("id")
+    if only is not None:
+        wanted = only.select(F.col("id").alias("start")).distinct()
+        out, back = out.join(wanted, "start", "left_semi"), back.join(wanted, "start", "left_semi")
+        ids = ids.join(wanted.withColumnRenamed("start", "id"), "id", "left_semi")
+    a = _names(out, nodes).select(F.col("start").alias("id"), F.col("names").alias("callees"))
+    b = _names(back, nodes).select(F.col("start").alias("id"), F.col("names").alias("callers"))
     none: Column = F.lit("")
-    return nodes.select("id").join(a, "id", "left").join(b, "id", "left").select("id", F.coalesce("callees", none).alias("callees"), F.coalesce("callers", none).alias("callers"))
+    return ids.join(a, "id", "left").join(b, "id", "left").select("id", F.coalesce("callees", none).alias("callees"), F.coalesce("callers", none).alias("callers"))

@@ -24,9 +24,9 @@ VIEWS = {
       row_number() OVER (PARTITION BY c_nationkey ORDER BY round(sum(l_extendedprice), 2) DESC, s_nationkey) AS r
       FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey
       GROUP BY c_nationkey, s_nationkey) z WHERE r <= 3""",
-    "vec_docs": """SELECT e.vec_id, concat('part.', cast(e.vec_id AS varchar(20))) AS id, substr(coalesce(d.text, ''), 1, 400) AS content, e.embedding,
+    "vec_docs": """SELECT e.vec_id, concat('part.', cast(e.vec_id AS varchar(20))) AS id, coalesce(d.text, '') AS content, e.embedding,
       CASE e.label % 3 WHEN 0 THEN 'function' WHEN 1 THEN 'class' ELSE 'method' END AS type, coalesce(nullif(lower(trim(d.source)), ''), 'none') AS repo_id,
-      concat('func f', cast(e.label AS varchar(20)), '()') AS signature FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id""",
+      concat('func f', cast(e.label AS varchar(20)), '()') AS signature FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id""",
     "commits": """SELECT sha1(cast(event_id AS varchar(20))) AS hash, concat('user', cast(user_id AS varchar(20))) AS author,
       concat('user', cast(user_id AS varchar(20)), '@example.com') AS email, concat(' ', event_type, ' change ', cast(event_id AS varchar(20))) AS message, ts AS commit_ts FROM events""",
     "file_changes": """SELECT sha1(cast(event_id AS varchar(20))) AS hash, concat('src/', event_type, '/f', cast(event_id % 20 AS varchar(20)), '.go') AS path,

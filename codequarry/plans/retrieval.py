@@ -70,7 +70,7 @@ def _budget(s: SparkSession, d: str) -> DataFrame:
 
 def _embedded(s: SparkSession, d: str) -> DataFrame:
     x = r.embed(_vectors(s, d).select("id", "content"), "content", r.HashEmbedder(64))
-    return x.select("id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, b: a + b.cast("double") * b.cast("double")), 4).alias("norm"))
+    return x.select("id", F.posexplode("embedding").alias("pos", "v")).filter("v <> 0").select("id", "pos", F.round(F.col("v").cast("double"), 5).alias("v"))
 
 
 QUERIES = {
@@ -92,6 +92,7 @@ QUERIES = {
     "rag_context_text": lambda s, d: r.rag_text(_sources(s, d, rerank=False), _queries(s, d), *_kg(s, d), 6000),
     "multi_repo_topk": lambda s, d: r.multi_search(_vectors(s, d), _queries(s, d), "repo_id", 3, 0.0).select("query_id", "repo_id", "id", "rank", F.round("score", 6).alias("score"), F.round("repo_best", 6).alias("repo_best")),
     "multi_repo_rag": lambda s, d: r.multi_rag(_vectors(s, d), _queries(s, d), _kg(s, d)[0], "repo_id", 3, 0.0, 4000).select("query_id", "ord", "id", "used"),
+    "multi_repo_chosen": lambda s, d: r.multi_search(_vectors(s, d), _queries(s, d), "repo_id", 3, 0.0, ["readmes", "api_docs"]).select("query_id", "repo_id", "id", "rank", F.round("score", 6).alias("score")),
     "repo_list": lambda s, d: r.repos_by_age(T(s, d, "repos")).select("repo_id", tx.repo_key(tx.repo_id(F.col("repo_path")), F.col("branch")).alias("repo_key")),
     "repo_latest": lambda s, d: r.latest_repo(T(s, d, "repos")),
 }
@@ -133,6 +134,10 @@ SQL = {
     "search_hits": _BASE + " SELECT query_id, rank, id AS entity_id, content, round(score, 6) AS score, type FROM ranked WHERE rank <= 5 AND score >= 0.1",
     "vector_topk_filtered": _BASE + ", f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS fr FROM pairs WHERE type = 'class') SELECT query_id, id, fr AS rank, round(score, 6) AS score FROM f WHERE fr <= 5",
     "mean_pool_by_label": "SELECT label, pos, round(avg(v), 6) AS v FROM (SELECT label, unnest(range(len(embedding))) AS pos, unnest(embedding)::double AS v FROM embeddings) z GROUP BY 1, 2",
+    "embed_hashing": f"""WITH {with_views('vec_docs')}, w AS (SELECT id, md5(unnest(regexp_split_to_array(lower(content), '[ \\t\\n\\v\\f\\r]+'))) AS h, unnest(regexp_split_to_array(lower(content), '[ \\t\\n\\v\\f\\r]+')) AS word FROM vec_docs),
+      b AS (SELECT id, (('0x' || h[1:15])::ubigint % 64)::int AS pos, sum(CASE WHEN h[16] < '8' THEN 1 ELSE -1 END) AS n FROM w WHERE word <> '' GROUP BY 1, 2),
+      l AS (SELECT id, sqrt(sum(n * n)) AS len FROM b GROUP BY 1)
+      SELECT id, pos, round((n / len)::float::double, 5) AS v FROM b JOIN l USING (id) WHERE n <> 0""",
     "bm25_rerank": _bm("ranked WHERE rank <= 20") + " SELECT query_id, id, round(bm25, 5) AS bm25, round(plain, 5) AS final FROM scored",
     "code_boost": _bm("ranked WHERE rank <= 20") + f" SELECT query_id, id, round(final + 0.02 * len(list_filter({_TOK.format('text')}, lambda t: contains(lower(content), t))), 5) AS final FROM boosted",
     "rrf_fuse": _BASE + """, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS fr FROM pairs WHERE type = 'class'),
@@ -152,6 +157,7 @@ SQL = {
     "rag_budget": _BASE + _ENTRY.format(reason="'semantic'", hits="(SELECT * FROM ranked WHERE rank <= 10 AND score >= 0.1)") + " SELECT query_id, ord, id, bytes, used::bigint AS used FROM u WHERE used <= 3000",
     "multi_repo_topk": _BASE + f" SELECT query_id, repo_id, id, rr AS rank, round(score, 6) AS score, round(max(score) OVER (PARTITION BY query_id, repo_id), 6) AS repo_best FROM {_REPOS}",
     "multi_repo_rag": _BASE + _ENTRY.format(reason="concat('semantic @ ', r.repo_id)", hits=_REPOS) + " SELECT query_id, ord, id, used::bigint AS used FROM u WHERE used <= 4000",
+    "multi_repo_chosen": _BASE + f" SELECT query_id, repo_id, id, rr AS rank, round(score, 6) AS score FROM {_REPOS} WHERE repo_id IN ('readmes', 'api_docs')",
     "repo_list": "SELECT repo_id, concat(CASE WHEN r IN ('', '.', '..') THEN 'default' ELSE r END, '@', CASE WHEN coalesce(branch, '') = '' THEN 'main' ELSE branch END) AS repo_key FROM (SELECT *, regexp_replace(regexp_replace(regexp_extract(regexp_replace(repo_path, '/+$', ''), '([^/]*)$', 1), '\\.git$', ''), '[^a-zA-Z0-9_\\-.]', '_', 'g') AS r FROM repos) z",
     "repo_latest": "SELECT repo_id FROM repos ORDER BY indexed_at DESC NULLS LAST, repo_id LIMIT 1",
 }
