@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.operators import graph, history, lookups, raw, retrieval, summary
+from codequarry.operators import graph, history, indexing, ingest, lookups, raw, retrieval, summary
 from codequarry.schema import empty
+from codequarry.sources import git
 
 _FILE_LIKE = re.compile(r"/|\.(?:py|go|java|js|ts|c|cpp|cc|h|hpp)$")
 _HASH_LIKE = re.compile(r"^[0-9a-fA-F]{7,40}$")
 
 
+def _scope(scope: str) -> list[str] | None:
+    """The repositories of a scope: a list with commas; None for all."""
+    return None if scope == "all" else [x.strip() for x in scope.split(",") if x.strip()]
+
+
 @dataclass(frozen=True)
 class Engine:
     """The tables of one index; `repo_key` restricts those that have such a column."""
@@ -35,6 +42,25 @@ class Engine:
         one = lambda df: df.filter(F.col("repo_key") == key) if df is not None and "repo_key" in df.columns else df
         return replace(self, nodes=one(self.nodes), edges=one(self.edges), vectors=one(self.vectors), commit_rows=one(self.commit_rows), changes=one(self.changes), files=one(self.files))
 
+    @classmethod
+    def open(cls, spark: SparkSession, target: str, **more: object) -> Engine:
+        """The newest version of an index; `more` gives the other tables."""
+        t = lambda name: indexing.table(spark, target, name)
+        return cls(spark, t("nodes"), t("edges"), t("vectors"), endpoints=t("api_endpoints"), **more)
+
+    @classmethod
+    def index(cls, spark: SparkSession, path: str, target: str, embedder: retrieval.Embedder | None = None, **more: object) -> Engine:
+        """Index the source files under path, or bring their index under target up to date, and open it.
+
+        A path within a git repository also brings its history, blame and branch.
+        """
+        embedder = embedder or cls.embedder
+        indexing.index(spark, path, target, embedder)
+        files = ingest.scan_files(spark, path).select(F.col("path").alias("file_path"), "content")
+        if git.is_repository(path):
+            more = {"commit_rows": git.commits(spark, path), "changes": git.file_changes(spark, path), "blame_rows": git.blame(spark, path, git.tracked(spark, path)), **more}
+        return cls.open(spark, target, embedder=embedder, files=files, **more)
+
     def _start(self, id_: str) -> DataFrame:
         return self.spark.createDataFrame([(id_,)], "start string")
 
@@ -99,16 +125,19 @@ class Engine:
     def context_search(self, query: str, top_k: int = 10) -> DataFrame:
         return retrieval.context_search(self.vectors, self._query(query), self.nodes, self.edges, top_k)
 
-    def multi_search(self, query: str, top_k: int = 5, min_score: float = 0.5) -> DataFrame:
-        return retrieval.multi_search(self.vectors, self._query(query), "repo_key", top_k, min_score)
+    def multi_search(self, query: str, top_k: int = 5, min_score: float = 0.5, repo_keys: Sequence[str] | None = None) -> DataFrame:
+        return retrieval.multi_search(self.vectors, self._query(query), "repo_key", top_k, min_score, repo_keys)
 
     def rag(self, query: str, top_k: int = 10, min_score: float = 0.3, rerank: bool = False, expand_files: bool = False, call_graph: bool = False, max_context_length: int = 16000) -> DataFrame:
         q = self._query(query)
         sources = retrieval.rag_sources(self.vectors, q, self.nodes, top_k, min_score, rerank, expand_files)
         return retrieval.rag_text(sources, q, *((self.nodes, self.edges) if call_graph else (None, None)), max_context_length)
 
-    def multi_rag(self, query: str, top_k: int = 5, min_score: float = 0.3, max_context_length: int = 16000) -> DataFrame:
-        return retrieval.multi_rag(self.vectors, self._query(query), self.nodes, "repo_key", top_k, min_score, max_context_length)
+    def multi_rag(self, query: str, top_k: int = 5, min_score: float = 0.3, max_context_length: int = 16000, repo_keys: Sequence[str] | None = None, rerank: bool = False, expand_files: bool = False) -> DataFrame:
+        return retrieval.multi_rag(self.vectors, self._query(query), self.nodes, "repo_key", top_k, min_score, max_context_length, repo_keys, rerank, expand_files)
+
+    def multi_rag_text(self, query: str, call_graph: bool = False, max_context_length: int = 16000, **options: object) -> DataFrame:
+        return retrieval.multi_rag_text(self.vectors, self._query(query), self.nodes, self.edges if call_graph else None, "repo_key", budget=max_context_length, **options)
 
     # History
     def commits(self, limit: int = 20, author: str | None = None, keyword: str | None = None, file: str | None = None, since: object = None, until: object = None) -> DataFrame:
@@ -117,6 +146,9 @@ class Engine:
     def commit_detail(self, hash_: str) -> DataFrame:
         return history.detail(self.commit_rows.filter(F.col("hash").startswith(hash_.lower())), self.changes)
 
+    def diff(self, hash_: str) -> DataFrame:
+        return history.diff(self.changes, hash_)
+
     def file_history(self, path: str, limit: int = 20) -> DataFrame:
         return history.file_history(self.commit_rows, self.changes, self.spark.createDataFrame([(path,)], "file string"), limit)
 
@@ -141,7 +173,7 @@ class Engine:
     def tool_search(self, query: str, scope: str = "current") -> DataFrame:
         if not self.entity(query).isEmpty():
             return self.call_chain(query, 2)
-        return self.multi_search(query) if scope != "current" else self.semantic_search(query, 5)
+        return self.multi_search(query, repo_keys=_scope(scope)) if scope != "current" else self.semantic_search(query, 5)
 
     def tool_callgraph(self, query: str, depth: int = 2) -> DataFrame:
         if not self.entity(query).isEmpty():
@@ -168,7 +200,7 @@ class Engine:
         return raw.numbered(self.files.filter(F.col("file_path") == name), a, b)
 
     def tool_context(self, query: str, scope: str = "current") -> DataFrame:
-        return self.multi_rag(query) if scope != "current" else self.rag(query, 5, rerank=True)
+        return self.multi_rag_text(query, repo_keys=_scope(scope), rerank=True) if scope != "current" else self.rag(query, 5, rerank=True)
 
     def tool_repo(self) -> DataFrame:
         return self.repos()

@@ -16,17 +16,26 @@ def commit_row(commits: DataFrame) -> DataFrame:
     return commits.withColumn("short_hash", F.left("hash", F.lit(8))).withColumn("message", F.regexp_replace("message", r"^\s+|\s+$", ""))
 
 
+def _time(x: object) -> Column:
+    """A time, or a text of one; null for other texts, which then bound nothing."""
+    return parse_date(F.lit(x)) if isinstance(x, str) else F.lit(x)
+
+
 def log(commits: DataFrame, changes: DataFrame | None = None, author: str | None = None, keyword: str | None = None, file: str | None = None, since: object = None, until: object = None, limit: int | None = 100) -> DataFrame:
-    """H1: newest first, ties by hash; author and keyword are parts of the text in any case."""
+    """H1: newest first, ties by hash; author and keyword are parts of the text in any case.
+
+    since and until are times or texts of the forms of `parse_date`; other texts are ignored. Commits
+    without a time are kept.
+    """
     x = commits
     if author:
         x = x.filter(F.contains(F.lower("author"), F.lit(author.lower())) | F.contains(F.lower("email"), F.lit(author.lower())))
     if keyword:
         x = x.filter(F.contains(F.lower("message"), F.lit(keyword.lower())))
     if since is not None:
-        x = x.filter(F.col("commit_ts") >= F.lit(since))
+        x = x.filter(F.coalesce(F.col("commit_ts") >= _time(since), F.lit(True)))
     if until is not None:
-        x = x.filter(F.col("commit_ts") <= F.lit(until))
+        x = x.filter(F.coalesce(F.col("commit_ts") <= _time(until), F.lit(True)))
     if file:
         x = x.join(changes.filter((F.col("path") == file) | (F.col("old_path") == file)).select("hash").distinct(), "hash", "left_semi")
     x = commit_row(x).orderBy(F.desc("commit_ts"), "hash")
@@ -40,8 +49,8 @@ def detail(commits: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def diff(changes: DataFrame, hash_: str) -> DataFrame:
-    """H4, O3: the changes of one commit by path."""
-    return changes.filter(F.col("hash") == hash_).orderBy("path")
+    """H4, O3: the changes of one commit, given by its hash or the begin of it, by path."""
+    return changes.filter(F.col("hash").startswith(hash_.lower())).orderBy("path")
 
 
 def count_lines(c: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.functions.text import EXTENSIONS
+from codequarry.schema import SCHEMAS, keep_last
 
 #: Marks of the call lists in summaries.
 CALLS_LABEL, CALLED_LABEL = "调用→ ", "被调用← "
@@ -15,12 +17,16 @@ MAX_CHUNK, OVERLAP_LINES, MIN_LINES = 4096, 5, 10
 
 
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mod_time, size, hash, content) of source files; directories that begin with a dot are skipped."""
-    ext = "|".join(e[1:] for e in EXTENSIONS)
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(path, mod_time, size, hash, content) of source files; directories that begin with a dot are skipped.
+
+    The extensions are a filter of the source, so other files are listed but never read.
+    """
+    any_case = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    names = "*.{" + ",".join(any_case(e[1:]) for e in EXTENSIONS) + "}"
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", names).load(root)
     rel = F.regexp_replace(F.col("path"), r"^\w+:/*", "/")
-    inside = F.substring(rel, len(root.rstrip("/")) + 1, 100_000)
-    keep = F.lower(rel).rlike(rf"\.({ext})$") & ~inside.rlike(r"/\.[^/]*/")
+    inside = F.substr(rel, F.lit(len(root.rstrip("/")) + 1))
+    keep = ~inside.rlike(r"/\.[^/]*/")
     return df.filter(keep).select(rel.alias("path"), F.col("modificationTime").alias("mod_time"), F.col("length").alias("size"), F.sha1("content").alias("hash"), F.col("content").cast("string").alias("content"))
 
 
@@ -48,6 +54,16 @@ def write_state(state: DataFrame, folder: str, version: int) -> str:
     return target
 
 
+def read_state(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The newest snapshot, or that of a version; without rows where there is none."""
+    try:
+        rows = spark.read.parquet(folder)
+    except AnalysisException:
+        return spark.createDataFrame([], SCHEMAS["file_state"])
+    version = rows.agg(F.max("v")).first()[0] if version is None else version
+    return rows.filter(F.col("v") == version).drop("v")
+
+
 def symbols(parsed: DataFrame) -> DataFrame:
     """X11: (name, qualified_name, file_path, start_line): distinct symbols of parser rows."""
     return parsed.select("name", "qualified_name", "file_path", F.coalesce("start_line", F.lit(0)).alias("start_line")).filter("qualified_name is not null and file_path is not null").distinct()
@@ -188,7 +204,7 @@ def vector_document(type_: Column, name: Column, path: Column, start: Column, en
 
 def keep_newest(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """Upsert by id."""
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_k = 1").drop("_k")
+    return keep_last(df, [key], order)
 
 
 def delete_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:

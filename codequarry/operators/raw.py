@@ -64,4 +64,9 @@ def extension(c: Column) -> Column:
 
 def tree_order(rows: DataFrame) -> DataFrame:
     """The tree by folder, folders before files, then by name."""
-    return rows.orderBy("parent", F.desc("is_dir"), "name")
+    return ranked(rows).orderBy("parent", "ord")
+
+
+def ranked(rows: DataFrame) -> DataFrame:
+    """With `ord`, the place of each entry in its folder, folders before files, then by name."""
+    return rows.withColumn("ord", F.row_number().over(Window.partitionBy("parent").orderBy(F.desc("is_dir"), "name")))

@@ -42,7 +42,11 @@ def path_key(c: Column) -> Column:
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key, the first in `order` (newest first); nulls in keys are one key."""
+    """One row for each key, the first in `order` (newest first); nulls in keys are one key.
+
+    The filter on the rank becomes a limit of each task before the shuffle (WindowGroupLimit), so
+    of a hot key only one row leaves a task.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 

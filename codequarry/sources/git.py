@@ -35,6 +35,14 @@ def head(repo: str) -> str:
     return _git(repo, "rev-parse", "HEAD").strip()
 
 
+def is_repository(path: str) -> bool:
+    """Whether the folder is the top of a repository with a commit."""
+    try:
+        return os.path.samefile(_git(path, "rev-parse", "--show-toplevel").strip(), path) and bool(head(path))
+    except (subprocess.CalledProcessError, OSError):
+        return False
+
+
 def tracked(spark: SparkSession, repo: str) -> DataFrame:
     """(path): files in the index, by name; a walk of the folder where there is no repository."""
     try:
@@ -60,38 +68,62 @@ class _Reader(DataSourceReader):
         return [_Revisions(hashes[i::n]) for i in range(n)]
 
     def read(self, partition: _Revisions) -> Iterator[tuple]:
-        for h in partition.hashes:
-            yield from (self._commit(h) if self.table == "commits" else self._changes(h))
-
-    def _commit(self, h: str) -> Iterator[tuple]:
-        full, author, email, stamp, message = _git(self.repo, "show", "-s", "--format=%H%x00%an%x00%ae%x00%ct%x00%B", h).split("\0", 4)
-        yield full.strip(), full.strip()[:8], author, email, message.strip(), dt.datetime.fromtimestamp(int(stamp), dt.timezone.utc)
-
-    def _changes(self, h: str) -> Iterator[tuple]:
-        parents = _git(self.repo, "rev-list", "--parents", "-n", "1", h).split()[1:]
-        if not parents:
-            for p in sorted(x for x in _git(self.repo, "ls-tree", "-r", "-z", "--name-only", h).split("\0") if x):
-                yield h, p, "", "added", 0, 0
+        """One git process for each slice, which is handed its commits on its input."""
+        if not partition.hashes:
             return
-        names = {"A": "added", "D": "deleted", "R": "renamed"}
-        counts: dict[str, tuple[int, int]] = {}
-        fields = _git(self.repo, "diff", "--numstat", "-z", "-M", parents[0], h).split("\0")
-        i = 0
-        while i < len(fields) and fields[i]:
-            a, d, p = fields[i].split("\t", 2)
+        if self.table == "commits":
+            fields = self._log(partition, "--no-patch", "--format=%H%x00%an%x00%ae%x00%ct%x00%B")
+            for full, author, email, stamp, message in zip(*[iter(fields)] * 5, strict=False):
+                full = full.strip()
+                yield full, full[:8], author, email, message.strip(), dt.datetime.fromtimestamp(int(stamp), dt.timezone.utc)
+        else:
+            fields = self._log(partition, "--diff-merges=first-parent", "--root", "-M", "--raw", "--numstat", "--no-abbrev", "--format=%x01%H%x01%P")
+            yield from _change_rows(fields)
+
+    def _log(self, partition: _Revisions, *args: str) -> list[str]:
+        run = subprocess.run(
+            ["git", "-C", self.repo, "-c", "safe.directory=*", "-c", "core.quotepath=off", "log", "--no-walk=unsorted", "--stdin", "-z", *args],
+            check=True, capture_output=True, input="\n".join(partition.hashes).encode(), timeout=3600,
+        )
+        return run.stdout.decode("utf-8", "replace").split("\0")
+
+
+#: Status letters.
+_STATUS = {"A": "added", "D": "deleted", "R": "renamed"}
+
+
+def _change_rows(fields: list[str]) -> Iterator[tuple]:
+    """(hash, path, old_path, status, additions, deletions) from the fields of a log with raw and numeric changes.
+
+    Files of a commit without parents count no lines, as its tree is compared with nothing.
+    """
+    commit, root = "", False
+    order: list[tuple[str, str, str]] = []
+    counts: dict[str, tuple[int, int]] = {}
+
+    def rows() -> Iterator[tuple]:
+        for p, old, status in sorted(order):
+            yield commit, p, old, status, *((0, 0) if root else counts.get(p, (0, 0)))
+
+    it = iter(fields)
+    for x in it:
+        x = x.lstrip("\n")
+        if x.startswith("\x01"):
+            yield from rows()
+            order, counts = [], {}
+            _, commit, parents = x.split("\x01")
+            root = not parents.strip()
+        elif x.startswith(":"):
+            letter = x.rsplit(" ", 1)[1][0]
+            old = next(it) if letter in "RC" else ""
+            order.append((next(it), old, _STATUS.get(letter, "modified")))
+        elif "\t" in x:
+            a, d, p = x.split("\t", 2)
             if not p:
-                p, i = fields[i + 2], i + 2
+                next(it)
+                p = next(it)
             counts[p] = (int(a) if a.isdigit() else 0, int(d) if d.isdigit() else 0)
-            i += 1
-        fields = _git(self.repo, "diff", "--name-status", "-z", "-M", parents[0], h).split("\0")
-        i, rows = 0, []
-        while i < len(fields) and fields[i]:
-            status = fields[i]
-            old = fields[i + 1] if status[0] in "RC" else ""
-            p = fields[i + 2] if old else fields[i + 1]
-            i += 3 if old else 2
-            rows.append((h, p, old, names.get(status[0], "modified"), *counts.get(p, (0, 0))))
-        yield from sorted(rows, key=lambda r: r[1])
+    yield from rows()
 
 
 class GitSource(DataSource):

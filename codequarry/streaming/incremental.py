@@ -1,4 +1,4 @@
-"""Incremental indexing as a stream: changed files in, upserted nodes and edges out."""
+"""Incremental indexing as a stream: changed and removed files in, a new version of the index out."""
 
 from __future__ import annotations
 
@@ -6,46 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codequarry.operators.ingest import resolve, resolve_handlers, symbols
+from codequarry.operators import indexing
+from codequarry.operators.retrieval import Embedder
 from codequarry.schema import keep_last
-from codequarry.sources import parsers
 
+_NAMES = {"files": "file_state", "endpoints": "api_endpoints"}
 
-def index_batch(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, endpoints) of files(file_path, content): parsed once, calls resolved among them."""
-    rows = parsers.parse_files(files)
-    entities = parsers.parsed_entities(rows)
-    nodes = entities.select(F.col("qualified_name").alias("id"), "name", "type", "file_path", "start_line", "end_line", "signature", "language")
-    nodes = keep_last(nodes, ["id"], [F.col("file_path"), F.col("start_line")])
-    calls = parsers.parsed_calls(rows).withColumn("call_id", F.concat_ws("|", "file_path", "line", "col", "caller"))
-    found = resolve(calls, symbols(entities), parsers.parsed_imports(rows))
-    edges = found.select(F.col("caller").alias("source"), F.col("resolved").alias("target"), F.lit("calls").alias("type"), F.col("file_path").alias("source_file"), "line", "confidence")
-    edges = keep_last(edges, ["source", "target", "type", "source_file", "line"], [F.col("confidence").desc()])
-    return nodes, edges, resolve_handlers(parsers.parsed_endpoints(rows), symbols(entities), parsers.parsed_imports(rows))
 
+def watch(spark: SparkSession, source: str, target: str, checkpoint: str, embedder: Embedder | None = None) -> StreamingQuery:
+    """Parquet batches of (file_path, content, version) under `source` become versions of the index under
+    `target`. A file whose newest content is null is removed.
 
-def watch(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Parquet batches of (file_path, content, version) under `source` become a versioned index under
-    `target`; each file's rows carry the version that wrote them, and the newest wins on read.
-
-    Batches are written under their number, so a batch that is run again replaces itself.
+    A batch is written under its number, over the newest version below it, so a batch that is run
+    again replaces itself. Calls are resolved against the symbols of the whole index.
     """
     stream = spark.readStream.schema("file_path string, content string, version bigint").parquet(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        newest = keep_last(batch, ["file_path"], [F.col("version").desc_nulls_last()])
-        nodes, edges, endpoints = index_batch(newest.select("file_path", "content"))
-        state = newest.select("file_path", F.sha1(F.coalesce("content", F.lit("")).cast("binary")).alias("hash"), "version")
-        for name, df in (("files", state), ("nodes", nodes), ("edges", edges), ("endpoints", endpoints)):
-            df.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
+        newest = keep_last(batch.filter("file_path is not null"), ["file_path"], [F.col("version").desc_nulls_last()])
+        removed = newest.filter("content is null").select(F.col("file_path").alias("path"))
+        changed = newest.filter("content is not null").select(
+            F.col("file_path").alias("path"), "content", F.lit(None).cast("timestamp").alias("mod_time"),
+            F.octet_length("content").cast("bigint").alias("size"), F.sha1(F.col("content").cast("binary")).alias("hash"),
+        )
+        indexing.update(batch.sparkSession, target, changed, removed, embedder, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, target: str, name: str) -> DataFrame:
-    """The rows of each file from the batch that indexed it last; so removed entities and edges go."""
-    rows = spark.read.parquet(f"{target}/{name}")
-    path = {"nodes": "file_path", "edges": "source_file", "endpoints": "file", "files": "file_path"}[name]
-    files = spark.read.parquet(f"{target}/files")
-    last = files.groupBy("file_path").agg(F.max("batch").alias("batch")).select(F.col("file_path").alias(path), "batch")
-    return rows.join(last, [path, "batch"], "left_semi").drop("batch")
+    """A table of the newest version: files, nodes, edges, endpoints, vectors, imports, calls or parsed."""
+    return indexing.table(spark, target, _NAMES.get(name, name))
