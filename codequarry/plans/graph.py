@@ -236,6 +236,11 @@ SQL = {
       SELECT node, hops, array_to_string(path, '|') AS path FROM r WHERE k = 1""",
     "hop_distance": f"""WITH RECURSIVE {GRAPH}, {_HUB}, all_edges AS (SELECT DISTINCT source, target FROM edges), w AS (SELECT start AS node, 0 AS hops FROM hub
       UNION SELECT e.target, w.hops + 1 FROM w JOIN all_edges e ON e.source = w.node WHERE w.hops < 40) SELECT node, min(hops) AS hops FROM w GROUP BY node""",
+    "path_edges": f"""WITH RECURSIVE {_TRADE}, w AS (SELECT 0 AS node, 0 AS hops, [0] AS path
+      UNION SELECT t.target, w.hops + 1, list_append(w.path, t.target) FROM w JOIN trade_edges t ON t.source = w.node WHERE w.hops < 8 AND NOT list_contains(w.path, t.target)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, path) AS k FROM w),
+      h AS (SELECT node, path, unnest(range(1, hops + 1)) AS step FROM r WHERE k = 1)
+      SELECT node, step, path[step] AS source, path[step + 1] AS target FROM h""",
     "cycle_nodes": _REACH_TRADE + " SELECT DISTINCT node FROM w WHERE start = node",
     "cycles_len3": f"""WITH {_TRADE}, e AS (SELECT DISTINCT source, target FROM trade_edges WHERE source <> target)
       SELECT 2 AS length, concat_ws('|', a.source, a.target, a.source) AS cycle FROM e a JOIN e b ON b.source = a.target AND b.target = a.source WHERE a.source < a.target

@@ -144,6 +144,10 @@ _TRIM = "regexp_replace(message, '^\\s+|\\s+$', '', 'g')"
 _LINES = "lines AS (SELECT file_path, unnest(range(1, len(ls) + 1)) AS line_number, unnest(ls) AS content FROM (SELECT file_path, string_split(content, chr(10)) AS ls FROM files) z)"
 _NOSKIP = "NOT regexp_matches(file_path, '(?:^|/)(?:\\.git|node_modules|vendor)/')"
 
+_T = "trim(replace(replace(b.line, chr(9), ' '), chr(13), ' '), ' ')"
+_HEAD = "(" + " OR ".join(f"starts_with({_T}, '{x}')" for x in ("package ", "# ", "from ", "import ")) + ")"
+_QUIET = f"({_T} = '' OR " + " OR ".join(f"starts_with({_T}, '{x}')" for x in ("//", "#", "/*", "*")) + ")"
+
 SQL = {
     "file_hash": "SELECT doc_id, sha1(text) AS hash FROM documents",
     "file_diff_status": _STATE + " SELECT path, status FROM diff",
@@ -179,6 +183,11 @@ SQL = {
       c AS (SELECT *, unnest(begins) AS f, len(begins) AS total_chunks FROM s), d AS (SELECT *, least(f + n - 1, end_line) AS t FROM c)
       SELECT qualified_name, file_path, total_chunks, count(*) AS n, sum(t - f + 1)::bigint AS lines, sum(strlen({_BODY.format(a='f', b='t')}))::bigint AS bytes, count(*) FILTER (t < end_line) AS cut FROM d GROUP BY 1, 2, 3""",
     "line_range": f"WITH {_ITEMS} SELECT file_id, qualified_name, start_line, end_line, md5({_BODY.format(a='start_line', b='end_line')}) AS md5 FROM items",
+    "file_context": f"""WITH {_FILES}, x AS (SELECT file_path, list_reduce(list_transform(string_split(content, chr(10)), lambda l: {{'line': l, 'done': false, 'block': false, 'acc': []::varchar[]}}),
+        lambda a, b: {{'line': '', 'done': a.done OR (NOT {_HEAD} AND NOT a.block AND NOT {_QUIET}), 'block': NOT a.done AND CASE WHEN {_HEAD} THEN starts_with({_T}, 'import (') OR a.block ELSE a.block AND {_T} <> ')' END,
+          'acc': CASE WHEN NOT a.done AND ({_HEAD} OR a.block) THEN list_append(a.acc, b.line) ELSE a.acc END}},
+        {{'line': '', 'done': false, 'block': false, 'acc': []::varchar[]}}) AS r FROM files)
+      SELECT file_path, array_to_string(r.acc, chr(10)) AS context FROM x""",
     "repomap_text": f"""WITH {GRAPH}, named AS (SELECT c.source AS start, string_agg(DISTINCT coalesce(n.name, c.target), ', ' ORDER BY coalesce(n.name, c.target)) AS callees FROM calls c LEFT JOIN nodes n ON n.id = c.target GROUP BY 1),
       back AS (SELECT c.target AS start, string_agg(DISTINCT coalesce(n.name, c.source), ', ' ORDER BY coalesce(n.name, c.source)) AS callers FROM calls c LEFT JOIN nodes n ON n.id = c.source GROUP BY 1)
       SELECT id, concat_ws(chr(10), '[' || type || '] ' || id, 'File: ' || file_path || ':' || start_line || '-' || end_line, nullif(signature, ''), '调用→ ' || callees, '被调用← ' || callers) AS text FROM nodes LEFT JOIN named a ON a.start = id LEFT JOIN back b ON b.start = id""",

@@ -248,10 +248,13 @@ def parse_python(path: str, text: str, compat: bool = False) -> Iterator[dict]:
             for a in n.names:
                 yield _row("import", path, alias=a.asname or a.name, module=f"{base}.{a.name}")
     known = next((fw for m in sorted(modules) for fw in FRAMEWORKS.values() if m == fw or m.startswith(fw + ".")), "")
-    todo: list[tuple[ast.AST, tuple[str, ...], ast.AST | None]] = [(tree, (), None)]
+    # Node, its scope, the class it is the body of, and the scope it lies in itself, which is that of its decorators.
+    todo: list[tuple[ast.AST, tuple[str, ...], ast.AST | None, tuple[str, ...]]] = [(tree, (), None, ())]
     while todo:
-        node, scope, owner = todo.pop()
+        node, body_scope, owner, outer = todo.pop()
+        decorators = {id(x) for x in getattr(node, "decorator_list", ())}
         for child in ast.iter_child_nodes(node):
+            scope = outer if id(child) in decorators else body_scope
             inner, own = scope, None
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 inner = (*scope, child.name)
@@ -278,7 +281,7 @@ def parse_python(path: str, text: str, compat: bool = False) -> Iterator[dict]:
                     f = f.value
                 if isinstance(f, ast.Name):
                     yield _row("call", path, caller=".".join(scope), callee_text=".".join([f.id, *reversed(parts)]), line=child.lineno, col=child.col_offset)
-            todo.append((child, inner, own))
+            todo.append((child, inner, own, scope))
     del lines
 
 

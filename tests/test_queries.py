@@ -8,7 +8,7 @@ import pytest
 
 SF = os.environ.get("CODEQUARRY_TEST_DATA", "/root/testdata/sf0.001")
 duckdb = pytest.importorskip("duckdb")
-MODULES = [importlib.import_module(f"codequarry.plans.{m}") for m in ("general", "graph", "retrieval", "ingest")]
+MODULES = [importlib.import_module(f"codequarry.plans.{m}") for m in ("general", "graph", "retrieval", "ingest", "sources")]
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
