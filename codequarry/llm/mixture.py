@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -101,9 +102,8 @@ class _Fill:
     rest: float
     slack: float
     docs: int
-    #: Key and id of the record passed over last, and the prefix sum up to the range in question.
+    #: Key and id of the record passed over last, and where the search for the next begins.
     after: tuple[float, int] = (-1.0, 0)
-    base: float = 0.0
     lo: float = 0.0
     hi: float = 2.0
     #: (key and id after which, key and id before which, tokens up to which) records are taken.
@@ -111,17 +111,17 @@ class _Fill:
 
 
 def _eligible(records: DataFrame, fills: list[_Fill]) -> DataFrame:
-    rows = [(f.source, float(f.rest), *f.after, f.base, f.lo, f.hi) for f in fills]
-    state = records.sparkSession.createDataFrame(rows, "source string, rest double, ak double, ad bigint, base double, lo double, hi double")
+    """Records behind those passed over that may still fit, by place in [lo, hi)."""
+    rows = [(f.source, float(f.rest), *f.after, f.lo, f.hi) for f in fills]
+    state = records.sparkSession.createDataFrame(rows, "source string, rest double, ak double, ad bigint, lo double, hi double")
     # One row for each source that a user lists.
     x = records.join(F.broadcast(state), "source").filter("place >= lo and place < hi and tokens <= rest")
     return x.filter("key > ak or (key = ak and doc_id > ad)")
 
 
-def _narrow(records: DataFrame, fills: list[_Fill]) -> list[_Fill]:
-    """Narrow lo and hi to a small range in which the prefix sum crosses the rest; those that all fits into are
-    done and left out."""
-    crossing = [f for f in fills if f.docs <= SMALL]
+def _leap(records: DataFrame, fills: list[_Fill]) -> dict[str, float]:
+    """Tokens of the ranges of keys that fit as a whole; lo moves behind them, to a small range in which the rest is used up."""
+    base = {f.source: 0.0 for f in fills}
     todo = [f for f in fills if f.docs > SMALL]
     while todo:
         bins = _eligible(records, todo).withColumn("bin", F.least(F.floor((F.col("place") - F.col("lo")) / (F.col("hi") - F.col("lo")) * RANGES), F.lit(RANGES - 1)))
@@ -131,48 +131,78 @@ def _narrow(records: DataFrame, fills: list[_Fill]) -> list[_Fill]:
             sums.setdefault(r.source, []).append((r.bin, r.n, r.docs))
         again = []
         for f in todo:
+            width = (f.hi - f.lo) / RANGES
+            at = f.hi
             for i, n, docs in sorted(sums.get(f.source, [])):
-                if f.base + n > f.rest:
-                    width = (f.hi - f.lo) / RANGES
-                    f.lo, f.hi = f.lo + i * width, f.lo + (i + 1) * width
-                    (crossing if docs <= SMALL or width < 1e-14 else again).append(f)
+                if base[f.source] + n > f.rest:
+                    at = f.lo + i * width
+                    if docs > SMALL and width > 1e-14:
+                        again.append(f)
                     break
-                f.base += n
-            else:
-                f.taken.append((*f.after, float("inf"), 0, float(f.rest)))
-                f.rest = 0
+                base[f.source] += n
+            f.lo, f.hi = at, at + width
         todo = again
-    return crossing
+    return base
+
+
+_STRETCH = "source string, ak double, ad bigint, ck double, cd bigint, most double, rest double"
+
+
+def _greedy(base: dict[str, float], fills: dict[str, _Fill]):
+    """Take records by rising key as long as they fit; a stretch ends at each that does not."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = fills[pdf["source"].iloc[0]]
+        pdf = pdf.sort_values(["key", "doc_id"])
+        (ak, ad), most = f.after, float(f.rest)
+        rest = most - base[f.source]
+        out = []
+        for key, doc, n in zip(pdf["key"], pdf["doc_id"], pdf["tokens"], strict=True):
+            if n <= rest:
+                rest -= n
+            else:
+                out.append((f.source, ak, ad, key, doc, most, rest))
+                ak, ad, most = key, doc, rest
+            if rest <= f.slack:
+                break
+        last = pdf.iloc[-1] if len(pdf) >= SMALL and rest > f.slack else None
+        # The stretch that is open ends behind the last record that was looked at.
+        end = (float("inf"), 0) if last is None and rest > f.slack else (key, doc + 1)
+        out.append((f.source, ak, ad, *end, most, rest))
+        return pd.DataFrame(out, columns=["source", "ak", "ad", "ck", "cd", "most", "rest"])
+
+    return run
 
 
 def _fill(records: DataFrame, fills: list[_Fill]) -> None:
-    """Take records of each source by rising key as long as they fit, until the rest is negligible."""
+    """Take records of each source by rising key, passing over those that do not fit, until the rest is negligible."""
     fills = [f for f in fills if f.rest > f.slack]
     while fills:
         for f in fills:
-            f.base, f.lo, f.hi = 0.0, 0.0, 2.0
-        crossing = _narrow(records, fills)
-        if not crossing:
-            return
-        order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+            f.lo, f.hi = 0.0, 2.0
+        base = _leap(records, fills)
+        for f in fills:
+            f.hi = 2.0
         # Records delivered twice have one key; they fit or are passed over together.
-        one = _eligible(records, crossing).groupBy("source", "base", "rest", "key", "doc_id").agg(F.sum("tokens").alias("tokens"))
-        run = one.withColumn("sum", F.col("base") + F.sum("tokens").over(order))
-        cut = run.groupBy("source").agg(
-            F.min(F.when(F.col("sum") > F.col("rest"), F.struct("key", "doc_id", (F.col("sum") - F.col("tokens")).alias("sum")))).alias("at")
-        )
-        at = {r.source: r["at"] for r in cut.collect()}
-        fills = []
-        for f in crossing:
-            x = at.get(f.source)
-            limit = float(f.rest)
-            if x is None:
-                f.taken.append((*f.after, float("inf"), 0, limit))
+        one = _eligible(records, fills).groupBy("source", "key", "doc_id").agg(F.sum("tokens").alias("tokens"))
+        first = one.withColumn("_k", F.row_number().over(Window.partitionBy("source").orderBy("key", "doc_id"))).filter(F.col("_k") <= SMALL).drop("_k")
+        got: dict[str, list] = {}
+        for r in first.groupBy("source").applyInPandas(_greedy(base, {f.source: f for f in fills}), _STRETCH).collect():
+            got.setdefault(r.source, []).append(r)
+        more = []
+        for f in fills:
+            rows = sorted(got.get(f.source, []), key=lambda r: (r.ak, r.ad))
+            if not rows:
+                # All that is eligible lies before lo and fits.
+                f.taken.append((*f.after, float("inf"), 0, float(f.rest)))
+                f.rest -= base[f.source]
                 continue
-            f.taken.append((*f.after, x.key, x.doc_id, limit))
-            f.rest, f.after = f.rest - x["sum"], (x.key, x.doc_id)
-            if f.rest > f.slack:
-                fills.append(f)
+            f.taken += [(r.ak, r.ad, r.ck, r.cd, r.most) for r in rows]
+            f.rest = rows[-1].rest
+            if f.rest > f.slack and rows[-1].ck != float("inf"):
+                f.after = (rows[-1].ck, rows[-1].cd - 1)
+                more.append(f)
+        fills = more
 
 
 def _marked(records: DataFrame, fills: list[_Fill]) -> DataFrame:
