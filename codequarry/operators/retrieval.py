@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from codequarry.functions.text import contains_any, tokenize
 from codequarry.operators import summary
+from codequarry.session import checkpoint
 
 #: Bytes of query vectors that are broadcast at once; more queries are worked off in blocks.
 QUERY_BLOCK_BYTES = 32 << 20
@@ -231,7 +232,8 @@ def hybrid_search(vectors: DataFrame, queries: DataFrame, k: int = 10, min_score
 
 def context_search(vectors: DataFrame, queries: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 10, min_score: float = 0.3) -> DataFrame:
     """Hybrid hits with lines and signature of their node and the names around them."""
-    hits = hybrid_search(vectors, queries, k, min_score).select("query_id", "id", "final", "rank", "type")
+    # At most k rows for each query, used several times.
+    hits = checkpoint(hybrid_search(vectors, queries, k, min_score).select("query_id", "id", "final", "rank", "type"))
     n = nodes.select("id", "name", F.col("signature").alias("node_signature"), F.col("start_line").alias("from_line"), F.col("end_line").alias("to_line"))
     names = summary.caller_callee_names(nodes, edges, hits)
     return hits.join(n, "id", "left").join(names, "id", "left").fillna("", ["callees", "callers"])
@@ -287,6 +289,8 @@ def rag_text(sources: DataFrame, queries: DataFrame, nodes: DataFrame | None = N
 
 def assemble(kept: DataFrame, queries: DataFrame, nodes: DataFrame | None, edges: DataFrame | None, budget: int) -> DataFrame:
     """(query_id, text) of the entries that `rag_budget` kept."""
+    if nodes is not None and edges is not None:
+        kept = checkpoint(kept)
     body = kept.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "entry"))), lambda r: r.entry), "").alias("body"), F.max("used").alias("used"))
     x = queries.select("query_id", "text").join(body, "query_id", "left")
     text = F.concat(header(F.coalesce("text", F.lit(""))), F.coalesce("body", F.lit("")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codequarry.schema import edges_of, nodes_of
+from codequarry.schema import edge_rows, edges_of, nodes_of
 from codequarry.session import read_table
 
 VIEWS = {
@@ -73,6 +73,11 @@ def with_views(*names: str) -> str:
     return ", ".join(f"{n} AS ({VIEWS[n]})" for n in order)
 
 
+def steps(spark: SparkSession, d: str) -> DataFrame:
+    """The edges for operators that look at distinct pairs; repeats stay."""
+    return edge_rows(read_table(spark, d, "relationships")).drop("_seq")
+
+
 _CLEAN = "nullif(nfc_normalize(regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
 _PATH = "regexp_replace(regexp_replace(regexp_replace({0}, '\\\\', '/', 'g'), '/+', '/', 'g'), '^(?:\\./)+', '')"
 #: The graph of entities and relationships for DuckDB.

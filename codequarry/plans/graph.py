@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators import graph, lookups, summary
-from codequarry.plans.fixtures import GRAPH, edges, nodes, view, with_views
+from codequarry.plans.fixtures import GRAPH, edges, nodes, steps, view, with_views
 from codequarry.schema import SCHEMAS
 from codequarry.session import read_table as T
 
@@ -18,14 +18,23 @@ def _all(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return nodes(s, d), edges(s, d)
 
 
+def _walk(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return nodes(s, d), steps(s, d)
+
+
+def _searched(n: DataFrame) -> DataFrame:
+    """The starts of deep searches: every node whose hashed id divides by 20."""
+    return n.filter("conv(substr(md5(id), 1, 8), 16, 10) % 20 = 0").select(F.col("id").alias("start"))
+
+
 def _starts(n: DataFrame) -> DataFrame:
     return n.select(F.col("id").alias("start"))
 
 
-def _khop(f, depth: int):
+def _khop(f, depth: int, starts=_starts):
     def q(s: SparkSession, d: str) -> DataFrame:
-        n, e = _all(s, d)
-        return f(n, e, _starts(n), depth).select("start", "id", "depth", "name")
+        n, e = _walk(s, d)
+        return f(n, e, starts(n), depth).select("start", "id", "depth", "name")
 
     return q
 
@@ -39,9 +48,9 @@ def _hub(e: DataFrame) -> DataFrame:
 _HUB = "hub AS (SELECT source AS start FROM edges WHERE type = 'calls' GROUP BY source ORDER BY count(*) DESC, source LIMIT 1)"
 
 
-def _reach_sql(a: str, b: str, depth: int) -> str:
+def _reach_sql(a: str, b: str, depth: int, only: str = "") -> str:
     return f"""WITH RECURSIVE {GRAPH}, walk AS (
-      SELECT id AS start, id AS node, 0 AS depth FROM nodes
+      SELECT id AS start, id AS node, 0 AS depth FROM nodes {only}
       UNION SELECT w.start, c.{b}, w.depth + 1 FROM walk w JOIN calls c ON c.{a} = w.node WHERE w.depth < {depth}),
     best AS (SELECT start, node AS id, min(depth) AS depth FROM walk WHERE depth > 0 GROUP BY 1, 2)
     SELECT start, b.id, b.depth, n.name FROM best b JOIN nodes n ON n.id = b.id"""
@@ -59,7 +68,7 @@ _SUB = f"""WITH RECURSIVE {GRAPH}, {_HUB}, both_ways AS (SELECT source, target F
 
 def _neighbors(direction: str):
     def q(s: SparkSession, d: str) -> DataFrame:
-        n, e = _all(s, d)
+        n, e = _walk(s, d)
         return graph.neighbors(n, e, _starts(n), direction).select("start", "id", "name")
 
     return q
@@ -72,7 +81,7 @@ def _neighbors_sql(direction: str) -> str:
 
 
 def _dag(s: SparkSession, d: str) -> DataFrame:
-    return edges(s, d).filter("type = 'calls' AND source < target")
+    return steps(s, d).filter("type = 'calls' AND source < target")
 
 
 def _trade(s: SparkSession, d: str) -> DataFrame:
@@ -144,7 +153,7 @@ def _upsert(s: SparkSession, d: str) -> DataFrame:
 
 
 def _order(s: SparkSession, d: str) -> DataFrame:
-    n, e = _all(s, d)
+    n, e = _walk(s, d)
     ids = _in_file(n).select("start_line", "id").distinct().withColumnRenamed("start_line", "ord")
     return summary.relation_lines(n, e, ids)
 
@@ -157,7 +166,7 @@ QUERIES = {
     "node_delete_cascade": _delete,
     "graph_json_round_trip": _json,
     "node_by_id": lambda s, d: nodes(s, d).join(_hub(edges(s, d)).withColumnRenamed("start", "id"), "id", "left_semi").select(*_COLS),
-    "callees_khop_memory": lambda s, d: graph.callees(*_all(s, d), _starts(nodes(s, d)), 2, include_start=False).select("start", "id", "depth"),
+    "callees_khop_memory": lambda s, d: graph.callees(*_walk(s, d), _starts(nodes(s, d)), 2, include_start=False).select("start", "id", "depth"),
     "subgraph_edges_unresolved": lambda s, d: graph.subgraph(*_all(s, d), _hub(edges(s, d)), 2, include_unresolved=True)[1].select("source", "target", "type", "source_file", "line"),
     "nodes_by_type": lambda s, d: lookups.by_type(nodes(s, d), "class").select(*_COLS),
     "node_dto": lambda s, d: lookups.node_rows(lookups.scan(nodes(s, d))),
@@ -167,13 +176,13 @@ QUERIES = {
     "nodes_by_file": lambda s, d: _in_file(nodes(s, d)).select(*_COLS),
     "neighbors_in": _neighbors("in"), "neighbors_out": _neighbors("out"), "neighbors_both": _neighbors("both"),
     "callers_1hop": _khop(graph.callers, 1), "callees_1hop": _khop(graph.callees, 1),
-    "callers_khop": _khop(graph.callers, 3), "callees_khop": _khop(graph.callees, 3),
+    "callers_khop": _khop(graph.callers, 3, _searched), "callees_khop": _khop(graph.callees, 3, _searched),
     "callees_recursive_cte": lambda s, d: graph.callees_recursive(*_all(s, d), _hub(edges(s, d)), 3).select("start", "id", "depth", "name"),
-    "call_map": lambda s, d: graph.call_map(*_all(s, d), _starts(nodes(s, d)), 1).select("start", "relation", "id", "name"),
+    "call_map": lambda s, d: graph.call_map(*_walk(s, d), _starts(nodes(s, d)), 1).select("start", "relation", "id", "name"),
     "subgraph_nodes": lambda s, d: _subgraph(s, d)[0].select(*_COLS),
     "subgraph_edges": lambda s, d: _subgraph(s, d)[1].select("source", "target", "type", "source_file", "line"),
     "shortest_path": lambda s, d: graph.shortest_paths(_trade(s, d), s.createDataFrame([(0,)], "start int")).select("node", "hops", F.array_join(F.transform("path", lambda x: x.cast("string")), "|").alias("path")),
-    "hop_distance": lambda s, d: graph.shortest_paths(edges(s, d), _hub(edges(s, d))).select("node", "hops"),
+    "hop_distance": lambda s, d: graph.shortest_paths(steps(s, d), _hub(edges(s, d))).select("node", "hops"),
     "path_edges": lambda s, d: graph.path_edges(graph.shortest_paths(_trade(s, d), s.createDataFrame([(0,)], "start int")), _trade(s, d)).select("node", "step", "source", "target"),
     "cycle_nodes": lambda s, d: graph.cycle_nodes(_trade(s, d)),
     "cycles_len3": lambda s, d: graph.cycles(_trade(s, d), 3).select("length", F.array_join(F.transform("cycle", lambda x: x.cast("string")), "|").alias("cycle")),
@@ -188,15 +197,16 @@ QUERIES = {
     "function_graph_by_file": _file_graph, "function_graph_by_type": _type_graph,
     "confidence_slice": lambda s, d: graph.confidence_slice(*_all(s, d), 0.3)[0].select(*_COLS),
     "file_slice": _file_slice, "node_slice": _node_slice,
-    "cross_file_split": lambda s, d: graph.same_file_split(*_all(s, d), _starts(nodes(s, d)), 2).groupBy("start", "relation", "same_file").agg(F.count("*").alias("n")),
-    "call_chain_depth1": lambda s, d: summary.call_chain(*_all(s, d), _starts(nodes(s, d))),
-    "call_chain_tree": lambda s, d: summary.call_tree(*_all(s, d), _starts(nodes(s, d)), 2),
-    "call_graph_summary": lambda s, d: summary.graph_summary(*_all(s, d)),
-    "call_graph_summary_header": lambda s, d: summary.summary_header(*_all(s, d)),
+    "cross_file_split": lambda s, d: graph.same_file_split(*_walk(s, d), _starts(nodes(s, d)), 2).groupBy("start", "relation", "same_file").agg(F.count("*").alias("n")),
+    "call_chain_depth1": lambda s, d: summary.call_chain(*_walk(s, d), _starts(nodes(s, d))),
+    "call_chain_tree": lambda s, d: summary.call_tree(*_walk(s, d), _starts(nodes(s, d)), 2),
+    "call_graph_summary": lambda s, d: summary.graph_summary(*_walk(s, d)),
+    "call_graph_summary_header": lambda s, d: summary.summary_header(*_walk(s, d)),
     "call_relation_lines": _order,
-    "caller_callee_names": lambda s, d: summary.caller_callee_names(*_all(s, d)),
+    "caller_callee_names": lambda s, d: summary.caller_callee_names(*_walk(s, d)),
 }
 
+_SEARCHED = "WHERE ('0x' || md5(id)[1:8])::ubigint % 20 = 0"
 _G = f"WITH {GRAPH} "
 _NAMES = """named AS (SELECT c.source AS start, string_agg(DISTINCT coalesce(n.name, c.target), ', ' ORDER BY coalesce(n.name, c.target)) AS callees FROM calls c {j} JOIN nodes n ON n.id = c.target GROUP BY 1),
   back AS (SELECT c.target AS start, string_agg(DISTINCT coalesce(n.name, c.source), ', ' ORDER BY coalesce(n.name, c.source)) AS callers FROM calls c {j} JOIN nodes n ON n.id = c.source GROUP BY 1)"""
@@ -222,7 +232,7 @@ SQL = {
     "nodes_by_file": _G + f", {_FILE} SELECT {_C} FROM nodes WHERE file_path IN (SELECT file_path FROM one_file)",
     "neighbors_in": _neighbors_sql("in"), "neighbors_out": _neighbors_sql("out"), "neighbors_both": _neighbors_sql("both"),
     "callers_1hop": _reach_sql("target", "source", 1), "callees_1hop": _reach_sql("source", "target", 1),
-    "callers_khop": _reach_sql("target", "source", 3), "callees_khop": _reach_sql("source", "target", 3),
+    "callers_khop": _reach_sql("target", "source", 3, _SEARCHED), "callees_khop": _reach_sql("source", "target", 3, _SEARCHED),
     "callees_recursive_cte": f"""WITH RECURSIVE {GRAPH}, {_HUB}, walk AS (SELECT start, start AS node, 0 AS depth FROM hub
       UNION SELECT w.start, c.target, w.depth + 1 FROM walk w JOIN calls c ON c.source = w.node WHERE w.depth < 3)
       SELECT start, id, min(depth) AS depth, name FROM walk JOIN nodes ON id = node WHERE depth > 0 GROUP BY start, id, name""",

@@ -9,7 +9,7 @@ from codequarry.functions import text as tx
 from codequarry.operators import history as h
 from codequarry.operators import ingest as ing
 from codequarry.operators import raw, summary
-from codequarry.plans.fixtures import GRAPH, PATH_SQL, edges, nodes, view, with_views
+from codequarry.plans.fixtures import GRAPH, PATH_SQL, nodes, steps, view, with_views
 from codequarry.schema import path_key
 from codequarry.session import read_table as T
 from codequarry.sources import parsers
@@ -32,7 +32,7 @@ def _parsed(s: SparkSession, d: str) -> DataFrame:
 
 def _calls(s: SparkSession, d: str) -> DataFrame:
     """Call texts out of graph edges: the last two parts of the target id, called from the source's file."""
-    e = edges(s, d).filter("type = 'calls' and source_file <> ''").select("target", path_key(F.col("source_file")).alias("file_path"), "line").distinct()
+    e = steps(s, d).filter("type = 'calls' and source_file <> ''").select("target", path_key(F.col("source_file")).alias("file_path"), "line").distinct()
     text = F.substring_index("target", ".", -2)
     return e.select(F.concat_ws("|", "target", "file_path", "line").alias("call_id"), text.alias("callee_text"), "file_path")
 
@@ -43,7 +43,7 @@ def _table(s: SparkSession, d: str) -> DataFrame:
 
 def _imports(s: SparkSession, d: str) -> DataFrame:
     """Alias = name of an imported entity's parent folder, out of edges of type imports."""
-    e = edges(s, d).filter("type = 'imports' and source_file <> ''")
+    e = steps(s, d).filter("type = 'imports' and source_file <> ''")
     module = F.regexp_replace("target", r"\.[^.]*$", "")
     return e.select(path_key(F.col("source_file")).alias("file_path"), F.regexp_extract(module, r"([^./]*)$", 1).alias("alias"), module.alias("module")).filter("alias <> ''").distinct()
 
@@ -60,7 +60,7 @@ def _chunks(s: SparkSession, d: str) -> DataFrame:
 
 def _repomap(s: SparkSession, d: str) -> DataFrame:
     n = nodes(s, d)
-    x = n.join(summary.caller_callee_names(n, edges(s, d)), "id")
+    x = n.join(summary.caller_callee_names(n, steps(s, d)), "id")
     return x.select("id", ing.repomap_text(F.col("type"), F.col("id"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("signature"), F.lit(None).cast("string"), F.col("callees"), F.col("callers")).alias("text"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import text as tx
 from codequarry.operators import graph, history, indexing, ingest, raw
-from codequarry.plans.fixtures import GRAPH, edges, nodes, view, with_views
+from codequarry.plans.fixtures import GRAPH, nodes, steps, view, with_views
 from codequarry.schema import conform, empty
 from codequarry.session import read_table as T
 from codequarry.sources import parsers
@@ -193,7 +193,7 @@ QUERIES = {
     "date_parse": _dates,
     "commit_diff": _last_diff,
     "file_tree_ranked": _ranked_tree,
-    "callers_khop_memory": lambda s, d: graph.callers(nodes(s, d), edges(s, d), nodes(s, d).select(F.col("id").alias("start")), 2, include_start=False).select("start", "id", "depth"),
+    "callers_khop_memory": lambda s, d: graph.callers(nodes(s, d), steps(s, d), nodes(s, d).select(F.col("id").alias("start")), 2, include_start=False).select("start", "id", "depth"),
 }
 
 
