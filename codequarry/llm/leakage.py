@@ -184,11 +184,11 @@ def _lists(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
 def intersect(left: pa.Table, right: pa.Table, n: int, slop: int, least: int) -> pa.Table:
     """(item_id, doc_id, terms) of one segment. left: item_id, terms and anchors(s, k) of items with an anchor
     there; right: the segment's index rows of the items' terms and its row without term."""
-    found: dict[tuple[int, int], int] = {}
+    rows: list[list] = [[], [], []]
     head = right.filter(pc.is_null(right["term"]))
     right = right.filter(pc.is_valid(right["term"]))
     if head.num_rows and right.num_rows and left.num_rows:
-        ids = head["doc_ids"][0].as_py()
+        ids = head["doc_ids"].combine_chunks().flatten()
         raw = np.frombuffer(head["postings"][0].as_py(), dtype=np.uint8)
         doc_begin = unpack(raw, np.array([0, len(raw)]))[0]
         blobs = right["postings"].combine_chunks()
@@ -208,7 +208,8 @@ def intersect(left: pa.Table, right: pa.Table, n: int, slop: int, least: int) ->
         alive = (anchor >= 0) & ((grid >= 0).sum(axis=1) >= least)
         row, win, off, anchor, grid = row[alive], win[alive], off[alive], anchor[alive], grid[alive]
         order = np.argsort(np.where(grid >= 0, df[grid], np.iinfo(np.int64).max), axis=1, kind="stable")
-        keys = left["item_id"].to_pylist()
+        keys = left["item_id"].combine_chunks()
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
         whole = slop == 0 and least == n
         for part in _blocks(df[anchor], STEP):
             size = df[anchor[part]]
@@ -234,14 +235,18 @@ def intersect(left: pa.Table, right: pa.Table, n: int, slop: int, least: int) ->
                 keep = met >= least
                 w, place, met = w[keep], place[keep], met[keep]
             doc = np.searchsorted(doc_begin, place, side="right") - 1
-            for i, d, m in zip(row[w].tolist(), doc.tolist(), met.tolist(), strict=True):
-                if found.get((i, d), 0) < m:
-                    found[i, d] = m
-        rows = [(keys[i], ids[d], m) for (i, d), m in found.items()]
-    else:
-        rows = []
-    c = list(zip(*rows, strict=True)) if rows else [[], [], []]
-    return pa.table({"item_id": pa.array(c[0], pa.int64()), "doc_id": pa.array(c[1], pa.int64()), "terms": pa.array(c[2], pa.int32())})
+            found.append(_most(row[w] * len(ids) + doc, met))
+        pair, met = _most(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))
+        rows = [keys.take(pa.array(pair // len(ids))), ids.take(pa.array(pair % len(ids))), met]
+    return pa.table({"item_id": pa.array(rows[0], pa.int64()), "doc_id": pa.array(rows[1], pa.int64()), "terms": pa.array(rows[2], pa.int32())})
+
+
+def _most(pair: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once, with its greatest number."""
+    order = np.lexsort((-met, pair))
+    pair, met = pair[order], met[order]
+    first = np.append(True, pair[1:] != pair[:-1])[: len(pair)]
+    return pair[first], met[first]
 
 
 def _blocks(sizes: np.ndarray, block: int) -> Iterator[np.ndarray]:
