@@ -30,6 +30,21 @@ SMALL = 20_000
 SLACK = 0.001
 
 
+def _counts(mask: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """True values of each stretch of a mask, by blocks of 256, so that no running total of every byte is made."""
+    tail = -len(mask) % 256
+    blocks = np.append(0, np.cumsum(np.count_nonzero(np.append(mask, np.zeros(tail, dtype=bool)).reshape(-1, 256), axis=1)))
+    before = lambda at: blocks[at // 256] + np.array([np.count_nonzero(mask[x - x % 256 : x]) for x in at.tolist()])
+    return before(ends) - before(starts) if len(starts) else np.zeros(0)
+
+
+def _once(text: str) -> float:
+    """The share of lines that are not empty and stand only once, or for the first time."""
+    rows = text.split("\n")
+    n = len(rows) - rows.count("")
+    return (len(set(rows)) - (n < len(rows))) / n if n else 1.0
+
+
 def quality(texts: pa.Array) -> np.ndarray:
     """A weight from 0.05 to 1 for each text: the product of its share of letters and digits, of how near the mean
     length of its words is to that of running text, of its lines that stand only once, and of a
@@ -40,10 +55,10 @@ def quality(texts: pa.Array) -> np.ndarray:
     good = ((data >= 48) & (data <= 57)) | ((data >= 65) & (data <= 90)) | ((data >= 97) & (data <= 122)) | high
     space = (data == 32) | ((data >= 9) & (data <= 13))
     size = np.maximum(ends - starts, 1)
-    share, blank, wide = ((lambda run: (run[ends] - run[starts]) / size)(lexmask.running(m)) for m in (good, space, high))
+    share, blank, wide = (_counts(m, starts, ends) / size for m in (good, space, high))
     word = (1 - blank) * size / np.maximum(blank * size, 1)
     fit = np.where(wide > 0.5, 1.0, np.exp(-np.square(np.log(np.maximum(word, 1) / 5.5)) / 2))
-    once = np.array([(lambda rows: len(set(rows)) / len(rows) if rows else 1.0)([x for x in t.split("\n") if x.strip()] if t else []) for t in texts.to_pylist()], dtype=float)
+    once = np.array([_once(t) if t else 1.0 for t in texts.to_pylist()], dtype=float)
     return np.clip(np.minimum(1.0, share / 0.8) * np.maximum(fit, 0.2) * once * (0.5 + 0.5 * np.minimum(1.0, size / 400)), 0.05, 1.0)
 
 
