@@ -88,7 +88,8 @@ _COPIED = re.compile(
 _REMARK = re.compile(r"\s*(?:#|//|/\*|\*)")
 _SHAPE = re.compile(r"[^\W\d]\w*|\d[\w.]*")
 _NUMBERS = re.compile(r"(?:(?<![\w.])[-+]?(?:0x[0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)\s*[,;|]?\s*){8,}")
-_ENCODED = re.compile(r"[\"'`]?[A-Za-z0-9+/=_\-]{48,}[\"'`]?\s*[,+;]?\s*|(?:\\x[0-9a-fA-F]{2}){12,}")
+#: A run is tried at its first character only.
+_ENCODED = re.compile(r"(?:[\"'`]|(?<![A-Za-z0-9+/=_\-]))[A-Za-z0-9+/=_\-]{48,}[\"'`]?\s*[,+;]?\s*|(?:\\x[0-9a-fA-F]{2}){12,}")
 _STRINGS = re.compile(r"(?:[\"'][^\"'\n]{0,80}[\"']\s*,\s*){12,}")
 _GENERATED_NAME = re.compile(r"(?:_pb2(?:_grpc)?\.pyi?|\.pb\.go|\.pb\.cc|\.pb\.h|\.g\.\w+|\.gen\.\w+|_gen\.go|_generated\.\w+|\.generated\.\w+|OuterClass\.java|\.designer\.\w+)$", re.I)
 _GENERATED_DIRS = {"generated", "autogen", "gen", "generated-sources", "__generated__"}
@@ -119,7 +120,7 @@ def head_comments(blob: bytes, s: lexmask.Spans, f: int, begin: int, end: int) -
 
 def periodic(text: str) -> float:
     """The largest share of lines that have the shape of the line a period (2 or 3) before."""
-    shapes = [_SHAPE.sub("w", x.strip()) for x in text.split("\n") if x.strip() and not _REMARK.match(x)]
+    shapes = [x for x in map(str.strip, _SHAPE.sub("w", text).split("\n")) if x and not _REMARK.match(x)]
     n = len(shapes)
     if n < 12 or len(set(shapes)) > max(10, n // 4):
         return 0.0
@@ -162,11 +163,11 @@ def layout(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def data_share(text: str) -> tuple[float, int]:
-    """Share of the text in long runs of literals, and the lines without any."""
+def data_share(text: str, least: float = 0.0) -> tuple[float, int]:
+    """Share of the text in long runs of literals, and the lines without any, which are not counted (0) below a share."""
     kept = _STRINGS.sub(" ", _ENCODED.sub(" ", _NUMBERS.sub(" ", text)))
-    other = sum(1 for x in kept.split("\n") if re.search(r"\w", x))
-    return 1 - len(re.sub(r"\s+", "", kept)) / max(1, len(re.sub(r"\s+", "", text))), other
+    share = 1 - len("".join(kept.split())) / max(1, len("".join(text.split())))
+    return share, sum(1 for x in kept.split("\n") if re.search(r"\w", x)) if share >= least else 0
 
 
 def by_layout(i: int, path: str, text: str, st: dict[str, np.ndarray], lang: str) -> str:
@@ -177,7 +178,7 @@ def by_layout(i: int, path: str, text: str, st: dict[str, np.ndarray], lang: str
         and st["space"][i] < lim.minified_space and st["alnum"][i] < 0.85 and st["digit"][i] < 0.4 and lim.minified_long <= 1
     ):
         return "minified"
-    share, other = data_share(text)
+    share, other = data_share(text, lim.data_share_short)
     if share >= lim.data_share or (share >= lim.data_share_short and other <= lim.data_lines):
         return "data"
     if lim.periodic <= 1:
