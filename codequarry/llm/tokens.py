@@ -3,18 +3,26 @@
 from __future__ import annotations
 
 import base64
+import importlib.util
 import os
 from functools import lru_cache
 
 import numpy as np
 
-#: Folder and file of the vocabulary, and the pattern that splits text before its merges.
-FOLDER = os.environ.get("CODEQUARRY_TOKENIZERS", "/opt/tokenizers")
+#: File of the vocabulary, and the pattern that splits text before its merges. The folder is a parameter, the
+#: environment variable CODEQUARRY_TOKENIZERS, or that of an installed package of public vocabularies.
 NAME = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def vocabulary(name: str = NAME, folder: str = FOLDER) -> str:
+def vocabulary(name: str = NAME, folder: str | None = None) -> str:
+    """The path of a vocabulary file."""
+    folder = folder or os.environ.get("CODEQUARRY_TOKENIZERS")
+    if not folder:
+        spec = importlib.util.find_spec("public_tokenizers")
+        if spec is None or not spec.submodule_search_locations:
+            raise FileNotFoundError("set CODEQUARRY_TOKENIZERS to the folder of the vocabulary files")
+        folder = spec.submodule_search_locations[0]
     return os.path.join(folder, name)
 
 
