@@ -122,7 +122,7 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, min_score: float |
     of queries(query_id, embedding), ties by id. Equality filters apply before the top k. With `by`
     the k best of each value of that column are kept.
 
-    The queries are broadcast in blocks of bounded size; each task keeps its k best of every
+    The queries are broadcast in blocks of bounded size, one at a time where there are several; each task keeps its k best of every
     query, so only those are shuffled. Vectors that are null, of another length or zero never match.
     """
     for c, v in (filters or {}).items():
@@ -172,10 +172,14 @@ def topk(vectors: DataFrame, queries: DataFrame, k: int = 10, min_score: float |
         found = vectors.select("id", "embedding", *([F.col(by).cast("string").alias("by")] if by else [])).mapInArrow(
             search, f"query_id {q_type}, id {id_type}, score double" + (", by string" if by else "")
         )
+        w = Window.partitionBy("query_id", *(["by"] if by else [])).orderBy(F.round("score", 9).desc(), "id")
+        found = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if blocks > 1:
+            # A block's queries leave the driver and the executors before the next are drawn.
+            found = checkpoint(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
-    w = Window.partitionBy("query_id", *(["by"] if by else [])).orderBy(F.round("score", 9).desc(), "id")
-    ranked = out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.withColumnRenamed("by", by) if by else ranked
+    return out.withColumnRenamed("by", by) if by else out
 
 
 def bm25(candidates: DataFrame, queries: DataFrame) -> DataFrame:

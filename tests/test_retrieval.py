@@ -51,6 +51,18 @@ def test_topk(spark):
     assert r.topk(v, q.limit(0), 2).count() == 0
 
 
+def test_topk_by_blocks_of_queries(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(2)
+    vec = lambda: [rnd.uniform(-1, 1) for _ in range(4)]
+    v = spark.createDataFrame([(f"v{i}", vec(), f"r{i % 3}") for i in range(60)], "id string, embedding array<float>, repo string")
+    q = spark.createDataFrame([(i, vec()) for i in range(30)], "query_id int, embedding array<float>")
+    whole, parted = sorted(map(tuple, r.topk(v, q, 3).collect())), sorted(map(tuple, r.topk(v, q, 2, by="repo").collect()))
+    monkeypatch.setattr(r, "QUERY_BLOCK_BYTES", 200)
+    assert sorted(map(tuple, r.topk(v, q, 3).collect())) == whole and sorted(map(tuple, r.topk(v, q, 2, by="repo").collect())) == parted
+
+
 def test_fuse_ignores_set_order(spark):
     rows = [(1, 1, "a", 1), (1, 1, "b", 2), (1, 2, "b", 1)]
     f = lambda rs: {x.id: x.rrf for x in r.fuse(spark.createDataFrame(rs, "query_id int, set_no int, id string, rank int")).collect()}
