@@ -155,6 +155,15 @@ SQL = {
       more AS (SELECT DISTINCT h.query_id, n.id FROM hits h JOIN kg_nodes n ON n.file_path = h.file_path WHERE (h.query_id, n.id) NOT IN (SELECT (query_id, id) FROM hits))
       SELECT query_id, 'semantic' AS reason, count(*) AS n FROM hits GROUP BY 1 UNION ALL SELECT query_id, 'same file', count(*) FROM more GROUP BY 1""",
     "rag_budget": _BASE + _ENTRY.format(reason="'semantic'", hits="(SELECT * FROM ranked WHERE rank <= 10 AND score >= 0.1)") + " SELECT query_id, ord, id, bytes, used::bigint AS used FROM u WHERE used <= 3000",
+    "rag_context_text": (_BASE + _ENTRY.format(reason="'semantic'", hits="(SELECT * FROM ranked WHERE rank <= 10 AND score >= 0.1)")).replace("WITH ", f"WITH {with_views('kg_edges')}, ", 1) + """,
+      kept AS (SELECT query_id, ord, id, entry, used FROM u WHERE used <= 6000), ce AS (SELECT DISTINCT source, target FROM kg_edges),
+      around AS (SELECT source AS id, 0 AS side, string_agg(DISTINCT coalesce(name, target), ', ' ORDER BY coalesce(name, target)) AS names FROM ce LEFT JOIN kg_nodes n ON n.id = target GROUP BY 1
+        UNION ALL SELECT target, 1, string_agg(DISTINCT coalesce(name, source), ', ' ORDER BY coalesce(name, source)) FROM ce LEFT JOIN kg_nodes n ON n.id = source GROUP BY 1),
+      lines AS (SELECT k.query_id, concat(n.name, CASE side WHEN 0 THEN ' → ' ELSE ' ← ' END, names) AS line, min((ord, side)) AS p FROM kept k JOIN kg_nodes n ON n.id = k.id JOIN around a ON a.id = k.id GROUP BY 1, 2),
+      section AS (SELECT query_id, concat(chr(10), '---', chr(10), '## 调用关系', chr(10), string_agg(line, chr(10) ORDER BY p), chr(10)) AS section FROM lines GROUP BY 1),
+      body AS (SELECT query_id, string_agg(entry, '' ORDER BY ord) AS body, max(used) AS used FROM kept GROUP BY 1)
+      SELECT q.query_id, concat('# 代码上下文 (查询: ', text, ')', chr(10), chr(10), coalesce(body, ''), CASE WHEN section IS NOT NULL AND coalesce(used, 0) + strlen(section) <= 6001 THEN section ELSE '' END) AS text
+      FROM queries q LEFT JOIN body USING (query_id) LEFT JOIN section USING (query_id)""",
     "multi_repo_topk": _BASE + f" SELECT query_id, repo_id, id, rr AS rank, round(score, 6) AS score, round(max(score) OVER (PARTITION BY query_id, repo_id), 6) AS repo_best FROM {_REPOS}",
     "multi_repo_rag": _BASE + _ENTRY.format(reason="concat('semantic @ ', r.repo_id)", hits=_REPOS) + " SELECT query_id, ord, id, used::bigint AS used FROM u WHERE used <= 4000",
     "multi_repo_chosen": _BASE + f" SELECT query_id, repo_id, id, rr AS rank, round(score, 6) AS score FROM {_REPOS} WHERE repo_id IN ('readmes', 'api_docs')",
