@@ -74,7 +74,8 @@ def call_tree(nodes: DataFrame, edges: DataFrame, starts: DataFrame, depth: int
         lines = [pdf["_head"].iloc[0]]
         for tag, title in ((CALLS_MARK, CALLS_TITLE), (CALLED_MARK, CALLED_TITLE)):
             part = pdf[pdf["side"] == tag]
-            if not len(part):
+            # Without direct neighbours that are known there is no tree.
+            if not (part["source"] == start).any():
                 continue
             lines.append(f"  {title}:")
             near: dict[str, list[tuple[str, str]]] = {}

@@ -212,6 +212,21 @@ _NAMES = """named AS (SELECT c.source AS start, string_agg(DISTINCT coalesce(n.n
   back AS (SELECT c.target AS start, string_agg(DISTINCT coalesce(n.name, c.source), ', ' ORDER BY coalesce(n.name, c.source)) AS callers FROM calls c {j} JOIN nodes n ON n.id = c.source GROUP BY 1)"""
 _SHORT = "CASE WHEN len(string_split({0}, '/')) <= 2 THEN {0} ELSE array_to_string(string_split({0}, '/')[-2:], '/') END"
 
+_PLACE = f"concat(n.name, ' (', {_SHORT.format('n.file_path')}, ':', coalesce(n.start_line, 0), ')')"
+#: A visit in pre-order, each id once: b is the next direct neighbour, a what was seen and written so far.
+_NEW_KIDS = "list_filter(b.kids, lambda q: NOT list_contains(a.seen, q.t) AND q.t <> b.t)"
+
+
+def _tree_side(mark: str, title: str, source: str, target: str, name: str) -> str:
+    blank = "{'t': '', 'name': '', 'kids': []::STRUCT(t VARCHAR, name VARCHAR)[], 'seen': []::VARCHAR[], 'lines': []::VARCHAR[]}"
+    visit = f"""CASE WHEN list_contains(a.seen, b.t) THEN a ELSE {{'t': '', 'name': '', 'kids': a.kids, 'seen': list_concat(a.seen, [b.t], list_transform({_NEW_KIDS}, lambda q: q.t)),
+        'lines': list_concat(a.lines, [concat('    {mark} ', b.name)], list_transform({_NEW_KIDS}, lambda q: concat('      {mark} ', q.name)))}} END"""
+    return f"""{name}_kids AS (SELECT {source} AS t, list({{'t': {target}, 'name': {_PLACE}}} ORDER BY {target}) AS kids FROM calls JOIN nodes n ON n.id = {target} GROUP BY 1),
+      {name} AS (SELECT start, concat('  {title}:', chr(10), array_to_string(list_reduce(l, lambda a, b: {visit}, {blank}).lines, chr(10)), chr(10)) AS part FROM (
+        SELECT {source} AS start, list({{'t': {target}, 'name': {_PLACE}, 'kids': coalesce(k.kids, []), 'seen': []::VARCHAR[], 'lines': []::VARCHAR[]}} ORDER BY {target}) AS l
+        FROM calls JOIN nodes n ON n.id = {target} LEFT JOIN {name}_kids k ON k.t = {target} GROUP BY 1) z)"""
+
+
 SQL = {
     "node_upsert_last_wins": _G + f"SELECT {_C} FROM nodes WHERE id IN (SELECT id FROM entities WHERE created_at IS NOT NULL)",
     "node_rows": _G + f"SELECT {_C}, signature, language FROM nodes",
@@ -278,6 +293,9 @@ SQL = {
     "call_chain_depth1": _G + ", " + _NAMES.format(j="") + f""" SELECT id AS start, concat(id, ' (', {_SHORT.format('file_path')}, ':', coalesce(start_line, 0), ')', chr(10),
       CASE WHEN callees IS NOT NULL THEN concat('  → ', callees, chr(10)) ELSE '' END, CASE WHEN callers IS NOT NULL THEN concat('  ← ', callers, chr(10)) ELSE '' END) AS text
       FROM nodes n LEFT JOIN named a ON a.start = n.id LEFT JOIN back b ON b.start = n.id""",
+    "call_chain_tree": _G + f""", {_tree_side('→', '调用', 'source', 'target', 'down')}, {_tree_side('←', '被调用', 'target', 'source', 'up')}
+      SELECT n.id AS start, concat(n.id, ' (', {_SHORT.format('n.file_path')}, ':', coalesce(n.start_line, 0), ')', chr(10), coalesce(d.part, ''), coalesce(u.part, '')) AS text
+      FROM nodes n LEFT JOIN down d ON d.start = n.id LEFT JOIN up u ON u.start = n.id""",
     "call_graph_summary": _G + ", " + _NAMES.format(j="LEFT") + f""" SELECT {_SHORT.format('file_path')} AS short_file,
       concat('## ', {_SHORT.format('file_path')}, chr(10), string_agg(concat(name, ' → ', callees), chr(10) ORDER BY file_path, coalesce(start_line, 0), id), chr(10)) AS text
       FROM nodes n JOIN named a ON a.start = n.id GROUP BY {_SHORT.format('file_path')}""",
